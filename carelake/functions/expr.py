@@ -52,12 +52,19 @@ def clean_text(c) -> Column:
     return null_if_token(strip(c))
 
 
+_MARK = "\ue000"  # private-use character: marks word starts introduced below
+
+
 def title_case(c) -> Column:
     """Python-style title case: a letter is upper-cased when it follows a non-letter
-    (``o'brien`` -> ``O'Brien``, ``MARY-JANE`` -> ``Mary-Jane``), others lower-cased."""
-    parts = F.split(F.lower(col_of(c)), r"(?<=[^\p{L}])(?=\p{L})")
-    caps = F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
-    return F.array_join(caps, "")
+    (``o'brien`` -> ``O'Brien``, ``MARY-JANE`` -> ``Mary-Jane``), others lower-cased.
+
+    ``initcap`` only starts words after a space, so every non-letter, non-space
+    character is followed by a marker and a space first, and both are removed
+    afterwards; everything stays in built-in, code-generated expressions.
+    """
+    marked = F.regexp_replace(F.lower(col_of(c)), r"([^\p{L} ])", "$1" + _MARK + " ")
+    return F.replace(F.initcap(marked), F.lit(_MARK + " "), F.lit(""))
 
 
 def symptom_token(c) -> Column:
@@ -79,9 +86,21 @@ def upper_code(c) -> Column:
 
 
 def parse_date(c, formats=None) -> Column:
-    """Per-value day-first parse over an explicit layout list; unparseable -> null."""
+    """Per-value day-first parse over an explicit layout list; unparseable -> null.
+
+    Each layout is tried only on values of its shape, so the parser runs once per
+    value (failed parses are costly) and impossible dates such as 31-02 still
+    come out null.
+    """
     c = strip(col_of(c))
-    return F.coalesce(*[F.try_to_date(c, f) for f in (formats or S.DATE_FORMATS)])
+    out = None
+    for f in (formats or S.DATE_FORMATS):
+        shape = S.DATE_FORMAT_SHAPES.get(f)
+        attempt = F.try_to_date(c, f)
+        if shape:
+            attempt = F.when(c.rlike(shape), attempt)
+        out = attempt if out is None else F.coalesce(out, attempt)
+    return out
 
 
 def gender_label(c) -> Column:

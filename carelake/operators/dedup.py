@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 
 def keep_first_by(df: DataFrame, key: str, order_col: str = "row_id") -> DataFrame:
-    """First row (smallest ``order_col``) per non-blank ``key``; blank-key rows all kept."""
+    """First row (smallest ``order_col``) per non-blank ``key``; blank-key rows all kept.
+
+    One aggregate: a blank key is replaced by a per-row surrogate, so blank-key
+    rows stay single-row groups spread by hash instead of one huge null group,
+    and the input is scanned once.
+    """
     cols = df.columns
     has_key = F.col(key).isNotNull() & (F.trim(F.col(key)) != "")
-    firsts = (df.where(has_key)
-              .groupBy(key)
-              .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
-              .select("_r.*"))
-    return firsts.unionByName(df.where(~has_key | F.col(key).isNull()))
+    group = F.when(has_key, F.concat(F.lit("k:"), F.col(key))).otherwise(
+        F.concat(F.lit("r:"), F.col(order_col).cast("string")))
+    return (df.groupBy(group.alias("_grp"))
+            .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
+            .select("_r.*"))
 
 
 def dedup_phone(df: DataFrame, order_col: str = "row_id") -> DataFrame:

@@ -29,12 +29,11 @@ def _present(c):
 
 
 def anti_existing(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS) -> DataFrame:
-    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06)."""
+    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06).
+    A left-anti equi-join never matches a null key, so rows without a key pass."""
     out = batch
     for k in keys:
-        stored = existing.select(k).where(_present(k)).distinct()
-        clash = out.where(_present(k)).join(stored, k, "left_anti")
-        out = clash.unionByName(out.where(F.col(k).isNull()))
+        out = out.join(existing.select(k).where(_present(k)).distinct(), k, "left_anti")
     return out
 
 

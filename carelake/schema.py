@@ -101,6 +101,19 @@ DATE_FORMATS = [
     "yyyy-M-d HH:mm:ss", "d-M-yyyy HH:mm:ss", "yyyyMMdd",
 ]
 
+# Shape of each layout (regex), used to try a layout only on matching values.
+DATE_FORMAT_SHAPES = {
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
+    "yyyy-M-d HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}$",
+    "d-M-yyyy HH:mm:ss": r"^\d{1,2}-\d{1,2}-\d{4} \d{2}:\d{2}:\d{2}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+
 # Triage rule.
 HIGH_RISK_KEYWORDS = [
     "chest pain", "breathless", "breathing", "stroke", "severe", "unconscious", "high fever",
