@@ -85,27 +85,25 @@ def upper_code(c) -> Column:
     return F.upper(clean_text(c))
 
 
-def parse_date(c, formats=None) -> Column:
+def parse_date(c, layouts=None, stripped: bool = False) -> Column:
     """Per-value day-first parse over an explicit layout list; unparseable -> null.
 
-    Each layout is tried only on values of its shape, so the parser runs once per
-    value (failed parses are costly) and impossible dates such as 31-02 still
-    come out null.
+    The value is rewritten to ``y-M-d`` by the first layout whose shape it has and
+    parsed once, strictly, so impossible dates such as 31-02 come out null. One
+    parser call per value keeps both run time and generated code small.
     """
-    c = strip(col_of(c))
-    out = None
-    for f in (formats or S.DATE_FORMATS):
-        shape = S.DATE_FORMAT_SHAPES.get(f)
-        attempt = F.try_to_date(c, f)
-        if shape:
-            attempt = F.when(c.rlike(shape), attempt)
-        out = attempt if out is None else F.coalesce(out, attempt)
-    return out
-
-
-def gender_label(c) -> Column:
-    """m/f/o codes -> Male/Female/Other, anything else title-cased; placeholders -> null."""
-    v = F.lower(clean_text(c))
+    c = col_of(c) if stripped else strip(col_of(c))
+    iso = None
+    for _, shape, rewrite in (layouts or S.DATE_LAYOUTS):
+        iso = (F.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)) if iso is None
+               else iso.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)))
+    return F.try_to_date(iso, "y-M-d")
+
+
+def gender_label(c, lowered: bool = False) -> Column:
+    """m/f/o codes -> Male/Female/Other, anything else title-cased; placeholders -> null.
+    ``lowered=True``: the input is already cleaned and lower-cased."""
+    v = col_of(c) if lowered else F.lower(clean_text(c))
     expr = None
     for code, label in S.GENDER_CODES.items():
         expr = (F.when(v == code, F.lit(label)) if expr is None else expr.when(v == code, F.lit(label)))

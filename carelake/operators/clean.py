@@ -23,29 +23,54 @@ def split_full_name(first, last):
     return F.get(parts, 0), F.coalesce(clean_text(last), null_if_token(F.get(parts, 1)))
 
 
-def clean_patient_columns(df: DataFrame, as_of=None, split_names: bool = True,
-                          keep_id: bool = False) -> DataFrame:
-    """Typed, normalised patient columns (no rows removed)."""
-    if split_names:
-        first, last = split_full_name("first_name", "last_name")
-    else:
-        first, last = clean_text("first_name"), clean_text("last_name")
-    cols = {
-        "first_name": title_case(null_if_token(first)),
-        "last_name": title_case(F.coalesce(null_if_token(last), F.lit("Unknown"))),
-        "gender": gender_label("gender"),
-        "date_of_birth": parse_date("date_of_birth"),
-        "phone_number": F.nullif(digits_only("phone_number"), F.lit("")),
-        "email": clean_email("email"),
-        # the upload path strips addresses; the CLI path only blanks placeholders
-        "address": clean_text("address") if split_names else null_if_token("address"),
-        "blood_group": upper_code("blood_group"),
-        "registration_date": F.coalesce(parse_date("registration_date"), as_of_lit(as_of)),
-    }
+def _stage_text(df: DataFrame, split_names: bool, keep_id: bool) -> DataFrame:
+    """Stage 1: strip / placeholder / digit rules, one column each (computed once)."""
     out = [F.col("row_id")] if "row_id" in df.columns else []
     if keep_id:
         out.append(strip("patient_id").try_cast("bigint").alias("patient_id"))
-    return df.select(*out, *[e.alias(c) for c, e in cols.items()])
+    return df.select(
+        *out,
+        clean_text("first_name").alias("_f"),
+        clean_text("last_name").alias("_l"),
+        F.lower(clean_text("gender")).alias("_g"),
+        strip("date_of_birth").alias("_dob"),
+        F.nullif(digits_only("phone_number"), F.lit("")).alias("phone_number"),
+        clean_email("email").alias("email"),
+        # the upload path strips addresses; the CLI path only blanks placeholders
+        (clean_text("address") if split_names else null_if_token("address")).alias("address"),
+        upper_code("blood_group").alias("blood_group"),
+        strip("registration_date").alias("_reg"),
+    )
+
+
+def _stage_names(df: DataFrame, split_names: bool) -> DataFrame:
+    """Stage 2: first / last name before casing (C-03, C-04 input)."""
+    if split_names:
+        parts = F.split("_f", r"(?U)\s+", 2)
+        first, last = null_if_token(F.get(parts, 0)), F.coalesce("_l", null_if_token(F.get(parts, 1)))
+    else:
+        first, last = F.col("_f"), F.col("_l")
+    return df.withColumns({"_first": first, "_last": last}).drop("_f", "_l")
+
+
+def _stage_final(df: DataFrame, as_of=None) -> DataFrame:
+    """Stage 3: casing, code maps and date parsing into the stored types."""
+    keep = [c for c in ("row_id", "patient_id") if c in df.columns]
+    return df.select(
+        *keep,
+        title_case("_first").alias("first_name"),
+        title_case(F.coalesce("_last", F.lit("Unknown"))).alias("last_name"),
+        gender_label("_g", lowered=True).alias("gender"),
+        parse_date("_dob", stripped=True).alias("date_of_birth"),
+        "phone_number", "email", "address", "blood_group",
+        F.coalesce(parse_date("_reg", stripped=True), as_of_lit(as_of)).alias("registration_date"),
+    )
+
+
+def clean_patient_columns(df: DataFrame, as_of=None, split_names: bool = True,
+                          keep_id: bool = False) -> DataFrame:
+    """Typed, normalised patient columns (no rows removed)."""
+    return _stage_final(_stage_names(_stage_text(df, split_names, keep_id), split_names), as_of)
 
 
 def required_fields_ok(min_digits: int = S.MIN_PHONE_DIGITS):
@@ -60,9 +85,12 @@ def prepare_raw_patients(raw: DataFrame) -> DataFrame:
 
 
 def clean_patients_upload(raw: DataFrame, as_of=None) -> DataFrame:
-    """C-18 up to (not including) de-duplication: normalise and apply the import filter."""
-    df = clean_patient_columns(prepare_raw_patients(raw), as_of, split_names=True)
-    return df.where(required_fields_ok())
+    """C-18 up to (not including) de-duplication: normalise and apply the import filter.
+    The filter is applied before casing (casing keeps null-ness), so it is cheap."""
+    names = _stage_names(_stage_text(prepare_raw_patients(raw), True, False), True)
+    ok = (F.col("_first").isNotNull() & F.col("phone_number").isNotNull()
+          & (F.length("phone_number") >= S.MIN_PHONE_DIGITS))
+    return _stage_final(names.where(ok), as_of)
 
 
 def clean_patients_cli(raw: DataFrame, as_of=None) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake import schema as S
-from carelake.functions.expr import clean_email, digits_only, null_if_token, parse_date
-from carelake.operators.clean import prepare_raw_patients, split_full_name
+from carelake.functions.expr import (clean_email, clean_text, digits_only, null_if_token, parse_date,
+                                     strip)
+from carelake.operators.clean import prepare_raw_patients
 
 
 def _dup_counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -24,17 +25,19 @@ def _dup_counts(df: DataFrame, key: str, name: str) -> DataFrame:
 def validation_frame(raw: DataFrame, strict: bool = False, length_bounds: bool = False) -> DataFrame:
     """All raw rows with normalised key fields and an ``errors`` array."""
     df = prepare_raw_patients(raw)
-    first, last = split_full_name("first_name", "last_name")
-    norm = df.select(
-        "row_id",
-        null_if_token(first).alias("first_name"),
-        null_if_token(last).alias("_last_given"),
+    text = df.select(
+        "row_id", clean_text("first_name").alias("_f"), clean_text("last_name").alias("_l"),
         F.nullif(digits_only("phone_number"), F.lit("")).alias("phone_number"),
         clean_email("email").alias("email"),
-        F.col("date_of_birth").alias("_dob_raw"),
-        parse_date("date_of_birth").alias("date_of_birth"),
-        *[F.col(c) for c in ("gender", "address", "blood_group")],
-    ).withColumn("last_name", F.coalesce("_last_given", F.lit("Unknown")))
+        F.col("date_of_birth").alias("_dob_raw"), strip("date_of_birth").alias("_dob"),
+        *[F.col(c) for c in ("gender", "address", "blood_group")])
+    parts = F.split("_f", r"(?U)\s+", 2)
+    norm = (text.withColumns({
+                "first_name": null_if_token(F.get(parts, 0)),
+                "_last_given": F.coalesce("_l", null_if_token(F.get(parts, 1))),
+                "date_of_birth": parse_date("_dob", stripped=True)})
+            .withColumn("last_name", F.coalesce("_last_given", F.lit("Unknown")))
+            .drop("_f", "_l", "_dob"))
 
     phone_dups = _dup_counts(norm, "phone_number", "_phone_n")
     email_dups = _dup_counts(norm, "email", "_email_n")

@@ -195,3 +195,11 @@ SELECT CAST(count(*) AS BIGINT) AS row_count, CAST({len(_PROFILE_COLS)} AS BIGIN
 FROM patients_raw"""), "P-01,P-04..P-07,H-04")
 def profile_issues(spark, sf):
     return P.profile_issues(fixture(spark, sf, "patients_raw"))
+
+
+@register("dedup_fuzzy", None, "D-03,X-10")
+def dedup_fuzzy(spark, sf):
+    """Fuzzy rule before D-01 (run stand-alone; after an exact phone de-dup it can remove
+    nothing). Checked against a sequential loop in tests (no SQL oracle)."""
+    from carelake.operators.fuzzy import fuzzy_dedup
+    return fuzzy_dedup(_upload(spark, sf)).select(*OUT)

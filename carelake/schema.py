@@ -95,24 +95,17 @@ NULL_TOKENS = ["", "nan", "none", "nat"]
 GENDER_CODES = {"m": "Male", "f": "Female", "o": "Other"}
 ALLOWED_GENDER_VALUES = ["male", "female", "other", "m", "f", "o"]
 
-# Day-first date layouts, tried in order per value.
-DATE_FORMATS = [
-    "d-M-yyyy", "yyyy-M-d", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy", "yyyy.M.d",
-    "yyyy-M-d HH:mm:ss", "d-M-yyyy HH:mm:ss", "yyyyMMdd",
+# Day-first date layouts accepted per value, as (layout, shape, rewrite to y-M-d).
+# Separators inside one value must agree; an optional time part must be valid.
+_TIME = r"( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?"
+DATE_LAYOUTS = [
+    ("d-M-yyyy, d/M/yyyy, d.M.yyyy [HH:mm:ss]",
+     r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME + "$", "$4-$3-$1"),
+    ("yyyy-M-d, yyyy/M/d, yyyy.M.d [HH:mm:ss]",
+     r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + "$", "$1-$3-$4"),
+    ("yyyyMMdd", r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 ]
-
-# Shape of each layout (regex), used to try a layout only on matching values.
-DATE_FORMAT_SHAPES = {
-    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
-    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
-    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
-    "yyyy-M-d HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}$",
-    "d-M-yyyy HH:mm:ss": r"^\d{1,2}-\d{1,2}-\d{4} \d{2}:\d{2}:\d{2}$",
-    "yyyyMMdd": r"^\d{8}$",
-}
+DATE_FORMATS = [name for name, _, _ in DATE_LAYOUTS]
 
 # Triage rule.
 HIGH_RISK_KEYWORDS = [
