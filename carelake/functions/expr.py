@@ -37,8 +37,8 @@ def as_of_lit(as_of) -> Column:
 
 
 def strip(c) -> Column:
-    """Strip leading/trailing whitespace of any kind (Spark ``trim`` only drops spaces)."""
-    return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace of any kind (plain ``trim`` only drops spaces)."""
+    return F.trim(col_of(c), F.lit(S.WHITESPACE))
 
 
 def null_if_token(c) -> Column:

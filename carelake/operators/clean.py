@@ -14,6 +14,7 @@ from carelake.functions.expr import (as_of_lit, clean_email, clean_text, digits_
                                      gender_label, null_if_token, parse_date, strip, title_case,
                                      upper_code)
 from carelake.operators.headers import inject_missing, normalize_headers, require_columns
+from carelake.sources.tables import ensure_parallelism
 
 
 def split_full_name(first, last):
@@ -80,7 +81,7 @@ def required_fields_ok(min_digits: int = S.MIN_PHONE_DIGITS):
 
 
 def prepare_raw_patients(raw: DataFrame) -> DataFrame:
-    df = normalize_headers(raw)
+    df = normalize_headers(ensure_parallelism(raw))
     return inject_missing(df, S.PATIENT_COLUMNS)
 
 
@@ -97,7 +98,7 @@ def clean_patients_cli(raw: DataFrame, as_of=None) -> DataFrame:
     """C-16: requires the four CLI columns, keeps ``patient_id``; no name split.
     Rows without a phone are not loadable (T11) and are left out here; see
     :func:`cli_rejects` for them."""
-    df = normalize_headers(raw)
+    df = normalize_headers(ensure_parallelism(raw))
     require_columns(df, S.REQUIRED_PATIENT_COLUMNS, "patient extract")
     df = inject_missing(df, S.PATIENT_COLUMNS)
     return clean_patient_columns(df, as_of, split_names=False, keep_id=True)
@@ -110,7 +111,7 @@ def cli_rejects(cleaned: DataFrame) -> DataFrame:
 
 def clean_visits(raw: DataFrame) -> DataFrame:
     """C-19: visits sheet normalised; rows without a parseable visit date dropped."""
-    df = normalize_headers(raw)
+    df = normalize_headers(ensure_parallelism(raw))
     require_columns(df, S.REQUIRED_VISIT_COLUMNS, "visits sheet")
     df = inject_missing(df, ["patient_id", "phone_number", "email", "symptoms",
                              "medications", "follow_up_date"])

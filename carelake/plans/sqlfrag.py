@@ -6,7 +6,8 @@ from carelake import schema as S
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    chars = S.WHITESPACE.replace("'", "''")
+    return f"trim({x}, '{chars}')"
 
 
 def clean(x: str) -> str:

@@ -88,6 +88,10 @@ EXPECTED_PATIENT_COLUMNS = PATIENT_COLUMNS
 REQUIRED_PATIENT_COLUMNS = ["first_name", "last_name", "phone_number", "date_of_birth"]
 REQUIRED_VISIT_COLUMNS = ["doctor_name", "visit_date"]
 
+# Characters stripped from both ends of a value (Python's str.isspace() set).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # Placeholder texts treated as missing (compared case-insensitively after strip).
 NULL_TOKENS = ["", "nan", "none", "nat"]
 

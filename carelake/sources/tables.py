@@ -17,3 +17,13 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     if not os.path.exists(path) and os.path.isdir(os.path.join(base_dir, name)):
         path = os.path.join(base_dir, name)
     return spark.read.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a raw extract that arrives in fewer splits than the cluster has cores
+    (e.g. one small file with one row group) before CPU-heavy per-row cleaning.
+    Large inputs already have many splits and are returned unchanged (no shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
