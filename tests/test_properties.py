@@ -92,3 +92,35 @@ def test_triage_keyword_across_visit_boundary(spark):
     assert r.score == 4 and "Critical symptom keyword detected" in r.reasons   # "...chest" + " " + "pain..."
     v2 = v.withColumn("visit_date", F.when(F.col("visit_id") == 10, F.lit(dt.date(2023, 1, 1))).otherwise(F.col("visit_date")))
     assert PT.triage(p, v2, dt.date(2024, 1, 3)).first().score == 1   # order reversed: "pain chest ..."
+
+
+def test_fuzzy_large_block_path_equals_array_path(spark, sf):
+    """Forcing every block through the distributed path gives the same survivors."""
+    batch = _upload(spark, sf)
+    a = sorted(r.row_id for r in fuzzy_dedup(batch).select("row_id").collect())
+    b = sorted(r.row_id for r in fuzzy_dedup(batch, max_block_names=1).select("row_id").collect())
+    assert a == b
+
+
+def test_fuzzy_hot_block_with_many_names(spark):
+    """One (phone, dob) block with many distinct names: distributed path equals the loop."""
+    import datetime as dt
+    import random
+    from carelake.operators.fuzzy import greedy_keep
+    rnd = random.Random(7)
+    base = ["jonathan", "jonathon", "johnathan", "maria", "marie", "mariah", "ann", "anne", "annie"]
+    rows = []
+    for i in range(120):
+        f = rnd.choice(base) + rnd.choice(["", "", "a", "e", "n"])
+        l = rnd.choice(["smith", "smyth", "smithe", "jones", "jonas"])
+        rows.append((i, f, l, "5550001", dt.date(1970, 1, 1)))
+    df = spark.createDataFrame(rows, "row_id long, first_name string, last_name string, phone_number string, date_of_birth date")
+    got = sorted(r.row_id for r in fuzzy_dedup(df, max_block_names=4).select("row_id").collect())
+    # loop over first occurrences of each distinct name pair, as the rule implies
+    firsts, seen = [], set()
+    for r in rows:
+        if (r[1], r[2]) not in seen:
+            seen.add((r[1], r[2]))
+            firsts.append(r)
+    keep = greedy_keep([r[1] for r in firsts], [r[2] for r in firsts])
+    assert got == sorted(r[0] for r, k in zip(firsts, keep) if k)
