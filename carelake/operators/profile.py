@@ -62,3 +62,15 @@ def profile_issues(raw: DataFrame) -> DataFrame:
         F.count_if("dob_bad").alias("dob_unparseable"),
         F.count_if("g_bad").alias("inconsistent_gender"),
     ).withColumn("unknown_columns", F.lit(", ".join(unknown_columns(df))))
+
+
+def write_quality_report(raw: DataFrame, path: str, fmt: str = "json") -> dict[str, str]:
+    """K-09: persist the profile tables (missing, distinct, issues) under ``path``."""
+    import os
+    out = {}
+    for name, frame in (("missing", profile_missing(raw)), ("distinct", profile_distinct(raw)),
+                        ("issues", profile_issues(raw))):
+        target = os.path.join(path, name)
+        frame.coalesce(1).write.mode("overwrite").format(fmt).save(target)
+        out[name] = target
+    return out

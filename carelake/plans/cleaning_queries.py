@@ -203,3 +203,58 @@ def dedup_fuzzy(spark, sf):
     nothing). Checked against a sequential loop in tests (no SQL oracle)."""
     from carelake.operators.fuzzy import fuzzy_dedup
     return fuzzy_dedup(_upload(spark, sf)).select(*OUT)
+
+
+# --- extracts read back from files (S-01, S-02, S-04) ----------------------------------
+
+def _roundtrip(spark, sf, fmt: str):
+    import os
+    import uuid
+    from carelake.session import ensure_checkpoint_dir
+    from carelake.sources.extracts import read_extract
+    path = os.path.join(ensure_checkpoint_dir(spark), f"extract-{uuid.uuid4().hex[:12]}.{fmt}")
+    raw = fixture(spark, sf, "patients_raw")
+    w = raw.write.mode("overwrite")
+    (w.option("header", "true").csv(path) if fmt == "csv" else w.json(path))
+    return read_extract(spark, path)
+
+
+@register("clean_from_csv", sql(("patients_raw",), f"SELECT {_COLS} FROM upf", _UPLOAD_CTE), "S-01,S-02,S-04,C-18")
+def clean_from_csv(spark, sf):
+    """The raw extract written as CSV, read back as text and cleaned: same rows as the table path."""
+    return C.clean_patients_upload(_roundtrip(spark, sf, "csv"), AS_OF).select(*OUT)
+
+
+@register("clean_from_json", sql(("patients_raw",), f"SELECT {_COLS} FROM upf", _UPLOAD_CTE), "S-02,S-04,C-18")
+def clean_from_json(spark, sf):
+    return C.clean_patients_upload(_roundtrip(spark, sf, "json"), AS_OF).select(*OUT)
+
+
+# --- V-08: API length bounds ---------------------------------------------------------------
+
+def _len_checks_sql():
+    parts = []
+    for field, (lo, hi) in S.FIELD_LENGTH_BOUNDS.items():
+        if field == "doctor_name":
+            continue
+        parts.append(f"CASE WHEN {field} IS NOT NULL AND (length({field}) < {lo} OR length({field}) > {hi}) "
+                     f"THEN '{field} length must be between {lo} and {hi}' END")
+    return ",\n".join(parts)
+
+
+_VAL_API_CTE = _VAL_CTE.replace(
+    "date_of_birth AS dob_raw,", "date_of_birth AS dob_raw, gender, address, blood_group,").replace(
+    "CASE WHEN {nt} IS NOT NULL AND date_of_birth IS NULL THEN '{msg}' END\n       ) AS errors".format(
+        nt=Q.null_token('dob_raw'), msg=S.MSG_BAD_DOB),
+    "CASE WHEN {nt} IS NOT NULL AND date_of_birth IS NULL THEN '{msg}' END,\n{lens}\n       ) AS errors".format(
+        nt=Q.null_token('dob_raw'), msg=S.MSG_BAD_DOB, lens=_len_checks_sql()))
+
+
+@register("invalid_rows_api", sql(("patients_raw",), """
+SELECT row_id, first_name, last_name, phone_number, email, errors FROM ve WHERE errors <> ''""", _VAL_API_CTE),
+    "V-08")
+def invalid_rows_api(spark, sf):
+    frame = V.validation_frame(fixture(spark, sf, "patients_raw"), length_bounds=True)
+    return (V.invalid_rows(frame)
+            .select("row_id", "first_name", "last_name", "phone_number", "email",
+                    F.array_join("errors", "; ").alias("errors")))

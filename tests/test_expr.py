@@ -83,3 +83,25 @@ def test_short_phone_rejected(spark):
     raw = spark.createDataFrame([(1, "A", "B", "12-3")], "row_id long, first_name string, last_name string, phone_number string")
     errs = invalid_rows(validation_frame(raw)).select(F.array_join("errors", "; ")).first()[0]
     assert errs == "Invalid or missing phone number (min 5 digits)"
+
+
+def test_api_length_bounds(spark):
+    from carelake.operators.validate import invalid_rows, validation_frame
+    raw = spark.createDataFrame([(1, "A" * 51, "B", "9988776655", "ABCDEF")],
+                                "row_id long, first_name string, last_name string, phone_number string, blood_group string")
+    errs = invalid_rows(validation_frame(raw, length_bounds=True)).select(F.array_join("errors", "; ")).first()[0]
+    assert errs == "first_name length must be between 1 and 50; blood_group length must be between 0 and 5"
+
+
+def test_extract_formats(spark, tmp_path):
+    import pytest
+    from carelake.sources.extracts import extract_format, read_extract, read_optional
+    assert extract_format("x/patients.CSV") == "csv"
+    with pytest.raises(ValueError):
+        extract_format("x/patients.xlsx")
+    p = str(tmp_path / "p.csv")
+    spark.createDataFrame([("09699836744", "11-03-2026")], "phone_number string, dob string") \
+        .write.option("header", "true").csv(p)
+    r = read_extract(spark, p).first()
+    assert r.phone_number == "09699836744" and r.dob == "11-03-2026" and r.row_id is not None
+    assert read_optional(spark, str(tmp_path / "missing"), ["visit_date"]).columns == ["row_id", "visit_date"]
