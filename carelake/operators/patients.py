@@ -206,6 +206,8 @@ def patient_report(patients: DataFrame, visits: DataFrame, audit: DataFrame | No
            .withColumn("diagnosis", diagnosis_text(F.col("_latest")))
            .withColumn("age", age_years("date_of_birth", as_of))
            .withColumn("display_name", display_name("first_name", "last_name"))
+           .withColumn("registered_on", F.coalesce(F.date_format("registration_date", "MMMM d, yyyy"),
+                                                   F.lit("N/A")))
            .drop("_latest"))
     if audit is not None:
         ac = (audit_by_patient(patients.select("patient_id"), audit, json_path)

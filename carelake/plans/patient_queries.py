@@ -131,19 +131,20 @@ SELECT p.patient_id,
        coalesce(nullif(trim(coalesce(p.first_name, '') || ' ' || coalesce(p.last_name, '')), ''), 'Unknown Patient') AS display_name,
        {_AGE_SQL.replace('date_of_birth', 'p.date_of_birth')} AS age,
        CAST(coalesce(vc.n, 0) AS BIGINT) AS visit_count, vc.last_visit_date, {_DIAG_SQL} AS diagnosis,
-       CAST(coalesce(ac.n, 0) AS BIGINT) AS audit_count
+       CAST(coalesce(ac.n, 0) AS BIGINT) AS audit_count,
+       coalesce(strftime(p.registration_date, '%B %-d, %Y'), 'N/A') AS registered_on
 FROM patients p
 LEFT JOIN (SELECT patient_id, count(*) AS n, max(visit_date) AS last_visit_date FROM visits GROUP BY patient_id) vc
   ON vc.patient_id = p.patient_id
 LEFT JOIN lv ON lv.patient_id = p.patient_id
 LEFT JOIN (SELECT p2.patient_id, count(*) AS n FROM audit_logs a JOIN patients p2
            ON CAST(p2.patient_id AS VARCHAR) = {_AUDIT_KEY_SQL} GROUP BY p2.patient_id) ac ON ac.patient_id = p.patient_id""",
-                                _LATEST_CTE), "A-18,J-08")
+                                _LATEST_CTE), "A-18,J-08,X-12")
 def patient_report(spark, sf):
     p, v = _pv(spark, sf)
     r = PT.patient_report(p, v, fixture(spark, sf, "audit_logs"), AS_OF, JSON_PATH)
     return r.select("patient_id", "display_name", "age", "visit_count", "last_visit_date", "diagnosis",
-                    "audit_count")
+                    "audit_count", "registered_on")
 
 
 _ALL_P = ", ".join(S.PATIENT_COLUMNS)
