@@ -138,19 +138,35 @@ def doctor_workload(visits: DataFrame, k: int = 5, collation: str | None = None)
 
 # --- A-09 / A-10 / J-01 ------------------------------------------------------
 
-def follow_up_rows(visits: DataFrame, patients: DataFrame, as_of=None) -> DataFrame:
-    """Visits with a follow-up date, patient name (left join), days until due and bucket."""
-    v = visits.where(F.col("follow_up_date").isNotNull()).select(
-        "visit_id", "patient_id", "doctor_name", "follow_up_date")
-    p = patients.select("patient_id", full_name("first_name", "last_name").alias("patient_name"))
+def follow_up_rows(visits: DataFrame, patients: DataFrame | None = None, as_of=None) -> DataFrame:
+    """Visits with a follow-up date, days until due and bucket; with ``patients`` also
+    the patient name (left join, J-01)."""
     days = F.datediff("follow_up_date", as_of_lit(as_of))
-    name = F.coalesce(F.nullif(F.col("patient_name"), F.lit("")), F.lit(S.UNKNOWN_PATIENT_NAME))
     doctor = F.coalesce(F.nullif(F.col("doctor_name"), F.lit("")), F.lit(S.UNKNOWN_DOCTOR))
-    return (v.join(p, "patient_id", "left")
-            .select("visit_id", "patient_id", name.alias("patient_name"), doctor.alias("doctor_name"),
-                    "follow_up_date", days.alias("days_until_follow_up"))
+    rows = (visits.where(F.col("follow_up_date").isNotNull())
+            .select("visit_id", "patient_id", doctor.alias("doctor_name"), "follow_up_date",
+                    days.alias("days_until_follow_up"))
             .withColumn("bucket", F.when(F.col("days_until_follow_up") < 0, F.lit("overdue"))
                         .when(F.col("days_until_follow_up") <= 7, F.lit("due_soon"))))
+    return rows if patients is None else with_patient_names(rows, patients)
+
+
+def _names(patients: DataFrame) -> DataFrame:
+    name = F.coalesce(F.nullif(full_name("first_name", "last_name"), F.lit("")), F.lit(S.UNKNOWN_PATIENT_NAME))
+    return patients.select("patient_id", name.alias("patient_name"))
+
+
+def with_patient_names(rows: DataFrame, patients: DataFrame, small: bool = False) -> DataFrame:
+    """Left join of patient names (J-01). ``small=True``: ``rows`` has a proven small
+    bound, so only the matching patients are fetched (broadcast semi join of the ids)
+    and looked up by broadcast; the patient table is never shuffled."""
+    if not small:
+        joined = rows.join(_names(patients), "patient_id", "left")
+    else:
+        ids = F.broadcast(rows.select("patient_id").distinct())
+        few = patients.join(ids, "patient_id", "left_semi")
+        joined = rows.join(F.broadcast(_names(few)), "patient_id", "left")
+    return joined.withColumn("patient_name", F.coalesce("patient_name", F.lit(S.UNKNOWN_PATIENT_NAME)))
 
 
 def follow_up_counts(rows: DataFrame) -> DataFrame:
@@ -158,18 +174,20 @@ def follow_up_counts(rows: DataFrame) -> DataFrame:
                     F.count_if(F.col("bucket") == "due_soon").alias("due_soon_count"))
 
 
-def follow_up_reminders(rows: DataFrame, k: int = 5) -> DataFrame:
+def follow_up_reminders(rows: DataFrame, k: int = 5, patients: DataFrame | None = None) -> DataFrame:
     """First ``k`` reminders per bucket in (follow_up_date asc, visit_id desc) order.
 
     ``row_number() <= k`` lets Spark place a partial WindowGroupLimit before the
     shuffle, so each bucket (there are only two) receives at most k rows per
-    input partition instead of every reminder.
+    input partition instead of every reminder. Names are attached afterwards to
+    the at most 2k chosen rows.
     """
     w = Window.partitionBy("bucket").orderBy(F.asc("follow_up_date"), F.desc("visit_id"))
-    return (rows.where(F.col("bucket").isNotNull())
-            .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .withColumn("status", follow_up_status("days_until_follow_up")))
+    top = (rows.where(F.col("bucket").isNotNull())
+           .withColumn("rank", F.row_number().over(w))
+           .where(F.col("rank") <= k)
+           .withColumn("status", follow_up_status("days_until_follow_up")))
+    return top if patients is None else with_patient_names(top, patients, small=True)
 
 
 def with_follow_up_status(rows: DataFrame) -> DataFrame:
@@ -181,7 +199,7 @@ def with_follow_up_status(rows: DataFrame) -> DataFrame:
 def overview_bundle(patients: DataFrame, visits: DataFrame, as_of=None) -> dict[str, DataFrame]:
     """All overview parts, each a DataFrame over the same (optionally cached) inputs."""
     trend = visit_trend(visits, as_of)
-    rows = follow_up_rows(visits, patients, as_of)
+    rows = follow_up_rows(visits, None, as_of)
     return {
         "summary": repeat_visit_rate(patients, visits, as_of),
         "visit_trend": trend,
@@ -189,5 +207,5 @@ def overview_bundle(patients: DataFrame, visits: DataFrame, as_of=None) -> dict[
         "top_symptoms": top_symptoms(visits),
         "doctor_workload": doctor_workload(visits),
         "follow_up_counts": follow_up_counts(rows),
-        "follow_up_reminders": follow_up_reminders(rows),
+        "follow_up_reminders": follow_up_reminders(rows, patients=patients),
     }

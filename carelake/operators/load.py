@@ -61,9 +61,8 @@ def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_
         is_first = F.lit(True)
         for k in keys:
             is_first = is_first & (F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col(order_col)))
+        # recomputing the winners is one aggregate over the checkpointed remainder
         winners = firsts.where(is_first).select(*todo.columns)
-        if checkpoint:
-            winners = cut_lineage(winners)
         accepted_parts.append(winners)
         rest = todo.join(winners.select(order_col), order_col, "left_anti")
         losers = None

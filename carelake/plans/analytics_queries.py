@@ -143,7 +143,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY follow_up_date A
 WHERE rank <= 5""", _FOLLOW_UP_CTE), "A-09,A-10,J-01,O-03")
 def follow_up_reminders(spark, sf):
     p, v = _pv(spark, sf)
-    return (A.follow_up_reminders(A.follow_up_rows(v, p, AS_OF))
+    return (A.follow_up_reminders(A.follow_up_rows(v, None, AS_OF), patients=p)
             .select("bucket", F.col("rank").cast("int").alias("rank"), "visit_id", "patient_id",
                     "patient_name", "doctor_name", "follow_up_date", "days_until_follow_up", "status"))
 
@@ -153,7 +153,7 @@ SELECT CAST(count_if(bucket = 'overdue') AS BIGINT) AS overdue_count,
        CAST(count_if(bucket = 'due_soon') AS BIGINT) AS due_soon_count FROM fb""", _FOLLOW_UP_CTE), "A-09")
 def follow_up_counts(spark, sf):
     p, v = _pv(spark, sf)
-    return A.follow_up_counts(A.follow_up_rows(v, p, AS_OF))
+    return A.follow_up_counts(A.follow_up_rows(v, None, AS_OF))
 
 
 @register("follow_up_status", sql(("patients", "visits"), f"""
