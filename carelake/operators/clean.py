@@ -127,3 +127,16 @@ def clean_visits(raw: DataFrame) -> DataFrame:
         parse_date("follow_up_date").alias("follow_up_date"),
         parse_date("visit_date").alias("visit_date"),
     ).where(F.col("visit_date").isNotNull())
+
+
+def truncate_to_bounds(df: DataFrame, bounds=None) -> DataFrame:
+    """T17 option: cut over-long text to the stored column length (as an INSERT IGNORE
+    into VARCHAR(n) columns would) instead of rejecting the row."""
+    bounds = bounds or S.FIELD_LENGTH_BOUNDS
+    return df.withColumns({c: F.substring(c, 1, hi) for c, (_, hi) in bounds.items() if c in df.columns})
+
+
+def to_json_records(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """K-08: one JSON text per row; nulls stay null, dates as ISO text."""
+    return df.select(F.to_json(F.struct(*df.columns), {"dateFormat": date_format,
+                                                       "ignoreNullFields": "false"}).alias("json"))

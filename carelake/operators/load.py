@@ -186,3 +186,31 @@ def import_summary(records_found: DataFrame, after_filter: DataFrame, after_dedu
         ((F.col("filtered") - F.col("deduped")) + (F.col("deduped") - F.col("inserted"))).alias("duplicates_removed"),
         (F.col("found") - F.col("filtered")).alias("invalid_rows_skipped"),
         F.col("inserted").alias("records_inserted"))
+
+
+def visit_load_summary(raw_visits: DataFrame, cleaned: DataFrame, resolved: DataFrame,
+                       accepted: DataFrame) -> DataFrame:
+    """C-15 / J-02..J-04 accounting in one row: rows found, dropped for a missing or
+    unparseable visit date, resolved by id / phone / e-mail, rejected, loaded."""
+    def one(df, name):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n")
+    by = (resolved.groupBy(F.coalesce("resolved_by", F.lit("none")).alias("k"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    stages = (one(raw_visits, "found").unionByName(one(cleaned, "dated"))
+              .unionByName(by).unionByName(one(accepted, "loaded")))
+    keys = ["found", "dated", "id", "phone", "email", "none", "loaded"]
+    piv = stages.groupBy().pivot("k", keys).agg(F.first("n")).na.fill(0, keys)
+    return piv.select(
+        F.col("found").alias("records_found"),
+        (F.col("found") - F.col("dated")).alias("dropped_no_date"),
+        F.col("id").alias("resolved_by_id"), F.col("phone").alias("resolved_by_phone"),
+        F.col("email").alias("resolved_by_email"),
+        (F.col("dated") - F.col("loaded")).alias("rejected"),
+        F.col("loaded").alias("records_loaded"))
+
+
+def post_load_counts(patients: DataFrame, visits: DataFrame) -> DataFrame:
+    """P-08: row counts of the stored tables, folded into one row."""
+    p = patients.agg(F.count(F.lit(1)).alias("patients")).select("patients", F.lit(None).cast("long").alias("visits"))
+    v = visits.agg(F.count(F.lit(1)).alias("visits")).select(F.lit(None).cast("long").alias("patients"), "visits")
+    return p.unionByName(v).agg(F.max("patients").alias("patients"), F.max("visits").alias("visits"))

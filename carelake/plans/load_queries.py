@@ -141,3 +141,27 @@ FROM rv WHERE patient_id IN (SELECT patient_id FROM patients)""", _VISIT_CTE), "
 def load_visits(spark, sf):
     ok, _ = L.split_foreign_key(_resolved(spark, sf), fixture(spark, sf, "patients"))
     return L.append_visits(ok, fixture(spark, sf, "visits"))
+
+
+@register("visit_load_summary", sql(("visits_raw", "patients"), """
+SELECT CAST((SELECT count(*) FROM visits_raw) AS BIGINT) AS records_found,
+       CAST((SELECT count(*) FROM visits_raw) - (SELECT count(*) FROM vc) AS BIGINT) AS dropped_no_date,
+       CAST((SELECT count(*) FROM rv WHERE resolved_by = 'id') AS BIGINT) AS resolved_by_id,
+       CAST((SELECT count(*) FROM rv WHERE resolved_by = 'phone') AS BIGINT) AS resolved_by_phone,
+       CAST((SELECT count(*) FROM rv WHERE resolved_by = 'email') AS BIGINT) AS resolved_by_email,
+       CAST((SELECT count(*) FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients)) AS BIGINT) AS rejected,
+       CAST((SELECT count(*) FROM rv WHERE patient_id IN (SELECT patient_id FROM patients)) AS BIGINT) AS records_loaded""",
+    _VISIT_CTE), "C-15,J-02..J-04,K-02")
+def visit_load_summary(spark, sf):
+    raw = fixture(spark, sf, "visits_raw")
+    cleaned = C.clean_visits(raw)
+    resolved = L.resolve_visit_patients(cleaned, fixture(spark, sf, "patients"))
+    ok, _ = L.split_foreign_key(resolved, fixture(spark, sf, "patients"))
+    return L.visit_load_summary(raw, cleaned, resolved, ok)
+
+
+@register("post_load_counts", sql(("patients", "visits"), """
+SELECT CAST((SELECT count(*) FROM patients) AS BIGINT) AS patients,
+       CAST((SELECT count(*) FROM visits) AS BIGINT) AS visits"""), "P-08")
+def post_load_counts(spark, sf):
+    return L.post_load_counts(fixture(spark, sf, "patients"), fixture(spark, sf, "visits"))

@@ -186,3 +186,13 @@ SELECT patient_id, first_name, last_name, phone_number, email FROM patients ORDE
 def first_patients(spark, sf):
     return PT.first_rows(fixture(spark, sf, "patients"), 5, "patient_id",
                          ["patient_id", "first_name", "last_name", "phone_number", "email"])
+
+
+@register("timeline_audit", sql(("patients", "audit_logs"), f"""
+SELECT p.patient_id, strftime(date_trunc('second', a.changed_at), '%Y-%m-%d %H:%M:%S') AS event_date,
+       a.entity_type || ': ' || a.action AS title
+FROM audit_logs a JOIN patients p ON CAST(p.patient_id AS VARCHAR) = {_AUDIT_KEY_SQL}"""), "A-15")
+def timeline_audit(spark, sf):
+    p, v = _pv(spark, sf)
+    t = PT.timeline(p, v, fixture(spark, sf, "audit_logs"), JSON_PATH)
+    return t.where(F.col("event_type") == "audit").select("patient_id", "event_date", "title")

@@ -105,3 +105,14 @@ def test_extract_formats(spark, tmp_path):
     r = read_extract(spark, p).first()
     assert r.phone_number == "09699836744" and r.dob == "11-03-2026" and r.row_id is not None
     assert read_optional(spark, str(tmp_path / "missing"), ["visit_date"]).columns == ["row_id", "visit_date"]
+
+
+def test_truncate_and_json_records(spark):
+    import datetime as dt
+    from carelake.operators.clean import to_json_records, truncate_to_bounds
+    df = spark.createDataFrame([("X" * 60, "AB+XYZ", dt.date(2001, 8, 1), None)],
+                               "first_name string, blood_group string, d date, email string")
+    t = truncate_to_bounds(df).first()
+    assert len(t.first_name) == 50 and t.blood_group == "AB+XY"
+    js = to_json_records(df.select("d", "email")).first().json
+    assert js == '{"d":"2001-08-01","email":null}'
