@@ -209,3 +209,42 @@ def overview_bundle(patients: DataFrame, visits: DataFrame, as_of=None) -> dict[
         "follow_up_counts": follow_up_counts(rows),
         "follow_up_reminders": follow_up_reminders(rows, patients=patients),
     }
+
+
+def _joined(df: DataFrame, sort_key, text) -> DataFrame:
+    """Fold a small (bounded) result into one '; '-joined text in ``sort_key`` order."""
+    items = df.agg(F.sort_array(F.collect_list(F.struct(sort_key.alias("s"), text.alias("t")))).alias("a"))
+    return items.select(F.array_join(F.transform("a", lambda x: x.getField("t")), "; ").alias("v"))
+
+
+def overview_row(patients: DataFrame, visits: DataFrame, as_of=None) -> DataFrame:
+    """A-11 as one row: summary numbers and the bounded lists as text. The parts are
+    stacked as (name, value) rows and pivoted, so no cross join is needed."""
+    b = overview_bundle(patients, visits, as_of)
+    s = b["summary"]
+    parts = [
+        s.select(F.lit("total_patients").alias("k"), F.col("total_patients").cast("string").alias("v")),
+        s.select(F.lit("new_today").alias("k"), F.col("new_today").cast("string").alias("v")),
+        s.select(F.lit("repeat_patients").alias("k"), F.col("repeat_patients").cast("string").alias("v")),
+        s.select(F.lit("repeat_visit_rate").alias("k"), F.col("repeat_visit_rate").cast("string").alias("v")),
+        _joined(b["visit_trend"], F.col("visit_day"),
+                F.concat(F.date_format("visit_day", "yyyy-MM-dd"), F.lit(":"), F.col("visit_count").cast("string"))
+                ).select(F.lit("visit_trend").alias("k"), "v"),
+        _joined(b["top_symptoms"], F.struct(-F.col("symptom_count"), F.col("symptom")),
+                F.concat("symptom", F.lit(":"), F.col("symptom_count").cast("string"))
+                ).select(F.lit("top_symptoms").alias("k"), "v"),
+        _joined(b["doctor_workload"], F.struct(-F.col("visit_count"), F.col("doctor_name")),
+                F.concat("doctor_name", F.lit(":"), F.col("visit_count").cast("string"))
+                ).select(F.lit("doctor_workload").alias("k"), "v"),
+        b["follow_up_counts"].select(F.lit("overdue_count").alias("k"), F.col("overdue_count").cast("string").alias("v")),
+        b["follow_up_counts"].select(F.lit("due_soon_count").alias("k"), F.col("due_soon_count").cast("string").alias("v")),
+    ]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    keys = ["total_patients", "new_today", "repeat_patients", "repeat_visit_rate", "visit_trend",
+            "top_symptoms", "doctor_workload", "overdue_count", "due_soon_count"]
+    row = stacked.groupBy().pivot("k", keys).agg(F.first("v"))
+    longs = ["total_patients", "new_today", "repeat_patients", "overdue_count", "due_soon_count"]
+    return row.select(*[F.col(k).cast("long").alias(k) if k in longs else
+                        (F.col(k).cast("double").alias(k) if k == "repeat_visit_rate" else F.col(k)) for k in keys])

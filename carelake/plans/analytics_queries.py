@@ -164,3 +164,27 @@ def follow_up_status(spark, sf):
     return (A.with_follow_up_status(A.follow_up_rows(v, p, AS_OF))
             .select("visit_id", "patient_id", "patient_name", "follow_up_date",
                     "days_until_follow_up", "status"))
+
+
+@register("overview_bundle", sql(("patients", "visits"), f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM patients) AS total_patients,
+       (SELECT CAST(count_if(registration_date = {AS_OF_SQL}) AS BIGINT) FROM patients) AS new_today,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT patient_id FROM visits GROUP BY patient_id HAVING count(*) >= 2) r) AS repeat_patients,
+       (SELECT CASE WHEN count(*) > 0 THEN round_even((SELECT count(*) FROM (SELECT patient_id FROM visits GROUP BY patient_id HAVING count(*) >= 2) r) / count(*) * 100.0, 1) ELSE 0.0 END FROM patients) AS repeat_visit_rate,
+       (SELECT string_agg(strftime(visit_day, '%Y-%m-%d') || ':' || CAST(visit_count AS VARCHAR), '; ' ORDER BY visit_day) FROM trend) AS visit_trend,
+       (SELECT string_agg(symptom || ':' || CAST(symptom_count AS VARCHAR), '; ' ORDER BY symptom_count DESC, symptom) FROM ts) AS top_symptoms,
+       (SELECT string_agg(doctor_name || ':' || CAST(visit_count AS VARCHAR), '; ' ORDER BY visit_count DESC, doctor_name) FROM dw) AS doctor_workload,
+       (SELECT CAST(count_if(bucket = 'overdue') AS BIGINT) FROM fb) AS overdue_count,
+       (SELECT CAST(count_if(bucket = 'due_soon') AS BIGINT) FROM fb) AS due_soon_count""",
+    _TREND_CTE.rstrip() + ",\n" + _FOLLOW_UP_CTE.strip() + f""",
+ts AS (SELECT symptom, count(*) AS symptom_count
+       FROM (SELECT {_SYMPTOM_SQL} AS symptom
+             FROM (SELECT unnest(regexp_split_to_array(symptoms, '[/;,]')) AS tok
+                   FROM visits WHERE symptoms IS NOT NULL AND trim(symptoms) <> '') t) s
+       WHERE symptom <> '' GROUP BY symptom ORDER BY symptom_count DESC, symptom ASC LIMIT 5),
+dw AS (SELECT doctor_name, count(*) AS visit_count FROM visits
+       WHERE doctor_name IS NOT NULL AND trim(doctor_name) <> ''
+       GROUP BY doctor_name ORDER BY visit_count DESC, doctor_name ASC LIMIT 5)"""), "A-11")
+def overview_bundle(spark, sf):
+    p, v = _pv(spark, sf)
+    return A.overview_row(p, v, AS_OF)
