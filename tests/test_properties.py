@@ -124,3 +124,23 @@ def test_fuzzy_hot_block_with_many_names(spark):
             firsts.append(r)
     keep = greedy_keep([r[1] for r in firsts], [r[2] for r in firsts])
     assert got == sorted(r[0] for r, k in zip(firsts, keep) if k)
+
+
+def test_registration_first_wins_against_stored_and_batch(spark, sf):
+    batch = _upload(spark, sf)
+    stored = fixture(spark, sf, "patients")
+    keys = ["phone_number", "email"]
+    seen = {k: {r[k] for r in stored.select(k).collect() if r[k] is not None} for k in keys}
+    rows = sorted((r.asDict() for r in batch.select("row_id", *keys).collect()), key=lambda r: r["row_id"])
+    rejected_expected = []
+    for r in rows:
+        if any(r[k] is not None and r[k] in seen[k] for k in keys):
+            rejected_expected.append(r["row_id"])
+            continue
+        for k in keys:
+            if r[k] is not None:
+                seen[k].add(r[k])
+    accepted, rejected = L.register_patients(batch, stored, FIXTURE_AS_OF)
+    assert sorted(r.row_id for r in rejected.collect()) == sorted(rejected_expected)
+    assert accepted.count() + len(rejected_expected) == len(rows)
+    assert {r.reason for r in rejected.select("reason").distinct().collect()} == {S.MSG_DUPLICATE_VALUE}
