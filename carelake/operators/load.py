@@ -46,6 +46,14 @@ def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_
     decides at least the earliest undecided row, and in practice a few rounds
     decide everything.
     """
+    spark = batch.sparkSession
+    repeats = None
+    for k in keys:
+        r = batch.where(_present(k)).groupBy(k).count().where(F.col("count") > 1).select(F.lit(1).alias("x"))
+        repeats = r if repeats is None else repeats.unionByName(r)
+    if repeats is None or repeats.isEmpty():
+        # no key value repeats inside the batch: nothing can clash, one job decides it
+        return batch, spark.createDataFrame([], batch.schema)
     todo = batch
     accepted_parts, rejected_parts = [], []
     while True:
@@ -72,7 +80,6 @@ def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_
         losers = losers.dropDuplicates([order_col])
         rejected_parts.append(losers)
         todo = rest.join(losers.select(order_col), order_col, "left_anti")
-    spark = batch.sparkSession
     empty = spark.createDataFrame([], batch.schema)
     acc = accepted_parts[0] if accepted_parts else empty
     for p in accepted_parts[1:]:

@@ -90,3 +90,13 @@ def error_report(invalid: DataFrame) -> DataFrame:
         txt("date_of_birth").alias("dob"),
         F.array_join("errors", "; ").alias("errors"),
     )
+
+
+ERROR_REPORT_HEADERS = ["Row #", "First Name", "Last Name", "Phone", "Email", "DOB", "Errors"]
+
+
+def write_error_report(invalid: DataFrame, path: str) -> None:
+    """K-06 sink: one CSV with the report headers, every field quoted, quotes doubled."""
+    report = error_report(invalid)
+    report.toDF(*ERROR_REPORT_HEADERS).coalesce(1).write.mode("overwrite").option("header", "true") \
+        .option("quoteAll", "true").option("escape", '"').csv(path)

@@ -116,3 +116,16 @@ def test_truncate_and_json_records(spark):
     assert len(t.first_name) == 50 and t.blood_group == "AB+XY"
     js = to_json_records(df.select("d", "email")).first().json
     assert js == '{"d":"2001-08-01","email":null}'
+
+
+def test_error_report_csv(spark, tmp_path):
+    import glob
+    from carelake.operators.validate import validation_frame, invalid_rows, write_error_report
+    from carelake.sources.numbering import with_row_index
+    raw = spark.createDataFrame([(0, 'O"Neil', "B", "12")], "row_id long, first_name string, last_name string, phone_number string")
+    inv = invalid_rows(with_row_index(validation_frame(raw), "row_id", "row_number", start=2))
+    out = str(tmp_path / "report")
+    write_error_report(inv, out)
+    text = open(glob.glob(out + "/*.csv")[0]).read().splitlines()
+    assert text[0] == '"Row #","First Name","Last Name","Phone","Email","DOB","Errors"'
+    assert text[1] == '"2","O""Neil","B","12","","","Invalid or missing phone number (min 5 digits)"'
