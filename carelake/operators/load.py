@@ -122,19 +122,30 @@ def register_patients(batch: DataFrame, existing: DataFrame, as_of=None,
     return assign_ids(ok, existing, "patient_id", order_col), rejected
 
 
+def _to_second(ts):
+    """Truncate a zone-free timestamp to whole seconds without passing through a time zone."""
+    return F.timestamp_add("SECOND", F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str, id_col: str,
                detail_cols, action: str = "create", changed_by: str = "system",
                changed_at=None, order_col: str = "row_id") -> DataFrame:
     """K-05: one audit row per inserted entity; details = JSON of the chosen fields."""
     details = F.to_json(F.create_map(*[x for c in detail_cols for x in (F.lit(c), F.col(c).cast("string"))]))
-    ts = F.lit(changed_at).cast("timestamp_ntz") if changed_at is not None else F.localtimestamp()
+    # wall-clock time without a zone: a naive datetime/text is taken as written
+    if changed_at is None:
+        ts = F.localtimestamp()
+    else:
+        text = changed_at.isoformat(sep=" ") if hasattr(changed_at, "isoformat") else str(changed_at)
+        ts = F.lit(text).cast("timestamp_ntz")
     rows = inserted.select(
         F.col(order_col),
         F.lit(entity_type).alias("entity_type"),
         F.col(id_col).cast("long").alias("entity_id"),
         F.lit(action).alias("action"),
         F.lit(changed_by).alias("changed_by"),
-        F.date_trunc("second", ts).cast("timestamp_ntz").alias("changed_at"),
+        _to_second(ts).alias("changed_at"),
         details.alias("details"))
     return assign_ids(rows, existing_audit, "audit_id", order_col).select(*S.AUDIT_COLUMNS)
 

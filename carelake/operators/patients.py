@@ -109,6 +109,9 @@ def patient_age(patients: DataFrame, as_of=None) -> DataFrame:
 
 # --- J-05 / A-14 / A-15 timeline -------------------------------------------------
 
+def _epoch_ntz():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
 def audit_patient_key(audit: DataFrame, json_path: str = "$.patient_id") -> DataFrame:
     """Derive the patient an audit row belongs to (patient rows by id, visit rows by the
     JSON payload) so that the lookup is one equi-join instead of an OR-join."""
@@ -152,13 +155,17 @@ def timeline(patients: DataFrame, visits: DataFrame, audit: DataFrame,
           ("follow_up_date", F.date_format("follow_up_date", "yyyy-MM-dd"))).alias("details"),
         F.lit(1).alias("source_order"), (-F.unix_date("visit_date")).cast("long").alias("seq_date"),
         (-F.col("visit_id")).alias("seq_id"))
-    aud = audit_by_patient(patients, audit, json_path).select(
+    # audit times are wall-clock values (no zone): truncate and order them without
+    # converting through the session time zone
+    aud = audit_by_patient(patients, audit, json_path).withColumn(
+        "_at", F.timestamp_add("SECOND", F.timestamp_diff("SECOND", _epoch_ntz(), F.col("changed_at").cast("timestamp_ntz")),
+                               _epoch_ntz())).select(
         "patient_id", F.lit("audit").alias("event_type"),
-        F.date_format(F.date_trunc("second", "changed_at"), "yyyy-MM-dd HH:mm:ss").alias("event_date"),
+        F.date_format("_at", "yyyy-MM-dd HH:mm:ss").alias("event_date"),
         F.concat("entity_type", F.lit(": "), "action").alias("title"),
         m(("changed_by", F.col("changed_by")), ("payload", F.col("details"))).alias("details"),
         F.lit(2).alias("source_order"),
-        (-F.unix_micros(F.date_trunc("second", "changed_at").cast("timestamp"))).alias("seq_date"),
+        (-F.timestamp_diff("MICROSECOND", _epoch_ntz(), F.col("_at"))).alias("seq_date"),
         (-F.col("audit_id")).alias("seq_id"))
     return (reg.unionByName(vis).unionByName(aud)
             .withColumn("undated", F.col("event_date").isNull()))

@@ -144,3 +144,18 @@ def test_registration_first_wins_against_stored_and_batch(spark, sf):
     assert sorted(r.row_id for r in rejected.collect()) == sorted(rejected_expected)
     assert accepted.count() + len(rejected_expected) == len(rows)
     assert {r.reason for r in rejected.select("reason").distinct().collect()} == {S.MSG_DUPLICATE_VALUE}
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, sf):
+    import __spark_entry__ as E
+    names = ["patient_timeline", "audit_rows", "follow_up_reminders"]
+    def run():
+        return {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        utc = run()
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        assert run() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
