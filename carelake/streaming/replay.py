@@ -95,8 +95,33 @@ def _visits_of(batch: DataFrame) -> DataFrame:
     ).where(F.col("visit_date").isNotNull())
 
 
+WAITING_SCHEMA = T.StructType([
+    T.StructField("row_id", T.LongType()), T.StructField("patient_id", T.LongType()),
+    T.StructField("doctor_name", T.StringType()), T.StructField("symptoms", T.StringType()),
+    T.StructField("medications", T.StringType()), T.StructField("follow_up_date", T.DateType()),
+    T.StructField("visit_date", T.DateType()),
+])
+
+
+def _waiting(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """Visits still waiting for their patient after the previous micro-batch."""
+    import os
+    if batch_id <= 0:
+        return spark.createDataFrame([], WAITING_SCHEMA)
+    path = os.path.join(store, "waiting_visits", f"batch={batch_id - 1}")
+    try:
+        return spark.read.schema(WAITING_SCHEMA).parquet(path)
+    except Exception:  # noqa: BLE001 - nothing was waiting
+        return spark.createDataFrame([], WAITING_SCHEMA)
+
+
 def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None) -> None:
-    """One micro-batch: register patients (first wins), then FK-checked visits."""
+    """One micro-batch: register patients (first wins), then FK-checked visits.
+
+    A visit whose patient is not stored yet waits: it is written to
+    ``waiting_visits/batch=<id>`` and retried with the next micro-batch (the
+    queue's "retry until accepted"); a visit without any patient id is rejected.
+    """
     spark = batch.sparkSession
     batch = batch.persist()
     try:
@@ -105,10 +130,14 @@ def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None)
         write_batch(accepted.select(*S.PATIENT_COLUMNS), store, "patients", batch_id)
         write_batch(rejected.select("row_id", "phone_number", "email", "reason"), store, "rejected_patients", batch_id)
         stored_p = read_store(spark, store, "patients", S.PATIENT_SCHEMA)
-        ok, bad = L.split_foreign_key(_visits_of(batch), stored_p)
+        visits = _visits_of(batch).unionByName(_waiting(spark, store, batch_id))
+        ok, bad = L.split_foreign_key(visits, stored_p)
         stored_v = read_store(spark, store, "visits", S.VISIT_SCHEMA)
         write_batch(L.append_visits(ok, stored_v).select(*S.VISIT_COLUMNS), store, "visits", batch_id)
-        write_batch(bad.select("row_id", "patient_id", "reason"), store, "rejected_visits", batch_id)
+        waiting = bad.where(F.col("patient_id").isNotNull()).select(*WAITING_SCHEMA.fieldNames())
+        write_batch(waiting, store, "waiting_visits", batch_id)
+        write_batch(bad.where(F.col("patient_id").isNull()).select("row_id", "patient_id", "reason"),
+                    store, "rejected_visits", batch_id)
     finally:
         batch.unpersist()
 

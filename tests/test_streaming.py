@@ -15,3 +15,36 @@ def test_replay_skips_synced_and_redelivered(spark, sf):
     pending = {r.kind: r.pending_count for r in E.queries()["pending_count"](spark, sf).collect()}
     assert visits.count() == pending["visit"]
     assert visits.select("visit_id").distinct().count() == visits.count()
+
+
+def test_visit_waits_for_its_patient(spark, tmp_path):
+    """A visit queued before its patient is retried with the next micro-batch."""
+    import json
+    import os
+    from carelake.streaming import replay as R
+    from carelake.streaming.store import read_store
+    from carelake import schema as S
+    src = tmp_path / "in"
+    os.makedirs(src)
+    def rec(i, kind, pid, ts, **data):
+        return {"id": i, "kind": kind, "patientId": pid, "timestamp": ts, "synced": False, "data": data}
+    files = [
+        [rec(1, "visit", 1, "2024-01-01 10:00:00", doctor_name="dr who", visit_date="2024-01-01", symptoms="cough")],
+        [rec(2, "patient", None, "2024-01-01 11:00:00", first_name="ann", last_name="lee", phone_number="9990001111")],
+        [rec(3, "visit", None, "2024-01-01 12:00:00", doctor_name="dr who", visit_date="2024-01-01")],
+    ]
+    for k, recs in enumerate(files):
+        (src / f"f{k}.json").write_text("\n".join(json.dumps(r) for r in recs))
+        os.utime(src / f"f{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
+    q = (R.read_pending_stream(spark, str(src)).writeStream
+         .foreachBatch(lambda df, bid: R.apply_pending_batch(df, bid, store, "2024-01-02"))
+         .option("checkpointLocation", ckpt).option("maxFilesPerTrigger", 1)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    patients = read_store(spark, store, "patients", S.PATIENT_SCHEMA).collect()
+    visits = read_store(spark, store, "visits", S.VISIT_SCHEMA).collect()
+    assert [p.patient_id for p in patients] == [1]
+    assert [(v.patient_id, v.visit_id) for v in visits] == [(1, 1)]
+    rejected = spark.read.parquet(os.path.join(store, "rejected_visits")).collect()
+    assert [r.row_id for r in rejected] == [3]
