@@ -43,7 +43,38 @@ def insert_ignore(spark, sf):
     return _inserted(spark, sf).select("row_id", "patient_id", *S.CANONICAL_COLUMNS)
 
 
-@register("insert_ignore_exact", None, "K-01 exact")
+def _walk_sql(seed_phones: str, seed_emails: str) -> str:
+    """Row-by-row INSERT IGNORE as a recursive walk over the batch in row order,
+    carrying the keys taken so far (oracle only; quadratic, fine at test scale)."""
+    return f"""
+ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM upf),
+walk(i, phones, emails, ok) AS (
+  SELECT CAST(0 AS BIGINT), {seed_phones}, {seed_emails}, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT o.i,
+         CASE WHEN c.clash OR o.phone_number IS NULL THEN w.phones ELSE list_append(w.phones, o.phone_number) END,
+         CASE WHEN c.clash OR o.email IS NULL THEN w.emails ELSE list_append(w.emails, o.email) END,
+         CASE WHEN c.clash THEN w.ok ELSE list_append(w.ok, o.row_id) END
+  FROM walk w JOIN ord o ON o.i = w.i + 1,
+       LATERAL (SELECT coalesce(list_contains(w.phones, o.phone_number), false)
+                    OR coalesce(list_contains(w.emails, o.email), false) AS clash) c),
+accepted AS (SELECT unnest(ok) AS row_id FROM (SELECT ok FROM walk ORDER BY i DESC LIMIT 1) last)
+"""
+
+
+_EXACT_CTE = _UPLOAD_CTE + "," + _walk_sql("CAST([] AS VARCHAR[])", "CAST([] AS VARCHAR[])")
+_REG_CTE = _UPLOAD_CTE + "," + _walk_sql(
+    "(SELECT coalesce(list(phone_number) FILTER (WHERE phone_number IS NOT NULL), CAST([] AS VARCHAR[])) FROM patients)",
+    "(SELECT coalesce(list(email) FILTER (WHERE email IS NOT NULL), CAST([] AS VARCHAR[])) FROM patients)")
+
+
+def _recursive(text: str) -> str:
+    return "WITH RECURSIVE " + text[len("WITH "):]
+
+
+@register("insert_ignore_exact", _recursive(sql(("patients_raw",), f"""
+SELECT u.row_id, row_number() OVER (ORDER BY u.row_id) AS patient_id, {", ".join("u." + c for c in S.CANONICAL_COLUMNS)}
+FROM upf u JOIN accepted a ON a.row_id = u.row_id""", _EXACT_CTE)), "K-01 exact")
 def insert_ignore_exact(spark, sf):
     """Row-by-row INSERT IGNORE of the whole (not pre-de-duplicated) batch into an empty table.
     Checked against a sequential loop in tests (no SQL oracle)."""
@@ -52,7 +83,9 @@ def insert_ignore_exact(spark, sf):
     return L.insert_ignore(batch, empty, exact=True).select("row_id", "patient_id", *S.CANONICAL_COLUMNS)
 
 
-@register("registration_conflicts", None, "K-03")
+@register("registration_conflicts", _recursive(sql(("patients_raw", "patients"), f"""
+SELECT u.row_id, u.phone_number, u.email, '{S.MSG_DUPLICATE_VALUE}' AS reason
+FROM upf u WHERE u.row_id NOT IN (SELECT row_id FROM accepted)""", _REG_CTE)), "K-03")
 def registration_conflicts(spark, sf):
     """Registrations of the raw batch against the stored registry; clashes with a reason."""
     batch = C.clean_patients_upload(fixture(spark, sf, "patients_raw"), AS_OF)

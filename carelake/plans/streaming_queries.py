@@ -13,7 +13,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from carelake import schema as S
-from carelake.plans.registry import register
+from carelake.plans import sqlfrag as Q
+from carelake.plans.cleaning_queries import _UPLOAD_CTE, _keep_first
+from carelake.plans.registry import register, sql
 from carelake.session import ensure_checkpoint_dir
 from carelake.sources.fixtures import FIXTURE_AS_OF as AS_OF, fixture
 from carelake.sources.tables import read_table
@@ -34,7 +36,20 @@ def pending_count(spark, sf):
     return R.pending_counts(R.pending_fixture(spark, read_table(spark, sf, "events")))
 
 
-@register("replay_pending", None, "R-01")
+_PENDING_VISITS_SQL = f"""
+WITH pv AS (SELECT event_id AS id, user_id AS patient_id,
+                   {Q.title(Q.clean("concat('dr queue', CAST(event_id % 7 AS VARCHAR))"))} AS doctor_name,
+                   {Q.clean('event_type')} AS symptoms, CAST(ts AS DATE) AS visit_date,
+                   CAST(floor((day(ts) - 1) / 8) AS INTEGER) AS chunk
+            FROM events
+            WHERE NOT (event_id % 5 = 0) AND NOT (event_id % 4 = 0)
+              AND user_id IN (SELECT c_custkey FROM customer))
+SELECT row_number() OVER (ORDER BY chunk, id) AS visit_id, patient_id, doctor_name, symptoms,
+       CAST(NULL AS VARCHAR) AS medications, CAST(NULL AS DATE) AS follow_up_date, visit_date
+FROM pv"""
+
+
+@register("replay_pending", _PENDING_VISITS_SQL, "R-01")
 def replay_pending(spark, sf):
     """Pending records written as time-ordered JSON files (one file re-delivered), replayed
     against the stored registry; returns the visits the replay appended."""
@@ -46,16 +61,31 @@ def replay_pending(spark, sf):
         recs.where(chunk == k).coalesce(1).write.mode("overwrite").json(os.path.join(src, f"c{k}"))
     recs.where(chunk == 0).coalesce(1).write.mode("overwrite").json(os.path.join(src, "z-redelivered"))
     write_batch(fixture(spark, sf, "patients").select(*S.PATIENT_COLUMNS), store, "patients", -1)
-    q = (R.read_pending_stream(spark, os.path.join(src, "*")).writeStream
+    q = (R.read_pending_stream(spark, os.path.join(src, "*"), max_files_per_trigger=1).writeStream
          .foreachBatch(lambda df, bid: R.apply_pending_batch(df, bid, store, AS_OF))
          .option("checkpointLocation", os.path.join(base, "ckpt"))
-         .option("maxFilesPerTrigger", 1)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return read_store(spark, store, "visits", S.VISIT_SCHEMA)
 
 
-@register("upload_stream", None, "R-02,R-03")
+_COLS = ", ".join(S.CANONICAL_COLUMNS)
+_UPLOAD_STREAM_SQL = sql(("patients_raw",), f"""
+SELECT patient_id, {_COLS} FROM b0 UNION ALL SELECT patient_id, {_COLS} FROM b1""", _UPLOAD_CTE + f""",
+ev AS (SELECT * FROM upf WHERE row_id % 2 = 0),
+e1 AS {_keep_first('ev', 'phone_number')},
+e2 AS {_keep_first('e1', 'email')},
+b0 AS (SELECT row_number() OVER (ORDER BY row_id) AS patient_id, * FROM e2),
+od AS (SELECT * FROM upf WHERE row_id % 2 = 1),
+o1 AS {_keep_first('od', 'phone_number')},
+o2 AS {_keep_first('o1', 'email')},
+o3 AS (SELECT * FROM o2
+       WHERE (phone_number IS NULL OR phone_number NOT IN (SELECT phone_number FROM b0 WHERE phone_number IS NOT NULL))
+         AND (email IS NULL OR email NOT IN (SELECT email FROM b0 WHERE email IS NOT NULL))),
+b1 AS (SELECT (SELECT count(*) FROM b0) + row_number() OVER (ORDER BY row_id) AS patient_id, * FROM o3)""")
+
+
+@register("upload_stream", _UPLOAD_STREAM_SQL, "R-02,R-03")
 def upload_stream(spark, sf):
     """The raw registry extract arrives as CSV files (one re-delivered); each micro-batch is
     validated, cleaned, de-duplicated and insert-ignored; returns the stored registry."""
@@ -68,10 +98,9 @@ def upload_stream(spark, sf):
             os.path.join(src, f"c{k}"))
     raw.where(half == 0).coalesce(1).write.mode("overwrite").option("header", "true").csv(
         os.path.join(src, "z-redelivered"))
-    q = (I.read_upload_stream(spark, os.path.join(src, "*")).writeStream
+    q = (I.read_upload_stream(spark, os.path.join(src, "*"), max_files_per_trigger=1).writeStream
          .foreachBatch(lambda df, bid: I.ingest_batch(df, bid, store, AS_OF, changed_at="2001-08-01 00:00:00"))
          .option("checkpointLocation", os.path.join(base, "ckpt"))
-         .option("maxFilesPerTrigger", 1)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return read_store(spark, store, "patients", S.PATIENT_SCHEMA)

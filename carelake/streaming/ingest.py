@@ -27,12 +27,14 @@ def raw_schema(columns=RAW_COLUMNS) -> T.StructType:
 
 
 def read_upload_stream(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
-                       archive_dir: str | None = None) -> DataFrame:
+                       archive_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     if fmt not in {"csv", "json", "parquet"}:
         raise ValueError(f"Unsupported upload format: {fmt}")
     reader = spark.readStream.schema(schema or raw_schema()).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     return reader.load(path)

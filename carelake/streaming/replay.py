@@ -58,8 +58,12 @@ def pending_counts(records: DataFrame) -> DataFrame:
             .agg(F.count_if(~F.coalesce(F.col("synced"), F.lit(False))).alias("pending_count")))
 
 
-def read_pending_stream(spark: SparkSession, path: str, watermark: str = "7 days") -> DataFrame:
-    raw = spark.readStream.schema(PENDING_SCHEMA).json(path)
+def read_pending_stream(spark: SparkSession, path: str, watermark: str = "7 days",
+                        max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(PENDING_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.json(path)
     return (raw.where(~F.coalesce(F.col("synced"), F.lit(False)))
             .withColumn("event_time", F.to_timestamp("timestamp"))
             .withColumn("data_hash", F.xxhash64(F.to_json("data")))

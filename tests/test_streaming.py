@@ -37,9 +37,9 @@ def test_visit_waits_for_its_patient(spark, tmp_path):
         (src / f"f{k}.json").write_text("\n".join(json.dumps(r) for r in recs))
         os.utime(src / f"f{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
     store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
-    q = (R.read_pending_stream(spark, str(src)).writeStream
+    q = (R.read_pending_stream(spark, str(src), max_files_per_trigger=1).writeStream
          .foreachBatch(lambda df, bid: R.apply_pending_batch(df, bid, store, "2024-01-02"))
-         .option("checkpointLocation", ckpt).option("maxFilesPerTrigger", 1)
+         .option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     patients = read_store(spark, store, "patients", S.PATIENT_SCHEMA).collect()
@@ -48,3 +48,5 @@ def test_visit_waits_for_its_patient(spark, tmp_path):
     assert [(v.patient_id, v.visit_id) for v in visits] == [(1, 1)]
     rejected = spark.read.parquet(os.path.join(store, "rejected_visits")).collect()
     assert [r.row_id for r in rejected] == [3]
+    batches = sorted(os.listdir(os.path.join(store, "visits")))
+    assert len([b for b in batches if b.startswith("batch=")]) == 3   # one micro-batch per file
