@@ -45,6 +45,8 @@ def ingest_batch(raw: DataFrame, batch_id: int, store: str, as_of=None, changed_
     spark = raw.sparkSession
     raw = raw.persist()
     try:
+        if raw.isEmpty():
+            return
         frame = V.validation_frame(raw)
         rejects = V.invalid_rows(frame).select("row_id", "first_name", "last_name", "phone_number", "email",
                                                F.array_join("errors", "; ").alias("errors"))

@@ -129,6 +129,11 @@ def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None)
     spark = batch.sparkSession
     batch = batch.persist()
     try:
+        if batch.isEmpty():
+            # nothing new (e.g. a re-delivered file, or the batch that only advances
+            # the watermark): the waiting visits carry over unchanged
+            write_batch(_waiting(spark, store, batch_id), store, "waiting_visits", batch_id)
+            return
         stored_p = read_store(spark, store, "patients", S.PATIENT_SCHEMA)
         accepted, rejected = L.register_patients(_patients_of(batch, as_of), stored_p, as_of)
         write_batch(accepted.select(*S.PATIENT_COLUMNS), store, "patients", batch_id)
