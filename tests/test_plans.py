@@ -25,3 +25,12 @@ def test_grouped_top_k_is_limited_before_shuffle(spark, sf):
 def test_keep_first_is_partial_aggregate(spark, sf):
     p = plan(E.queries()["dedup_phone"](spark, sf))
     assert "partial_min_by" in p
+
+
+def test_no_query_plans_a_cross_or_nested_loop_join(spark, sf):
+    streams = {"replay_pending", "upload_stream"}
+    for name, fn in E.queries().items():
+        if name in streams:
+            continue
+        p = plan(fn(spark, sf))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
