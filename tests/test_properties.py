@@ -159,3 +159,25 @@ def test_results_do_not_depend_on_session_time_zone(spark, sf):
         assert run() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    """One phone number on a third of all rows: exact results, and keep-first is
+    combined map-side (partial aggregate before the shuffle)."""
+    n = 30_000
+    rows = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("5550000000"))
+         .otherwise(F.concat(F.lit("9"), F.lpad(F.col("id").cast("string"), 9, "0"))).alias("phone_number"),
+        F.when(F.col("id") % 7 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("u"), (F.col("id") % 20_000).cast("string"), F.lit("@x.org"))).alias("email"))
+    kept = D.dedup_phone(rows)
+    assert kept.count() == n - (n // 3) + 1
+    assert kept.where(F.col("phone_number") == "5550000000").first().row_id == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
+    flags = V._dup_counts(rows, "phone_number", "n")
+    assert flags.collect()[0]["n"] == n // 3
+    acc, rej = L.resolve_in_batch(rows)
+    exp = sequential_insert_ignore([r.asDict() for r in rows.collect()], ["phone_number", "email"])
+    assert sorted(r.row_id for r in acc.collect()) == sorted(exp)
