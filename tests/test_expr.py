@@ -129,3 +129,13 @@ def test_error_report_csv(spark, tmp_path):
     text = open(glob.glob(out + "/*.csv")[0]).read().splitlines()
     assert text[0] == '"Row #","First Name","Last Name","Phone","Email","DOB","Errors"'
     assert text[1] == '"2","O""Neil","B","12","","","Invalid or missing phone number (min 5 digits)"'
+
+
+def test_write_quality_report(spark, sf, tmp_path):
+    from carelake.operators.profile import write_quality_report
+    from carelake.sources.fixtures import fixture
+    out = write_quality_report(fixture(spark, sf, "patients_raw"), str(tmp_path / "report"))
+    assert set(out) == {"missing", "distinct", "issues"}
+    assert spark.read.json(out["missing"]).count() == 10
+    issues = spark.read.json(out["issues"]).first()
+    assert issues.row_count == fixture(spark, sf, "patients_raw").count()
