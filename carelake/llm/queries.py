@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, substring_dedup, topk
+from carelake.llm import chat, exact_dedup, language_id, substring_dedup, topk, toxicity
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,26 @@ def op4_chat_formatting(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def held_out(modulo: int, remainder: int):
+    """Whether crc32 of the id as text leaves the remainder (a null id counts as empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulo == remainder
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~held_out(3, 1))
+    return language_id.predict(docs.select("doc_id", "text", held_out(3, 1).alias("held_out")), model).drop("text")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs.withColumn("held_out", held_out(5, 0)), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op9_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
