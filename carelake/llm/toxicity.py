@@ -1,27 +1,29 @@
-"""Toxicity by class-conditional Kneser-Ney models over bytes of the text.
-
-Both classes have an interpolated Kneser-Ney model of order ``ORDER`` over lower-cased
-bytes. They share everything below the top order: the pooled counts of the same order and,
-under those, continuation counts (how many different grams a suffix ends). So an expression
-that one class has hardly seen gets nearly the same probability from both, and only what
-the classes' own counts say moves the comparison. Discounts are in proportion to the class
-sizes, or else the rare class would be smoothed more than the common one.
-
-A text's figure is the mean of log p(toxic) - log p(ordinary) over its bytes; a logistic
+"""Toxicity by class-conditional Kneser-Ney models of how words begin.
+
+Both classes have an interpolated Kneser-Ney model of the next byte of a word given the
+bytes before it, over the first ``DEPTH`` bytes (a word's end counts as one), in lower
+case. Counts are Kneser-Ney's kind: in how many documents of the class a beginning occurs,
+not how often, so copies within a text and long texts do not drown the rest. What the
+discount takes from a class goes to a model that both share, the pooled counts: an
+expression that one class has hardly seen gets nearly the same probability from both, and
+only what the classes' own counts say moves the comparison. Discounts are in proportion to
+the class sizes, or else the rare class would be smoothed more than the common one.
+
+A text's figure is its log p(toxic) - log p(ordinary) over its number of words; a logistic
 curve, fitted on the figures of all labelled training rows (as a histogram), turns it into
 the score.
 
-Counts are gathered from every labelled training row. Tasks count distinct grams before
-they send them; reducers hold the grams of a context together; what all tasks need to score
-with, the log-ratio of every gram seen, is put into a table of ``SLOTS`` entries with
-check bits: 16 MB however large the corpus. Labels reach the texts by a join; a bounded
-bit table of labelled ids keeps unlabelled texts out of its shuffle.
+Counts are gathered from every labelled training row: tasks count distinct beginnings,
+Spark adds them up. What all tasks need to score with, the log-ratio of every beginning
+seen, is put into a table of ``SLOTS`` entries with check bits: 16 MB however large the
+corpus. Labels reach the texts by a join; a bounded bit table of labelled ids keeps
+unlabelled texts out of its shuffle.
 
 Defined results: null and empty texts have figure 0 and get the score of that figure;
 labels with null or other values than 0 and 1 and ids without a label teach nothing; an id
-with both labels teaches both; if either class has no rows, all scores are the share of
-label 1 (0 without labels); repeated rows teach and score as often as they are there; an
-empty table gives no rows. Labels, language, source and id are no inputs of a score."""
+with both labels teaches both; if either class has no rows, all scores are near the other
+class's value (0 without labels); repeated rows teach and score as often as they are there;
+an empty table gives no rows. Labels, language, source and id are no inputs of a score."""
 
 from __future__ import annotations
 
@@ -34,118 +36,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.llm.common import staged
-from carelake.llm.grams import chunks, codes
+from carelake.llm.grams import chunks
 from carelake.llm.words import mix
 
-ORDER = 6
-SUFFIX = 4
-DISCOUNT = 0.75
+DEPTH = 5
+DISCOUNT = 2.0
+MOST = 8.0
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
-BUCKETS = 64
 FLUSH = 4_000_000
-_GRAMS = "bucket int, grams binary, toxic binary, ordinary binary"
-_SUFFIX_MASK = np.uint64((1 << 8 * SUFFIX) - 1)
-
-
-def _flush(held: list[tuple[np.ndarray, np.ndarray]], by_context: bool) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    grams, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-    counts = np.array([np.bincount(at, weights=np.concatenate([c[k] for _, c in held]), minlength=len(grams))
-                       for k in (0, 1)]).astype(np.int64)
-    key = grams >> np.uint64(8) if by_context else grams
-    bucket = (mix(key) >> np.uint64(58)).astype(np.int32)  # BUCKETS = 2 ** 6
-    for b in np.unique(bucket):
-        mine = bucket == b
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array([b], pa.int32()), "grams": pa.array([grams[mine].tobytes()], pa.binary()),
-            "toxic": pa.array([counts[0][mine].tobytes()], pa.binary()),
-            "ordinary": pa.array([counts[1][mine].tobytes()], pa.binary())})
+_REST = np.uint64(1 << 60)
+
+
+def beginnings(buffer: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(beginning, text) of every word: its first DEPTH bytes as a number, one blank after
+    a shorter word, then zeros. The buffer has DEPTH blanks around each text."""
+    solid = buffer != 32
+    start = np.nonzero(solid[1:] & ~solid[:-1])[0] + 1
+    unit, going = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+    for k in range(DEPTH):
+        byte = buffer[start + k]
+        unit = (unit << np.uint64(8)) | np.where(going, byte, 0).astype(np.uint64)
+        going &= byte != 32
+    return unit, owner[start]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, toxic, ordinary): in how many documents of each class a beginning occurs."""
+    def flush(held):
+        units, at = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
+        toxic = np.concatenate([t for _, t in held])
+        n = [np.bincount(at, weights=w, minlength=len(units)).astype(np.int64) for w in (toxic, 1 - toxic)]
+        return pa.RecordBatch.from_pydict({
+            "unit": pa.array(units.astype(np.int64)), "toxic": pa.array(n[0]), "ordinary": pa.array(n[1])})
+
     held, size = [], 0
     for batch in batches:
         label = batch.column("toxic").to_numpy(zero_copy_only=False)
-        for at, _, buffer, owner in chunks(batch.column("text").to_pylist(), ORDER - 1):
-            gram, text = codes(buffer, ORDER), owner[ORDER - 1:]
-            of = label[at + np.maximum(text, 0)]
-            for k, rows in ((0, (text >= 0) & (of == 1)), (1, (text >= 0) & (of == 0))):
-                found, n = np.unique(gram[rows], return_counts=True)
-                held.append((found, (n, 0 * n) if k == 0 else (0 * n, n)))
-                size += len(found)
+        for at, _, buffer, owner in chunks(batch.column("text").to_pylist(), DEPTH):
+            unit, text = beginnings(buffer, owner)
+            order = np.lexsort((unit, text))
+            unit, text = unit[order], text[order]
+            new = np.ones(len(unit), bool)
+            new[1:] = (unit[1:] != unit[:-1]) | (text[1:] != text[:-1])
+            held.append((unit[new], label[at + text[new]]))
+            size += int(new.sum())
             if size > FLUSH:
-                yield from _flush(held, True)
+                yield flush(held)
                 held, size = [], 0
-    yield from _flush(held, True)
-
-
-def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    read = lambda c, t: [np.frombuffer(x, t) for x in rows[c].to_pylist()]
-    grams, at = np.unique(np.concatenate(read("grams", np.uint64)), return_inverse=True)
-    return grams, *(np.bincount(at, weights=np.concatenate(read(c, np.int64)), minlength=len(grams))
-                    for c in ("toxic", "ordinary"))
-
-
-def _sum(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """All counts of the contexts of one bucket, as one row."""
-    grams, toxic, ordinary = _summed(rows)
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([grams.tobytes()], pa.binary()),
-                     "toxic": pa.array([toxic.astype(np.int64).tobytes()], pa.binary()),
-                     "ordinary": pa.array([ordinary.astype(np.int64).tobytes()], pa.binary())})
+    if held:
+        yield flush(held)
+
+
+def log_ratios(units: DataFrame) -> DataFrame:
+    """(key, ratio, weight) from (unit, toxic, ordinary): of every beginning seen, and under
+    a key with a mark of its own, of anything unseen after a beginning. A key is a
+    beginning's bytes and, above 48 bits, their number."""
+    steps = [F.when(F.expr(f"(shiftright(unit, {8 * (DEPTH - d)}) & 255) != 0"),
+                    F.expr(f"shiftleft({d}L, 48) | shiftright(unit, {8 * (DEPTH - d)})")) for d in range(1, DEPTH + 1)]
+    grams = (units.select(F.explode(F.array_compact(F.array(*steps))).alias("key"), "toxic", "ordinary")
+             .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+             .withColumn("parent", F.expr("shiftleft(shiftright(key, 48) - 1, 48) | shiftright(key & 281474976710655, 8)")))
+    grams = staged(grams, "toxicity-grams")
+    size = grams.where(F.shiftright("key", 48) == 1).agg(F.sum("toxic"), F.sum("ordinary")).first()
+    least = max(1, min(size))
+    cut = {c: DISCOUNT * max(1.0, n / least) for c, n in zip(("toxic", "ordinary"), size, strict=True)}
+    above = grams.groupBy("parent").agg(*[
+        x for c, d in cut.items() for x in (F.sum(c).alias(f"{c}_all"), F.sum(F.least(F.col(c), F.lit(d))).alias(f"{c}_left"))])
+    backoff = {c: F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_left") / F.col(f"{c}_all")).otherwise(1.0) for c in cut}
+    shared = (F.col("toxic") + F.col("ordinary") + 0.05) / (F.col("toxic_all") + F.col("ordinary_all") + 1)
+    chance = {c: F.coalesce(F.greatest(F.col(c) - d, F.lit(0.0)) / F.nullif(F.col(f"{c}_all"), F.lit(0)), F.lit(0.0))
+              + backoff[c] * shared for c, d in cut.items()}
+    log = lambda x: F.ln(F.greatest(x["toxic"], F.lit(1e-12))) - F.ln(F.greatest(x["ordinary"], F.lit(1e-12)))
+    seen = grams.join(above, "parent").select(
+        "key", log(chance).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("weight"))
+    unseen = above.select(F.expr(f"parent | {int(_REST)}L").alias("key"), log(backoff).alias("ratio"),
+                          (F.col("toxic_all") + F.col("ordinary_all")).alias("weight"))
+    return seen.unionByName(unseen)
 
 
 def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 16 check bits of a key."""
+    """Slot and 16 check bits of a key; the check bits are never all zero."""
     hashed = mix(keys)
-    return (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (hashed & np.uint64(0xFFFF)).astype(np.uint32)
+    return (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64), ((hashed & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint32)
 
 
-def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, n): in how many different grams of the bucket a suffix stands last."""
+def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.column("grams").to_pylist():
-            slot, n = np.unique(_slots(np.frombuffer(row, np.uint64) & _SUFFIX_MASK)[0], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "n": pa.array(n, pa.int64())})
-
-
-def _ratios(tokens: tuple[int, int], suffixes: np.ndarray, contexts: np.ndarray):
-    """(slot, packed, weight) of every gram and, for unseen grams, of every context."""
-    discounts = [DISCOUNT * max(1.0, n / max(1, min(tokens))) for n in tokens]
-
-    def of_bucket(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams = np.frombuffer(row["grams"], np.uint64)
-        counts = [np.frombuffer(row[c], np.int64) for c in ("toxic", "ordinary")]
-        both = counts[0] + counts[1]
-        context, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-        # the shared model: pooled counts over continuation counts
-        slot, above = _slots(grams & _SUFFIX_MASK)[0], _slots((grams & _SUFFIX_MASK) >> np.uint64(8))[0]
-        lower = suffixes[slot] / np.maximum(contexts[above], suffixes[slot])
-        n, kinds = np.bincount(at, weights=both), np.bincount(at)
-        shared = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kinds[at] * lower) / n[at]
-        logs, rest = [], []
-        for count, discount in zip(counts, discounts, strict=True):
-            total = np.bincount(at, weights=count)
-            left = np.bincount(at, weights=np.minimum(count, discount))
-            backoff = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-            own = np.maximum(count - discount, 0) / np.maximum(total[at], 1)
-            logs.append(np.log(np.maximum(own + backoff[at] * shared, 1e-12)))
-            rest.append(np.log(np.maximum(backoff, 1e-12)))
-        keys = np.concatenate((grams, context | np.uint64(1 << 56)))
-        ratio = np.concatenate((logs[0] - logs[1], rest[0] - rest[1])).clip(-12, 12)
-        slot, check = _slots(keys)
-        packed = (check << np.uint32(16)) | ratio.astype(np.float16).view(np.uint16).astype(np.uint32)
-        return slot, packed, np.concatenate((both, n))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                slot, packed, weight = of_bucket(row)
-                yield pa.RecordBatch.from_pydict({
-                    "slot": pa.array(slot, pa.int32()), "packed": pa.array(packed, pa.int64()),
-                    "weight": pa.array(weight, pa.float64())})
-    return run
+        slot, check = _slots(batch.column("key").to_numpy().astype(np.uint64))
+        ratio = batch.column("ratio").to_numpy().astype(np.float16).view(np.uint16).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({
+            "slot": pa.array(slot, pa.int32()), "packed": pa.array((check << np.uint32(16)) | ratio, pa.int64()),
+            "weight": batch.column("weight")})
 
 
 class Model:
@@ -160,23 +142,23 @@ class Model:
         return found >> np.uint32(16) == check, found.astype(np.uint16).view(np.float16).astype(np.float32)
 
     def figures(self, texts: list[str | None]) -> np.ndarray:
-        """Mean log-ratio of every text, over its bytes."""
+        """Mean log-ratio of every text, over its words."""
         out = np.zeros(len(texts))
         if self.table is None:
             return out
-        for at, end, buffer, owner in chunks(texts, ORDER - 1):
-            total, size = np.zeros(end - at), np.zeros(end - at)
-            for begin in range(0, len(buffer), 1 << 20):
-                part = buffer[max(0, begin - ORDER + 1):begin + (1 << 20)]
-                gram, text = codes(part, ORDER), owner[max(0, begin - ORDER + 1) + ORDER - 1:][:len(part) - ORDER + 1]
-                gram, text = gram[text >= 0], text[text >= 0]
-                seen, value = self._look_up(gram)
-                other = np.nonzero(~seen)[0]
-                known, rest = self._look_up((gram[other] >> np.uint64(8)) | np.uint64(1 << 56))
-                value[other] = np.where(known, rest, 0)
-                total += np.bincount(text, weights=value, minlength=end - at)
-                size += np.bincount(text, minlength=end - at)
-            out[at:end] = total / np.maximum(size, 1)
+        for at, end, buffer, owner in chunks(texts, DEPTH):
+            unit, text = beginnings(buffer, owner)
+            value = np.zeros(len(unit), np.float32)
+            for d in range(1, DEPTH + 1):
+                gram = unit >> np.uint64(8 * (DEPTH - d))
+                here = np.nonzero(gram & np.uint64(255))[0]
+                seen, ratio = self._look_up(gram[here] | np.uint64(d << 48))
+                value[here[seen]] += ratio[seen]
+                here = here[~seen]
+                known, ratio = self._look_up((gram[here] >> np.uint64(8)) | np.uint64((d - 1) << 48) | _REST)
+                value[here[known]] += ratio[known]
+            total = np.bincount(text, weights=np.clip(value, -MOST, MOST), minlength=end - at)
+            out[at:end] = total / np.maximum(np.bincount(text, minlength=end - at), 1)
         return out
 
     def scores(self, figures: np.ndarray) -> np.ndarray:
@@ -184,10 +166,10 @@ class Model:
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (figure, ordinary, toxic) bins, both
-    classes weighing alike; Newton steps with a little shrinkage."""
+    """Slope and offset of the logistic curve through (figure, ordinary, toxic) bins, every
+    row weighing alike; Newton steps with a little shrinkage."""
     x, n0, n1 = (np.array(c, float) for c in zip(*bins, strict=True))
-    w0, w1 = n0 / n0.sum(), n1 / n1.sum()
+    w0, w1 = n0 / (n0.sum() + n1.sum()), n1 / (n0.sum() + n1.sum())
     scale = max(np.sqrt(np.average(x ** 2, weights=w0 + w1)), 1e-9)
     design, beta = np.column_stack((x / scale, np.ones_like(x))), np.zeros(2)
     for _ in range(50):
@@ -222,60 +204,29 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
     rows = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(rows) < 2:
         return Model(None, 0.0, 40.0 if rows.get(1) else -40.0)
-    counts = staged(taught.mapInArrow(_count, _GRAMS).groupBy("bucket").applyInArrow(_sum, _GRAMS), "toxicity-counts")
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [[int(np.frombuffer(x, np.int64).sum()) for x in batch.column(c).to_pylist()] for c in ("toxic", "ordinary")]
-            yield pa.RecordBatch.from_pydict({"t": pa.array(n[0], pa.int64()), "o": pa.array(n[1], pa.int64())})
-
-    tokens = tuple(int(x or 0) for x in counts.mapInArrow(totals, "t long, o long").agg(F.sum("t"), F.sum("o")).first())
-    # continuation counts by slot: at most SLOTS numbers
-    found = counts.mapInArrow(_continuations, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    suffixes = np.zeros(SLOTS, np.float32)
-    suffixes[found["slot"].to_numpy()] = found["n"].to_numpy()
-    contexts = _by_context(counts)
-    shared = spark.sparkContext.broadcast((suffixes, contexts))
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _ratios(tokens, *shared.value)(batches)
-
-    # where two grams share a slot, the more frequent one has it
-    best = (counts.mapInArrow(ratios, "slot int, packed long, weight double").groupBy("slot")
+    units = (taught.mapInArrow(_count, "unit long, toxic long, ordinary long").groupBy("unit")
+             .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    # where two beginnings share a slot, the more frequent one has it
+    best = (log_ratios(units).mapInArrow(_to_slots, "slot int, packed long, weight long").groupBy("slot")
             .agg(F.max(F.struct("weight", "packed")).alias("best")).select("slot", "best.packed").toArrow())
     table = np.zeros(SLOTS, np.uint32)
     table[best["slot"].to_numpy()] = best["packed"].to_numpy().astype(np.uint32)
     model = Model(table)
-    seen = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            figure = seen.value.figures(batch.column("text").to_pylist())
+            figure = shared.value.figures(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({
-                "bin": pa.array(np.clip(np.round(figure * 2000), -4000, 4000).astype(np.int32)),
+                "bin": pa.array(np.clip(np.round(figure * 1000), -8000, 8000).astype(np.int32)),
                 "toxic": batch.column("toxic")})
 
     tally = (taught.mapInArrow(bins, "bin int, toxic int").groupBy("bin")
              .agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).collect())
-    model.slope, model.offset = _curve([(r["bin"] / 2000, r["n0"], r["n1"]) for r in tally])
+    model.slope, model.offset = _curve([(r["bin"] / 1000, r["n0"], r["n1"]) for r in tally])
     return model
 
 
-def _by_context(counts: DataFrame) -> np.ndarray:
-    """Continuation counts of all suffixes with one beginning, by that beginning's slot."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.column("grams").to_pylist():
-                begins = (np.frombuffer(row, np.uint64) & _SUFFIX_MASK) >> np.uint64(8)
-                slot, n = np.unique(_slots(begins)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    found = counts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.float32)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the column ``out`` (replacing any of that name)."""
     kept = df.select(*[c for c in df.columns if c != out])
