@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, language_id, substring_dedup, topk, toxicity
+from carelake.llm import chat, exact_dedup, language_id, pii, substring_dedup, topk, toxicity
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,15 @@ def op4_chat_formatting(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).drop("text")
+    return found.select(
+        "doc_id", *[F.regexp_count("base_spans", F.lit(f"\\b{kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def held_out(modulo: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulo == remainder
