@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, language_id, pii, substring_dedup, topk, toxicity
+from carelake.llm import chat, exact_dedup, language_id, packing, pii, substring_dedup, topk, toxicity
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,18 @@ def op5_pii(spark, sf_dir):
         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def tokenizer_path() -> str:
+    """Where the public byte-level vocabulary lies."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def held_out(modulo: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulo == remainder
