@@ -27,18 +27,24 @@ ANSWER = "block long, kind int, bucket int, classes binary"
 
 @dataclass(frozen=True)
 class Blocks:
-    """Documents with their block, and the number of buckets that fits their size."""
+    """Documents with their block, and the numbers of blocks and buckets that fit their size."""
 
     docs: DataFrame
+    n_blocks: int
     bucket_bits: int
 
 
-def in_blocks(df: DataFrame, id_col: str, text_col: str) -> Blocks:
+def block_of(n_blocks: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(n_blocks))
+
+
+def in_blocks(df: DataFrame, id_col: str, text_col: str, by_text: bool = True) -> Blocks:
+    """``by_text``: rows that share an id may lie in different blocks."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(1))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    return Blocks(docs, max(1, int(-(-size // BUCKET_BYTES)).bit_length()))
+    docs = docs.withColumn("block", block_of(n_blocks, "doc_id", *["text"] * by_text))
+    return Blocks(docs, n_blocks, max(1, int(-(-size // BUCKET_BYTES)).bit_length()))
 
 
 def in_order(docs: pa.Table) -> pa.Table:

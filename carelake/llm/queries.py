@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, language_id, packing, pii, substring_dedup, topk, toxicity
+from carelake.llm import chat, exact_dedup, language_id, packing, pii, shingle_join, substring_dedup, topk, toxicity
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.copies(table(spark, sf_dir, "documents")).select(
         F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return shingle_join.link_components(table(spark, sf_dir, "documents"))
