@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, language_id, packing, pii, shingle_join, substring_dedup, topk, toxicity
+from carelake.llm import chat, exact_dedup, language_id, packing, pii, piece_lattice, shingle_join, substring_dedup, topk, toxicity
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_sentencepiece_nbest")
+def op1_sentencepiece_nbest(spark, sf_dir):
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_lattice.decode(piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    edits = F.flatten(F.transform("alternatives", lambda a: a["edits"]))
+    return coded.select(
+        "doc_id", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"), "score",
+        F.concat_ws(",", F.transform("alternatives", lambda a: a["score"].cast("string"))).alias("other_scores"),
+        F.crc32(F.concat_ws(";", F.transform(edits, lambda e: F.concat_ws(
+            ",", e["at"].cast("string"), e["drop"].cast("string"),
+            F.concat_ws(" ", e["ids"].cast("array<string>"))))).cast("binary")).alias("others_crc32"),
+        F.coalesce(F.col("decoded") == F.col("text"), F.col("decoded") == "").alias("round_trip"))
+
+
 @query("op2_exact_topk", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec
@@ -111,15 +132,9 @@ def op5_pii(spark, sf_dir):
         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-def tokenizer_path() -> str:
-    """Where the public byte-level vocabulary lies."""
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
