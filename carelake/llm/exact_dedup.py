@@ -94,10 +94,13 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose text an earlier-ranked row holds; all columns stay.
+    """``df`` without the rows whose text a higher-ranked row holds; all columns stay.
 
-    Rows that share an id share a decision, as the id is what the decision is joined by;
-    the dropped ids are the narrow side and are found without their texts."""
-    decided = copies(df, id_col, text_col)
-    gone = decided.where("NOT kept").select(F.col("row_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    What goes is found by (id, digest), so another text under the same id is left alone;
+    rows equal in both are one document and stay together."""
+    gone = (copies(df, id_col, text_col).where("NOT kept")
+            .select(F.col("row_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = df.withColumn("_sha", F.sha2(F.regexp_replace(text, BLANKS, ""), 256))
+    left = marked.join(gone, (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return left.select(*df.columns)

@@ -175,3 +175,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text",
                     [*part.schema.names, *out])
 
     return kept.mapInArrow(run, schema)
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``df`` without the rows that are ``und``, with the prediction as their language. Where
+    no row teaches a language, only texts without a letter go and languages stay as they are."""
+    model = fit(df, F.lit(True), id_col, text_col, lang_col)
+    if not model.langs:
+        return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    found = predict(df, model, text_col, ("_lang", "_score"))
+    return found.where("_lang != 'und'").select(*[
+        F.col("_lang").cast(df.schema[lang_col].dataType).alias(lang_col) if c == lang_col else c for c in df.columns])

@@ -327,3 +327,11 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``df`` with one document of every component, that of the least id; all columns stay.
+    Rows without an id stay."""
+    linked = link_components(df, id_col, text_col, percent)
+    gone = linked.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
