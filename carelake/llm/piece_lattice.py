@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -125,9 +126,14 @@ class Pieces:
                 yield start, [self.byte_id[b] for b in chunk[start:end].encode()], self.unknown
 
 
+def _codes(chars: np.ndarray) -> np.ndarray:
+    """Characters as random numbers, none of them 0."""
+    return mix(chars.astype(np.uint64) + np.uint64(1))
+
+
 def _hash_of(piece: str) -> np.uint64:
     h = np.zeros(1, np.uint64)
-    for c in mix(np.array([ord(c) for c in piece], np.uint64)):
+    for c in _codes(np.array([ord(c) for c in piece])):
         h = h * np.uint64(_STEP) + c
     return mix(h)[0]
 
@@ -148,11 +154,12 @@ def forward(pieces: Pieces, chunk: str) -> list[float]:
 
 
 def n_best(pieces: Pieces, chunk: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best (score, ids): A* from the end, led by the prefixes' best scores."""
+    """The n best (score, ids): A* from the end, led by the prefixes' best scores. Of equal
+    hopes the one nearest the beginning goes first, so ties are not searched in breadth."""
     best = forward(pieces, chunk)
-    queue, made, found = [(-best[-1], 0, len(chunk), 0.0, None)], 0, []
+    queue, made, found = [(-best[-1], len(chunk), 0, 0.0, None)], 0, []
     while queue and len(found) < n:
-        _, _, at, behind, tail = heapq.heappop(queue)
+        _, at, _, behind, tail = heapq.heappop(queue)
         if at == 0:
             ids = []
             while tail:
@@ -162,7 +169,7 @@ def n_best(pieces: Pieces, chunk: str, n: int) -> list[tuple[float, list[int]]]:
             continue
         for start, ids, score in pieces.edges(chunk, at):
             made += 1
-            heapq.heappush(queue, (-(best[start] + score + behind), made, start, score + behind, (ids, tail)))
+            heapq.heappush(queue, (-round(best[start] + score + behind, 6), start, made, score + behind, (ids, tail)))
     return found
 
 
@@ -171,7 +178,7 @@ def _viterbi(pieces: Pieces, chars: np.ndarray) -> tuple[np.ndarray, ...]:
     ids of the best path at their first characters (-1 elsewhere) and their number, and
     whether that is all there is to say (not with characters beyond ASCII that have no piece)."""
     n, rows = chars.shape
-    code, hashed = mix(chars.astype(np.uint64)), np.zeros((n, rows), np.uint64)
+    code, hashed = _codes(chars), np.zeros((n, rows), np.uint64)
     ids, scores = [], []
     for size in range(1, min(n, pieces.longest) + 1):
         hashed = hashed[:n - size + 1] * np.uint64(_STEP) + code[size - 1:]
@@ -258,7 +265,7 @@ class _Batch:
         end = np.append(self.start[1:], len(chars))[:len(self.start)]
         power, inverse = _powers(_STEP, len(chars))
         total = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(mix(chars.astype(np.uint64)) * power[:len(chars)], out=total[1:])
+        np.cumsum(_codes(chars) * power[:len(chars)], out=total[1:])
         key = mix((total[end] - total[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
         self.key, self.sample, self.which = np.unique(key, return_index=True, return_inverse=True)
         self.length = (end - self.start)[self.sample]
@@ -348,29 +355,33 @@ def apply_edits(ids: np.ndarray, edits: list[dict]) -> np.ndarray:
     return np.concatenate([*parts, ids[end:]])
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", n: int = 4) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text_col: str = "text", n: int = 4, decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids`` (best, little-endian 32 bit), ``score`` and up to n - 1
-    ``alternatives`` in order of score, as edits of the best (replacing columns of those names)."""
-    names = [f.name for f in OUT.fields]
+    ``alternatives`` in order of score, as edits of the best (replacing columns of those
+    names). ``decoded`` names a further column for the text that the ids decode to."""
+    fields = [*OUT.fields, *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    names = [f.name for f in fields]
     kept = df.select(*[c for c in df.columns if c not in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path)
         for batch in batches:
-            texts, at = [t or "" for t in batch.column(text_col).to_pylist()], 0
-            while at < len(texts):
+            column, at = batch.column(text_col), 0
+            sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(texts) and (size == 0 or size < CHUNK_CHARS):
-                    size += len(texts[end]) + 1
+                while end < len(sizes) and (size == 0 or size < CHUNK_CHARS):
+                    size += sizes[end] + 1
                     end += 1
-                some = _Batch(pieces, texts[at:end])
+                some = _Batch(pieces, [t or "" for t in column.slice(at, end - at).to_pylist()])
                 ids, score, others = zip(*[some.text(k, n) for k in range(end - at)], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(at, end - at).columns, pa.array(ids, pa.binary()), pa.array(score, pa.float64()),
-                     pa.array(others, _ALTERNATIVES)], [*batch.schema.names, *names])
+                new = [pa.array(ids, pa.binary()), pa.array(score, pa.float64()), pa.array(others, _ALTERNATIVES)]
+                if decoded:
+                    new.append(pa.array([decode_ids(pieces, np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, *new], [*batch.schema.names, *names])
                 at = end
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *OUT.fields]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:

@@ -32,7 +32,8 @@ def tokenizer_path(name: str) -> str:
 @query("op1_sentencepiece_nbest")
 def op1_sentencepiece_nbest(spark, sf_dir):
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_lattice.decode(piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_lattice.encode(docs, path, decoded="decoded")
     edits = F.flatten(F.transform("alternatives", lambda a: a["edits"]))
     return coded.select(
         "doc_id", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_pieces"),
