@@ -89,15 +89,20 @@ def parse_date(c, layouts=None, stripped: bool = False) -> Column:
     """Per-value day-first parse over an explicit layout list; unparseable -> null.
 
     The value is rewritten to ``y-M-d`` by the first layout whose shape it has and
-    parsed once, strictly, so impossible dates such as 31-02 come out null. One
-    parser call per value keeps both run time and generated code small.
+    parsed once, strictly, so impossible dates such as 31-02 come out null; month
+    names have a shape of their own. Few parser calls per value keep both run time
+    and generated code small.
     """
     c = col_of(c) if stripped else strip(col_of(c))
     iso = None
     for _, shape, rewrite in (layouts or S.DATE_LAYOUTS):
         iso = (F.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)) if iso is None
                else iso.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)))
-    return F.try_to_date(iso, "y-M-d")
+    name = S.MONTH_NAME_SHAPE
+    named = F.when(c.rlike(name), F.concat_ws(
+        "-", F.regexp_extract(c, name, 3), F.initcap(F.substring(F.regexp_extract(c, name, 2), 1, 3)),
+        F.regexp_extract(c, name, 1)))
+    return F.coalesce(F.try_to_date(iso, "y-M-d"), F.try_to_date(named, "y-MMM-d"))
 
 
 def gender_label(c, lowered: bool = False) -> Column:

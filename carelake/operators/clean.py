@@ -14,14 +14,6 @@ from carelake.functions.expr import (as_of_lit, clean_email, clean_text, digits_
                                      gender_label, null_if_token, parse_date, strip, title_case,
                                      upper_code)
 from carelake.operators.headers import inject_missing, normalize_headers, require_columns
-from carelake.sources.tables import ensure_parallelism
-
-
-def split_full_name(first, last):
-    """(first word of ``first``, ``last`` or else the rest of ``first``) — C-03, T8."""
-    f = clean_text(first)
-    parts = F.split(f, r"(?U)\s+", 2)
-    return F.get(parts, 0), F.coalesce(clean_text(last), null_if_token(F.get(parts, 1)))
 
 
 def _stage_text(df: DataFrame, split_names: bool, keep_id: bool) -> DataFrame:
@@ -74,14 +66,8 @@ def clean_patient_columns(df: DataFrame, as_of=None, split_names: bool = True,
     return _stage_final(_stage_names(_stage_text(df, split_names, keep_id), split_names), as_of)
 
 
-def required_fields_ok(min_digits: int = S.MIN_PHONE_DIGITS):
-    """C-17 import filter: names and a phone of at least ``min_digits`` digits."""
-    return (F.col("first_name").isNotNull() & F.col("last_name").isNotNull()
-            & F.col("phone_number").isNotNull() & (F.length("phone_number") >= min_digits))
-
-
 def prepare_raw_patients(raw: DataFrame) -> DataFrame:
-    df = normalize_headers(ensure_parallelism(raw))
+    df = normalize_headers(raw)
     return inject_missing(df, S.PATIENT_COLUMNS)
 
 
@@ -98,7 +84,7 @@ def clean_patients_cli(raw: DataFrame, as_of=None) -> DataFrame:
     """C-16: requires the four CLI columns, keeps ``patient_id``; no name split.
     Rows without a phone are not loadable (T11) and are left out here; see
     :func:`cli_rejects` for them."""
-    df = normalize_headers(ensure_parallelism(raw))
+    df = normalize_headers(raw)
     require_columns(df, S.REQUIRED_PATIENT_COLUMNS, "patient extract")
     df = inject_missing(df, S.PATIENT_COLUMNS)
     return clean_patient_columns(df, as_of, split_names=False, keep_id=True)
@@ -111,7 +97,7 @@ def cli_rejects(cleaned: DataFrame) -> DataFrame:
 
 def clean_visits(raw: DataFrame) -> DataFrame:
     """C-19: visits sheet normalised; rows without a parseable visit date dropped."""
-    df = normalize_headers(ensure_parallelism(raw))
+    df = normalize_headers(raw)
     require_columns(df, S.REQUIRED_VISIT_COLUMNS, "visits sheet")
     df = inject_missing(df, ["patient_id", "phone_number", "email", "symptoms",
                              "medications", "follow_up_date"])
@@ -137,6 +123,7 @@ def truncate_to_bounds(df: DataFrame, bounds=None) -> DataFrame:
 
 
 def to_json_records(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """K-08: one JSON text per row; nulls stay null, dates as ISO text."""
-    return df.select(F.to_json(F.struct(*df.columns), {"dateFormat": date_format,
+    """K-08: one JSON text per row; nulls stay null, NaN becomes null, dates as ISO text."""
+    cols = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*cols), {"dateFormat": date_format,
                                                        "ignoreNullFields": "false"}).alias("json"))

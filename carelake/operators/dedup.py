@@ -22,7 +22,8 @@ def keep_first_by(df: DataFrame, key: str, order_col: str = "row_id") -> DataFra
     cols = df.columns
     has_key = F.col(key).isNotNull() & (F.trim(F.col(key)) != "")
     group = F.when(has_key, F.concat(F.lit("k:"), F.col(key))).otherwise(
-        F.concat(F.lit("r:"), F.col(order_col).cast("string")))
+        F.concat(F.lit("r:"), F.coalesce(F.col(order_col).cast("string"),
+                                         F.raise_error(F.lit(f"{order_col} must not be null")).cast("string"))))
     return (df.groupBy(group.alias("_grp"))
             .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
             .select("_r.*"))

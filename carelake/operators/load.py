@@ -22,72 +22,80 @@ from carelake.session import cut_lineage
 from carelake.sources.numbering import with_row_index
 
 PATIENT_KEYS = ("phone_number", "email")
+CLI_KEYS = ("patient_id", "phone_number", "email")
 
 
 def _present(c):
     return F.col(c).isNotNull()
 
 
-def anti_existing(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS) -> DataFrame:
-    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06).
-    A left-anti equi-join never matches a null key, so rows without a key pass."""
+def _join_key(df: DataFrame, key: str, salt: str):
+    """``key``, or where it is null a value of the row's own that no stored key equals, so
+    that rows without a key spread over all partitions and match nothing."""
+    own = F.xxhash64(F.lit(key), F.col(salt))
+    if df.schema[key].dataType.simpleString() == "string":
+        return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), own.cast("string")))
+    return F.coalesce(F.col(key).cast("long"), -F.abs(own) - 1)
+
+
+def look_up(rows: DataFrame, lookup: DataFrame, key: str, value, out: str, salt: str = "row_id") -> DataFrame:
+    """``rows`` with ``out``: ``value`` (an aggregate) of the ``lookup`` rows with the same
+    ``key``, null without a match. One row per key, so nothing multiplies."""
+    found = lookup.where(_present(key)).groupBy(F.col(key).alias("_found")).agg(value.alias(out))
+    return rows.withColumn("_sought", _join_key(rows, key, salt)).join(
+        found, F.col("_sought") == F.col("_found"), "left").drop("_sought", "_found")
+
+
+def anti_existing(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
+    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06)."""
     out = batch
     for k in keys:
-        out = out.join(existing.select(k).where(_present(k)).distinct(), k, "left_anti")
+        stored = existing.where(_present(k)).select(F.col(k).alias("_stored"))
+        out = out.join(stored, _join_key(out, k, order_col) == F.col("_stored"), "left_anti")
     return out
 
 
-def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id",
-                     checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Exact sequential insert-ignore inside one batch: returns (accepted, rejected).
+def rejected_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
+    """``order_col`` of the rows that sequential insert-ignore inside one batch refuses.
 
-    A row is accepted iff no earlier accepted row shares one of its keys
-    (nulls never clash). Rounds run until no undecided row is left; every round
-    decides at least the earliest undecided row, and in practice a few rounds
-    decide everything.
-    """
-    spark = batch.sparkSession
-    repeats = None
+    A row is accepted iff no earlier accepted row shares one of its keys (nulls never clash).
+    Rows whose keys are all unique in the batch are accepted at once. The rest, as narrow
+    (order, keys) rows, is decided in rounds, each of which settles at least the earliest
+    undecided row of every chain; rounds run until nothing is undecided."""
+    order = F.coalesce(F.col(order_col), F.raise_error(F.lit(f"{order_col} must not be null")).cast("long"))
+    todo = batch.select(order.alias("_o"), *keys)
+    for k in keys:
+        todo = look_up(todo, todo, k, F.count(F.lit(1)), f"_n_{k}", "_o")
+    clashing = F.lit(False)
     for k in keys:
-        r = batch.where(_present(k)).groupBy(k).count().where(F.col("count") > 1).select(F.lit(1).alias("x"))
-        repeats = r if repeats is None else repeats.unionByName(r)
-    if repeats is None or repeats.isEmpty():
-        # no key value repeats inside the batch: nothing can clash, one job decides it
-        return batch, spark.createDataFrame([], batch.schema)
-    todo = batch
-    accepted_parts, rejected_parts = [], []
-    while True:
-        if checkpoint:
-            todo = cut_lineage(todo)
-        if todo.isEmpty():
-            break
+        clashing = clashing | F.coalesce(F.col(f"_n_{k}") > 1, F.lit(False))
+    todo = cut_lineage(todo.where(clashing).select("_o", *keys))
+    rejected = todo.select("_o").limit(0)
+    while not todo.isEmpty():
         firsts = todo
         for k in keys:
-            m = (todo.where(_present(k)).groupBy(k)
-                 .agg(F.min(order_col).alias(f"_min_{k}")))
-            firsts = firsts.join(m, k, "left")
-        is_first = F.lit(True)
+            firsts = look_up(firsts, todo, k, F.min("_o"), f"_min_{k}", "_o")
+        first = F.lit(True)
+        for k in keys:
+            first = first & (F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col("_o")))
+        judged = cut_lineage(firsts.select("_o", *keys, first.alias("_won")))
+        winners = judged.where("_won")
+        rest = judged.where("NOT _won").drop("_won")
         for k in keys:
-            is_first = is_first & (F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col(order_col)))
-        # recomputing the winners is one aggregate over the checkpointed remainder
-        winners = firsts.where(is_first).select(*todo.columns)
-        accepted_parts.append(winners)
-        rest = todo.join(winners.select(order_col), order_col, "left_anti")
-        losers = None
+            rest = look_up(rest, winners, k, F.count(F.lit(1)), f"_lost_{k}", "_o")
+        lost = F.lit(False)
         for k in keys:
-            hit = rest.join(winners.where(_present(k)).select(k).distinct(), k, "left_semi")
-            losers = hit if losers is None else losers.unionByName(hit)
-        losers = losers.dropDuplicates([order_col])
-        rejected_parts.append(losers)
-        todo = rest.join(losers.select(order_col), order_col, "left_anti")
-    empty = spark.createDataFrame([], batch.schema)
-    acc = accepted_parts[0] if accepted_parts else empty
-    for p in accepted_parts[1:]:
-        acc = acc.unionByName(p)
-    rej = rejected_parts[0] if rejected_parts else empty
-    for p in rejected_parts[1:]:
-        rej = rej.unionByName(p)
-    return acc, rej
+            lost = lost | F.col(f"_lost_{k}").isNotNull()
+        rest = cut_lineage(rest.select("_o", *keys, lost.alias("_lost")))
+        rejected = rejected.unionByName(rest.where("_lost").select("_o"))
+        todo = rest.where("NOT _lost").drop("_lost")
+    return rejected.withColumnRenamed("_o", order_col)
+
+
+def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Exact sequential insert-ignore inside one batch: (accepted, rejected)."""
+    out = rejected_in_batch(batch, keys, order_col)
+    return batch.join(out, order_col, "left_anti"), batch.join(out, order_col, "left_semi")
 
 
 def assign_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id") -> DataFrame:
@@ -97,28 +105,71 @@ def assign_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str
     return with_row_index(rows.drop(id_col) if id_col in rows.columns else rows, order_col, id_col, start=start)
 
 
+def assign_missing_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id") -> DataFrame:
+    """Ids that rows bring are kept; the others continue after the largest known id."""
+    top = existing.select(id_col).unionByName(rows.select(id_col)).agg(F.max(id_col).alias(id_col))
+    given = rows.where(_present(id_col))
+    made = assign_ids(rows.where(~_present(id_col)), top, id_col, order_col)
+    return given.unionByName(made.select(*given.columns))
+
+
 def insert_ignore(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, exact: bool = False,
                   order_col: str = "row_id") -> DataFrame:
     """K-01: rows that an INSERT IGNORE of ``batch`` (in ``order_col`` order) would add.
 
     ``exact=False`` assumes the batch is already unique on every key (the cleaning
-    pipelines guarantee this); ``exact=True`` resolves in-batch clashes row by row.
-    """
-    fresh = anti_existing(batch, existing, keys)
+    pipelines guarantee this); ``exact=True`` resolves in-batch clashes row by row. With
+    ``patient_id`` among the keys, ids that rows bring are kept."""
+    fresh = anti_existing(batch, existing, keys, order_col)
     if exact:
         fresh, _ = resolve_in_batch(fresh, keys, order_col)
-    return assign_ids(fresh, existing, "patient_id", order_col)
+    assign = assign_missing_ids if "patient_id" in keys else assign_ids
+    return assign(fresh, existing, "patient_id", order_col)
+
+
+# --- registration rules (V-08, K-03, K-04) ------------------------------------------------
+
+def joined_reasons(checks):
+    """The messages of the checks that fail, or null."""
+    return F.nullif(F.concat_ws("; ", *checks), F.lit(""))
+
+
+def length_check(field: str):
+    low, high = S.FIELD_LENGTH_BOUNDS[field]
+    return F.when(~F.length(field).between(low, high), F.lit(f"{field} length must be between {low} and {high}"))
+
+
+def patient_rule_checks(rows: DataFrame):
+    """Presence of names and phone, and all length bounds."""
+    missing = (("first_name", S.MSG_MISSING_FIRST), ("last_name", S.MSG_MISSING_LAST), ("phone_number", S.MSG_MISSING_PHONE))
+    return [*[F.when(F.col(c).isNull(), F.lit(m)) for c, m in missing],
+            *[length_check(c) for c in S.FIELD_LENGTH_BOUNDS if c in rows.columns and c != "doctor_name"]]
+
+
+def visit_rule_checks():
+    return [F.when(F.col("patient_id").isNull(), F.lit(S.MSG_UNRESOLVED_PATIENT)),
+            F.when(F.col("doctor_name").isNull(), F.lit(S.MSG_MISSING_DOCTOR)), length_check("doctor_name"),
+            F.when(F.col("visit_date").isNull(), F.lit(S.MSG_BAD_VISIT_DATE))]
 
 
 def register_patients(batch: DataFrame, existing: DataFrame, as_of=None,
                       keys=PATIENT_KEYS, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """K-03: registrations dated ``as_of``; first wins, later clashes are rejected with a reason."""
+    """K-03: registrations dated ``as_of``; rows that break a rule are rejected with it, and
+    of clashing ones the first wins."""
     from carelake.functions.expr import as_of_lit
-    dated = batch.withColumn("registration_date", as_of_lit(as_of))
-    clash_stored = dated.join(anti_existing(dated, existing, keys).select(order_col), order_col, "left_anti")
-    ok, clash_batch = resolve_in_batch(anti_existing(dated, existing, keys), keys, order_col)
-    rejected = (clash_stored.unionByName(clash_batch)
-                .withColumn("reason", F.lit(S.MSG_DUPLICATE_VALUE)))
+    dated = batch.withColumn("registration_date", as_of_lit(as_of)).withColumn(
+        "reason", joined_reasons(patient_rule_checks(batch)))
+    clash = F.lit(False)
+    for k in keys:
+        dated = look_up(dated, existing, k, F.min(F.lit(1)), f"_stored_{k}", order_col)
+        clash = clash | F.col(f"_stored_{k}").isNotNull()
+    judged = cut_lineage(dated.withColumn("reason", F.coalesce("reason", F.when(clash, F.lit(S.MSG_DUPLICATE_VALUE))))
+                         .select(*batch.columns, *[c for c in ("registration_date",) if c not in batch.columns], "reason"))
+    free = judged.where("reason IS NULL")
+    late = rejected_in_batch(free, keys, order_col)
+    rejected = judged.where("reason IS NOT NULL").unionByName(
+        free.join(late, order_col, "left_semi").withColumn("reason", F.lit(S.MSG_DUPLICATE_VALUE)).select(*judged.columns))
+    ok = free.join(late, order_col, "left_anti").drop("reason")
     return assign_ids(ok, existing, "patient_id", order_col), rejected
 
 
@@ -128,10 +179,8 @@ def _to_second(ts):
                            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str, id_col: str,
-               detail_cols, action: str = "create", changed_by: str = "system",
-               changed_at=None, order_col: str = "row_id") -> DataFrame:
-    """K-05: one audit row per inserted entity; details = JSON of the chosen fields."""
+def _audit_part(inserted: DataFrame, rank: int, entity_type: str, id_col: str, detail_cols, action: str,
+                changed_by: str, changed_at, order_col: str) -> DataFrame:
     details = F.to_json(F.create_map(*[x for c in detail_cols for x in (F.lit(c), F.col(c).cast("string"))]))
     # wall-clock time without a zone: a naive datetime/text is taken as written
     if changed_at is None:
@@ -139,47 +188,63 @@ def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str,
     else:
         text = changed_at.isoformat(sep=" ") if hasattr(changed_at, "isoformat") else str(changed_at)
         ts = F.lit(text).cast("timestamp_ntz")
-    rows = inserted.select(
-        F.col(order_col),
+    return inserted.select(
+        F.struct(F.lit(rank).alias("part"), F.col(order_col).cast("long").alias("at")).alias("_order"),
         F.lit(entity_type).alias("entity_type"),
         F.col(id_col).cast("long").alias("entity_id"),
         F.lit(action).alias("action"),
         F.lit(changed_by).alias("changed_by"),
         _to_second(ts).alias("changed_at"),
         details.alias("details"))
-    return assign_ids(rows, existing_audit, "audit_id", order_col).select(*S.AUDIT_COLUMNS)
+
+
+def audit_rows_of(parts, existing_audit: DataFrame, action: str = "create", changed_by: str = "system",
+                  changed_at=None, order_col: str = "row_id") -> DataFrame:
+    """K-05: one audit row per inserted entity, for several kinds of entities under one
+    numbering; ``parts``: (inserted, entity type, id column, detail columns). Details are
+    the JSON of the chosen fields."""
+    rows = None
+    for rank, (inserted, entity_type, id_col, detail_cols) in enumerate(parts):
+        part = _audit_part(inserted, rank, entity_type, id_col, detail_cols, action, changed_by, changed_at, order_col)
+        rows = part if rows is None else rows.unionByName(part)
+    return assign_ids(rows, existing_audit, "audit_id", "_order").select(*S.AUDIT_COLUMNS)
+
+
+def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str, id_col: str, detail_cols,
+               action: str = "create", changed_by: str = "system", changed_at=None, order_col: str = "row_id") -> DataFrame:
+    """K-05 for one kind of entity."""
+    return audit_rows_of([(inserted, entity_type, id_col, detail_cols)], existing_audit, action, changed_by,
+                         changed_at, order_col)
 
 
 # --- visits: J-02..J-04, K-02, K-04 --------------------------------------------------
 
-def resolve_visit_patients(visits: DataFrame, patients: DataFrame) -> DataFrame:
-    """Fill a missing patient id from the phone number, then from the e-mail.
-    Each lookup only sees the rows still unresolved; stored phones/e-mails are
-    unique, so the lookups cannot multiply rows."""
-    by_phone = patients.where(_present("phone_number")).select(
-        "phone_number", F.col("patient_id").alias("_by_phone"))
-    by_email = patients.where(_present("email")).select("email", F.col("patient_id").alias("_by_email"))
-    given = visits.where(F.col("patient_id").isNotNull()).withColumn("resolved_by", F.lit("id"))
-    missing = visits.where(F.col("patient_id").isNull())
-    step1 = missing.join(by_phone, "phone_number", "left")
-    found1 = (step1.where(F.col("_by_phone").isNotNull())
-              .withColumn("patient_id", F.col("_by_phone")).withColumn("resolved_by", F.lit("phone"))
-              .drop("_by_phone"))
-    step2 = step1.where(F.col("_by_phone").isNull()).drop("_by_phone").join(by_email, "email", "left")
-    found2 = (step2.withColumn("patient_id", F.col("_by_email"))
-              .withColumn("resolved_by", F.when(F.col("_by_email").isNotNull(), F.lit("email")))
-              .drop("_by_email"))
-    return given.unionByName(found1).unionByName(found2)
-
-
-def split_foreign_key(resolved: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J-04: (visits whose patient exists, rejected visits with a reason)."""
-    ids = patients.select("patient_id")
-    ok = resolved.join(ids, "patient_id", "left_semi")
-    bad = (resolved.join(ids, "patient_id", "left_anti")
-           .withColumn("reason", F.when(F.col("patient_id").isNull(), F.lit("Patient could not be resolved"))
-                       .otherwise(F.lit(S.MSG_UNKNOWN_PATIENT))))
-    return ok, bad
+def resolve_visit_patients(visits: DataFrame, patients: DataFrame, order_col: str = "row_id") -> DataFrame:
+    """Fill a missing patient id from the phone number, then from the e-mail; of several
+    stored patients under one key the smallest id is taken (O-04)."""
+    given = F.col("patient_id").isNull()
+    sought = (visits.withColumn("_phone", F.when(given, F.col("phone_number")))
+              .withColumn("_email", F.when(given, F.col("email"))))
+    stored = patients.select("patient_id", F.col("phone_number").alias("_phone"), F.col("email").alias("_email"))
+    found = look_up(sought, stored, "_phone", F.min("patient_id"), "_by_phone", order_col)
+    found = look_up(found, stored, "_email", F.min("patient_id"), "_by_email", order_col)
+    by = (F.when(F.col("patient_id").isNotNull(), "id").when(F.col("_by_phone").isNotNull(), "phone")
+          .when(F.col("_by_email").isNotNull(), "email"))
+    return (found.withColumn("resolved_by", by)
+            .withColumn("patient_id", F.coalesce("patient_id", "_by_phone", "_by_email"))
+            .drop("_phone", "_email", "_by_phone", "_by_email"))
+
+
+def split_foreign_key(resolved: DataFrame, patients: DataFrame, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """J-04: (visits that can be stored, rejected visits with a reason): the patient must be
+    stored and the doctor given, within the length bound. One join and a flag."""
+    checked = look_up(resolved, patients.select("patient_id"), "patient_id", F.min(F.lit(1)), "_known", order_col)
+    reason = (F.when(F.col("patient_id").isNull(), F.lit(S.MSG_UNRESOLVED_PATIENT))
+              .when(F.col("_known").isNull(), F.lit(S.MSG_UNKNOWN_PATIENT))
+              .when(F.col("doctor_name").isNull(), F.lit(S.MSG_MISSING_DOCTOR))
+              .otherwise(length_check("doctor_name")))
+    judged = checked.withColumn("reason", reason).drop("_known")
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
 def append_visits(accepted: DataFrame, existing_visits: DataFrame, order_col: str = "row_id") -> DataFrame:

@@ -189,16 +189,12 @@ def name_match_candidates(patients: DataFrame) -> DataFrame:
 
 def resolve_search(terms: DataFrame, matches: DataFrame) -> DataFrame:
     """Per search term: status (found / ambiguous / not_found), chosen patient, match count.
-    ``matches`` holds (term, patient_id, exact)."""
-    per_term = matches.groupBy("term").agg(
-        F.count(F.lit(1)).alias("match_count"),
-        F.min("patient_id").alias("_any"),
-        F.min(F.when(F.col("exact"), F.col("patient_id"))).alias("_exact"))
-    j = terms.select("term").join(per_term, "term", "left")
-    n = F.coalesce(F.col("match_count"), F.lit(0)).cast("long")
+    ``matches`` holds (term, n, any_id, exact_id)."""
+    j = terms.select("term").join(matches, "term", "left")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     status = (F.when(n == 0, "not_found").when(n == 1, "found")
-              .when(F.col("_exact").isNotNull(), "found").otherwise("ambiguous"))
-    chosen = F.when(n == 1, F.col("_any")).when(n > 1, F.col("_exact"))
+              .when(F.col("exact_id").isNotNull(), "found").otherwise("ambiguous"))
+    chosen = F.when(n == 1, F.col("any_id")).when(n > 1, F.col("exact_id"))
     return j.select("term", n.alias("match_count"), status.alias("status"), chosen.alias("patient_id"))
 
 

@@ -49,7 +49,7 @@ def profile_issues(raw: DataFrame) -> DataFrame:
     gender = F.lower(strip("gender"))
     base = df.select(
         F.col("phone_number").alias("p_raw"), phone_digits.alias("p_dig"), email.alias("e"),
-        F.col("date_of_birth").isNull().alias("dob_missing"),
+        (~dob_given).alias("dob_missing"),
         (dob_given & parse_date("date_of_birth").isNull()).alias("dob_bad"),
         (F.col("gender").isNotNull() & ~gender.isin(S.ALLOWED_GENDER_VALUES)).alias("g_bad"))
     return base.agg(

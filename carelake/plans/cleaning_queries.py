@@ -188,7 +188,7 @@ SELECT CAST(count(*) AS BIGINT) AS row_count, CAST({len(_PROFILE_COLS)} AS BIGIN
        CAST(count(phone_number) - count(DISTINCT phone_number) AS BIGINT) AS duplicate_phone_raw,
        CAST(count({Q.digits('phone_number')}) - count(DISTINCT {Q.digits('phone_number')}) AS BIGINT) AS duplicate_phone_digits,
        CAST(count(nullif(lower({Q.strip('email')}), '')) - count(DISTINCT nullif(lower({Q.strip('email')}), '')) AS BIGINT) AS duplicate_email,
-       CAST(count_if(date_of_birth IS NULL) AS BIGINT) AS dob_missing,
+       CAST(count_if({Q.null_token('date_of_birth')} IS NULL) AS BIGINT) AS dob_missing,
        CAST(count_if({Q.null_token('date_of_birth')} IS NOT NULL AND {Q.parse_date('date_of_birth')} IS NULL) AS BIGINT) AS dob_unparseable,
        CAST(count_if(gender IS NOT NULL AND lower({Q.strip('gender')}) NOT IN ('male', 'female', 'other', 'm', 'f', 'o')) AS BIGINT) AS inconsistent_gender,
        '' AS unknown_columns

@@ -76,8 +76,7 @@ def _recursive(text: str) -> str:
 SELECT u.row_id, row_number() OVER (ORDER BY u.row_id) AS patient_id, {", ".join("u." + c for c in S.CANONICAL_COLUMNS)}
 FROM upf u JOIN accepted a ON a.row_id = u.row_id""", _EXACT_CTE)), "K-01 exact")
 def insert_ignore_exact(spark, sf):
-    """Row-by-row INSERT IGNORE of the whole (not pre-de-duplicated) batch into an empty table.
-    Checked against a sequential loop in tests (no SQL oracle)."""
+    """Row-by-row INSERT IGNORE of the whole (not pre-de-duplicated) batch into an empty table."""
     batch = C.clean_patients_upload(fixture(spark, sf, "patients_raw"), AS_OF)
     empty = spark.createDataFrame([], S.PATIENT_SCHEMA)
     return L.insert_ignore(batch, empty, exact=True).select("row_id", "patient_id", *S.CANONICAL_COLUMNS)
@@ -146,7 +145,7 @@ def _resolved(spark, sf):
 
 @register("clean_visits", sql(("visits_raw",), """
 SELECT row_id, patient_id, phone_number, email, doctor_name, symptoms, medications, follow_up_date, visit_date
-FROM vc""", _VISIT_CTE.split(",\nrv AS")[0]), "C-14,C-15,C-19,S-03")
+FROM vc""", _VISIT_CTE.split(",\nrv AS")[0]), "C-14,C-15,C-19")
 def clean_visits(spark, sf):
     return _clean_visits(spark, sf).select("row_id", "patient_id", "phone_number", "email", "doctor_name",
                                            "symptoms", "medications", "follow_up_date", "visit_date")
@@ -160,8 +159,9 @@ def resolve_visits(spark, sf):
 
 @register("orphan_visits", sql(("visits_raw", "patients"), """
 SELECT row_id, patient_id, CASE WHEN patient_id IS NULL THEN 'Patient could not be resolved'
-                                ELSE 'Patient not found' END AS reason
-FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients)""", _VISIT_CTE), "J-04,T10")
+                                WHEN patient_id NOT IN (SELECT patient_id FROM patients) THEN 'Patient not found'
+                                ELSE 'Missing doctor name' END AS reason
+FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients) OR doctor_name IS NULL""", _VISIT_CTE), "J-04,T10")
 def orphan_visits(spark, sf):
     _, bad = L.split_foreign_key(_resolved(spark, sf), fixture(spark, sf, "patients"))
     return bad.select("row_id", "patient_id", "reason")
@@ -170,7 +170,7 @@ def orphan_visits(spark, sf):
 @register("load_visits", sql(("visits_raw", "patients", "visits"), f"""
 SELECT row_id, (SELECT max(visit_id) FROM visits) + row_number() OVER (ORDER BY row_id) AS visit_id,
        patient_id, doctor_name, symptoms, medications, follow_up_date, visit_date
-FROM rv WHERE patient_id IN (SELECT patient_id FROM patients)""", _VISIT_CTE), "K-02,K-04,J-04")
+FROM rv WHERE patient_id IN (SELECT patient_id FROM patients) AND doctor_name IS NOT NULL""", _VISIT_CTE), "K-02,K-04,J-04")
 def load_visits(spark, sf):
     ok, _ = L.split_foreign_key(_resolved(spark, sf), fixture(spark, sf, "patients"))
     return L.append_visits(ok, fixture(spark, sf, "visits"))
@@ -182,8 +182,8 @@ SELECT CAST((SELECT count(*) FROM visits_raw) AS BIGINT) AS records_found,
        CAST((SELECT count(*) FROM rv WHERE resolved_by = 'id') AS BIGINT) AS resolved_by_id,
        CAST((SELECT count(*) FROM rv WHERE resolved_by = 'phone') AS BIGINT) AS resolved_by_phone,
        CAST((SELECT count(*) FROM rv WHERE resolved_by = 'email') AS BIGINT) AS resolved_by_email,
-       CAST((SELECT count(*) FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients)) AS BIGINT) AS rejected,
-       CAST((SELECT count(*) FROM rv WHERE patient_id IN (SELECT patient_id FROM patients)) AS BIGINT) AS records_loaded""",
+       CAST((SELECT count(*) FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients) OR doctor_name IS NULL) AS BIGINT) AS rejected,
+       CAST((SELECT count(*) FROM rv WHERE patient_id IN (SELECT patient_id FROM patients) AND doctor_name IS NOT NULL) AS BIGINT) AS records_loaded""",
     _VISIT_CTE), "C-15,J-02..J-04,K-02")
 def visit_load_summary(spark, sf):
     raw = fixture(spark, sf, "visits_raw")

@@ -1,11 +1,10 @@
-"""Raw registry extracts (S-01..S-04): CSV, JSON or Parquet folders read as text.
-
-Every column is read as a string (no type inference: phone numbers keep their
-leading zeros, mixed date layouts survive). ``row_id`` keeps file order: an
-existing ``row_id`` column is used as is, otherwise
-``monotonically_increasing_id`` numbers rows in split order, which follows
-file order (use :func:`carelake.sources.numbering.with_row_index` for dense
-positions).
+"""Raw registry extracts (S-01..S-04): CSV, JSON or Parquet, read as text.
+
+Every column is read as a string (no type inference: phone numbers keep their leading
+zeros, mixed date layouts survive). CSV follows RFC 4180: quotes are doubled and fields may
+hold line breaks, so a CSV file is one split; give large extracts as many files. ``row_id``
+numbers rows in file order: files by path, blocks by place, rows by position. A ``row_id``
+column of the extract is used as it is and must not be null (an error).
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.streaming.store import read_if_there
+
 EXTRACT_FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
 
@@ -31,27 +32,43 @@ def extract_format(path: str, fmt: str | None = None) -> str:
     return EXTRACT_FORMATS[suffix]
 
 
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``row_id`` from 0 in file order. One row per block of a file is counted first; the
+    blocks' offsets, in order, are joined back."""
+    placed = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
+                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n")).collect()
+    offsets, running = [], 0
+    for b in sorted(blocks, key=lambda r: (r["_path"], r["_block"])):
+        offsets.append((b["_path"], b["_block"], running - b["_first"]))
+        running += b["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_p string, _b long, _offset long")
+    return (placed.join(F.broadcast(table), (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+            .select((F.col("_at") + F.col("_offset")).alias("row_id"), *columns))
+
+
 def read_extract(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """S-01/S-02: one extract folder or file as all-string columns plus ``row_id``."""
     fmt = extract_format(path, fmt)
     if fmt == "csv":
-        df = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+        df = (spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"')
+              .option("escape", '"').option("multiLine", "true").csv(path))
     elif fmt == "json":
         df = spark.read.option("primitivesAsString", "true").json(path)
     else:
         df = spark.read.parquet(path)
-    keep = [F.col(f"`{c}`").cast("long").alias("row_id") if c == "row_id" else F.col(f"`{c}`").cast("string").alias(c)
-            for c in df.columns]
-    df = df.select(*keep)
-    if "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
-    return df
+    text = [c for c in df.columns if c != "row_id"]
+    cast = [F.col(f"`{c}`").cast("string").alias(c) for c in text]
+    if "row_id" in df.columns:
+        given = F.col("row_id").try_cast("long")
+        return df.select(F.coalesce(given, F.raise_error(F.lit("row_id must be a number")).cast("long")).alias("row_id"), *cast)
+    return _numbered(df, [f"`{c}`" for c in text]).select("row_id", *cast)
 
 
 def read_optional(spark: SparkSession, path: str, columns, fmt: str | None = None) -> DataFrame:
     """S-03: an optional extract; absent -> empty frame with the expected text columns."""
-    if not path or not os.path.exists(path):
-        schema = T.StructType([T.StructField("row_id", T.LongType())]
-                              + [T.StructField(c, T.StringType()) for c in columns])
-        return spark.createDataFrame([], schema)
+    schema = T.StructType([T.StructField("row_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in columns])
+    empty = lambda: spark.createDataFrame([], schema)
+    if not path or read_if_there(lambda: spark.read.text(path), lambda: None) is None:
+        return empty()
     return read_extract(spark, path, fmt)

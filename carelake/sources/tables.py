@@ -1,29 +1,10 @@
-"""Readers for stored tables and raw extracts (S-01..S-05)."""
+"""Stored tables."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SUPPORTED_FORMATS = {"csv", "json", "parquet"}
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """Parquet table ``<base_dir>/<name>.parquet`` (or a directory of that name)."""
-    path = os.path.join(base_dir, f"{name}.parquet")
-    if not os.path.exists(path) and os.path.isdir(os.path.join(base_dir, name)):
-        path = os.path.join(base_dir, name)
-    return spark.read.parquet(path)
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a raw extract that arrives in fewer splits than the cluster has cores
-    (e.g. one small file with one row group) before CPU-heavy per-row cleaning.
-    Large inputs already have many splits and are returned unchanged (no shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Parquet table ``<base_dir>/<name>.parquet`` (a file or a folder, in any store)."""
+    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")

@@ -1,77 +1,84 @@
 """R-02 upload ingestion as a file stream and R-03 the rejected-row stream.
 
-Every micro-batch of raw registry files goes through the same batch operators:
-validation (rejects with reasons to their own table), cleaning, exact
-de-duplication, insert-ignore against the stored registry, audit rows and a
-one-row import summary. ``cleanSource`` can archive consumed files.
-"""
+Every micro-batch of raw registry files goes through the same batch operators: validation
+(rejects with reasons to their own table), cleaning, exact de-duplication, insert-ignore
+against the stored registry, audit rows and a one-row import summary, published together.
+
+Files are found by the stream and read, whole, by the batch: with their own headers, which
+are matched by name (any order, any alias, unknown ones ignored), and numbered in file
+order. ``cleanSource`` can archive consumed files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carelake import schema as S
 from carelake.operators import clean as C
 from carelake.operators import dedup as D
 from carelake.operators import load as L
 from carelake.operators import validate as V
-from carelake.streaming.store import read_store, write_batch
-
-RAW_COLUMNS = ["row_id"] + S.PATIENT_COLUMNS
+from carelake.session import cut_lineage
+from carelake.sources.extracts import read_extract
+from carelake.streaming.store import publish, read_store, write_batch
 
 
-def raw_schema(columns=RAW_COLUMNS) -> T.StructType:
-    return T.StructType([T.StructField(c, T.LongType() if c == "row_id" else T.StringType()) for c in columns])
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_upload_stream(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
-                       archive_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    if fmt not in {"csv", "json", "parquet"}:
-        raise ValueError(f"Unsupported upload format: {fmt}")
-    reader = spark.readStream.schema(schema or raw_schema()).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
+def read_upload_stream(spark: SparkSession, path: str, archive_dir: str | None = None,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """The names of arriving files (their contents are read by the batch)."""
+    reader = spark.readStream.format("binaryFile").schema(FILES)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    return reader.load(path)
+    return reader.load(path).select("path")
+
+
+def read_uploads(spark: SparkSession, paths: list[str], fmt: str | None = None) -> DataFrame:
+    """All rows of the files as text under canonical names, with ``row_id`` in file order.
+    Files are read one by one, as each has its own header."""
+    raw, before = None, 0
+    for path in sorted(paths):
+        rows = C.prepare_raw_patients(read_extract(spark, path, fmt)).select("row_id", *S.PATIENT_COLUMNS)
+        n = rows.agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).first()[0] if len(paths) > 1 else 0
+        rows = rows.withColumn("row_id", F.col("row_id") + before)
+        before += n
+        raw = rows if raw is None else raw.unionByName(rows)
+    return raw
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, store: str, as_of=None, changed_by: str = "system",
                  changed_at=None) -> None:
     spark = raw.sparkSession
-    raw = raw.persist()
-    try:
-        if raw.isEmpty():
-            return
-        frame = V.validation_frame(raw)
-        rejects = V.invalid_rows(frame).select("row_id", "first_name", "last_name", "phone_number", "email",
-                                               F.array_join("errors", "; ").alias("errors"))
-        write_batch(rejects, store, "rejected_rows", batch_id)
-        filtered = C.clean_patients_upload(raw, as_of)
-        deduped = D.dedup_chain(filtered)
-        stored = read_store(spark, store, "patients", S.PATIENT_SCHEMA)
-        inserted = L.insert_ignore(deduped, stored).persist()
-        write_batch(inserted.select(*S.PATIENT_COLUMNS), store, "patients", batch_id)
-        audit = L.audit_rows(inserted, read_store(spark, store, "audit_logs", S.AUDIT_SCHEMA), "patient",
-                             "patient_id", ["first_name", "last_name", "phone_number"],
-                             changed_by=changed_by, changed_at=changed_at)
-        write_batch(audit, store, "audit_logs", batch_id)
-        summary = L.import_summary(raw, filtered, deduped, inserted).withColumn("batch_id", F.lit(batch_id))
-        write_batch(summary, store, "import_summary", batch_id)
-        inserted.unpersist()
-    finally:
-        raw.unpersist()
+    state = lambda table, schema: read_store(spark, store, table, schema, before=batch_id)
+    raw = cut_lineage(raw)
+    if raw.isEmpty():
+        return
+    rejects = V.invalid_rows(V.validation_frame(raw)).select(
+        "row_id", "first_name", "last_name", "phone_number", "email", F.array_join("errors", "; ").alias("errors"))
+    filtered = C.clean_patients_upload(raw, as_of)
+    deduped = D.dedup_chain(filtered)
+    inserted = cut_lineage(L.insert_ignore(deduped, state("patients", S.PATIENT_SCHEMA)))
+    audit = L.audit_rows(inserted, state("audit_logs", S.AUDIT_SCHEMA), "patient", "patient_id",
+                         ["first_name", "last_name", "phone_number"], changed_by=changed_by, changed_at=changed_at)
+    summary = L.import_summary(raw, filtered, deduped, inserted).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    for rows, table in ((rejects, "rejected_rows"), (inserted.select(*S.PATIENT_COLUMNS), "patients"),
+                        (audit, "audit_logs"), (summary, "import_summary")):
+        write_batch(rows, store, table, batch_id)
+    publish(spark, store, batch_id)
 
 
 def run_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, fmt: str = "csv", as_of=None,
-               changed_at=None, archive_dir: str | None = None):
-    q = (read_upload_stream(spark, source, fmt, archive_dir=archive_dir).writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, store, as_of, changed_at=changed_at))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+               changed_at=None, archive_dir: str | None = None, max_files_per_trigger: int | None = None):
+    def batch(files: DataFrame, batch_id: int) -> None:
+        paths = [r.path for r in files.select("path").distinct().collect()]  # names of one batch's files
+        if paths:
+            ingest_batch(read_uploads(spark, paths, fmt), batch_id, store, as_of, changed_at=changed_at)
+
+    q = (read_upload_stream(spark, source, archive_dir, max_files_per_trigger).writeStream.foreachBatch(batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

@@ -1,12 +1,14 @@
 """R-01 replay of pending (offline-queued) records, A-19 pending counts.
 
-Records arrive as JSON files ``{id, kind, patientId, data{...}, timestamp, synced}``.
-The stream keeps at-least-once delivery safe: re-delivered records are dropped
-by ``dropDuplicatesWithinWatermark`` on (kind, id, payload hash), patients by
-their unique keys (registration against the stored table) and every batch's
-output goes to its own folder. Inside a batch, patients are registered before
-visits, so a visit may refer to a patient queued in the same batch.
-"""
+Records arrive as JSON files ``{id, kind, patientId, data{...}, timestamp, synced}``, at
+least once and however late. A ledger of every record seen, by kind, id and payload hash,
+makes re-delivery harmless without a time bound. Inside a batch patients are registered
+before visits, so a visit may refer to a patient queued in the same batch; one whose
+patient is not stored yet waits and is retried with every later batch. A record that breaks
+a registration rule goes to ``rejected_records`` with the reason; none is lost.
+
+Values are stored as typed, blank ones as missing. Every accepted patient and visit gets an
+audit row. All tables of a batch are published together (see ``store``)."""
 
 from __future__ import annotations
 
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake import schema as S
-from carelake.functions.expr import as_of_lit, clean_email, clean_text, digits_only, parse_date, title_case
+from carelake.functions.expr import as_of_lit, null_if_token, parse_date
 from carelake.operators import load as L
-from carelake.streaming.store import read_store, write_batch
+from carelake.session import cut_lineage
+from carelake.streaming.store import last_published, publish, read_store, write_batch
 
 DATA_FIELDS = ["first_name", "last_name", "gender", "date_of_birth", "phone_number", "email", "address",
                "blood_group", "doctor_name", "symptoms", "medications", "follow_up_date", "visit_date"]
@@ -31,22 +34,36 @@ PENDING_SCHEMA = T.StructType([
     T.StructField("synced", T.BooleanType()),
 ])
 
-# Pending-queue fixture over the events table (one record per event).
+# Pending-queue fixture over the events table (one record per event); some records are
+# invalid: no first name, a short phone number, no such date, no timestamp, unknown kind.
 PENDING_SQL = """
-SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'patient' ELSE 'visit' END AS kind,
+SELECT event_id AS id,
+ CASE WHEN event_id % 83 = 0 THEN 'note' WHEN event_id % 4 = 0 THEN 'patient' ELSE 'visit' END AS kind,
  user_id AS patientId,
  named_struct(
-  'first_name', concat('Queued', CAST(event_id % 97 AS STRING)), 'last_name', 'Pending',
-  'gender', 'f', 'date_of_birth', '01-01-1990',
-  'phone_number', concat('77', lpad(CAST(event_id % 5000 AS STRING), 8, '0')),
+  'first_name', CASE WHEN event_id % 53 = 0 THEN ' ' ELSE concat('queued', CAST(event_id % 97 AS STRING)) END,
+  'last_name', 'pending', 'gender', 'f', 'date_of_birth', '01-01-1990',
+  'phone_number', CASE WHEN event_id % 59 = 0 THEN '12' ELSE concat('77', lpad(CAST(event_id % 5000 AS STRING), 8, '0')) END,
   'email', CAST(NULL AS STRING), 'address', CAST(NULL AS STRING), 'blood_group', 'O+',
   'doctor_name', concat('dr queue', CAST(event_id % 7 AS STRING)), 'symptoms', event_type,
   'medications', CAST(NULL AS STRING), 'follow_up_date', CAST(NULL AS STRING),
-  'visit_date', CAST(CAST(ts AS DATE) AS STRING)) AS data,
- CAST(ts AS STRING) AS timestamp, event_id % 5 = 0 AS synced
+  'visit_date', CASE WHEN event_id % 61 = 0 THEN '31-02-2020' ELSE CAST(CAST(ts AS DATE) AS STRING) END) AS data,
+ CASE WHEN event_id % 67 = 0 THEN 'some day' ELSE CAST(ts AS STRING) END AS timestamp,
+ event_id % 5 = 0 AS synced, CAST(floor((day(ts) - 1) / 8) AS INT) AS chunk
 FROM {events}
 """
 
+LEDGER_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()),
+                              T.StructField("data_hash", T.LongType())])
+REJECT_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()),
+                              T.StructField("reason", T.StringType())])
+WAITING_SCHEMA = T.StructType([
+    T.StructField("row_id", T.LongType()), T.StructField("patient_id", T.LongType()),
+    T.StructField("doctor_name", T.StringType()), T.StructField("symptoms", T.StringType()),
+    T.StructField("medications", T.StringType()), T.StructField("follow_up_date", T.DateType()),
+    T.StructField("visit_date", T.DateType()),
+])
+
 
 def pending_fixture(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.sql(PENDING_SQL, events=events)
@@ -58,104 +75,102 @@ def pending_counts(records: DataFrame) -> DataFrame:
             .agg(F.count_if(~F.coalesce(F.col("synced"), F.lit(False))).alias("pending_count")))
 
 
-def read_pending_stream(spark: SparkSession, path: str, watermark: str = "7 days",
-                        max_files_per_trigger: int | None = None) -> DataFrame:
+def read_pending_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PENDING_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.json(path)
-    return (raw.where(~F.coalesce(F.col("synced"), F.lit(False)))
-            .withColumn("event_time", F.to_timestamp("timestamp"))
-            .withColumn("data_hash", F.xxhash64(F.to_json("data")))
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["kind", "id", "data_hash"]))
-
-
-def _patients_of(batch: DataFrame, as_of) -> DataFrame:
-    d = lambda f: F.col(f"data.{f}")
-    return batch.where(F.col("kind") == "patient").select(
-        F.col("id").alias("row_id"),
-        title_case(clean_text(d("first_name"))).alias("first_name"),
-        title_case(F.coalesce(clean_text(d("last_name")), F.lit("Unknown"))).alias("last_name"),
-        F.when(F.lower(clean_text(d("gender"))) == "f", "Female").when(F.lower(clean_text(d("gender"))) == "m", "Male")
-         .when(F.lower(clean_text(d("gender"))) == "o", "Other").otherwise(title_case(clean_text(d("gender"))))
-         .alias("gender"),
-        parse_date(d("date_of_birth")).alias("date_of_birth"),
-        F.nullif(digits_only(d("phone_number")), F.lit("")).alias("phone_number"),
-        clean_email(d("email")).alias("email"),
-        clean_text(d("address")).alias("address"),
-        F.upper(clean_text(d("blood_group"))).alias("blood_group"),
-        as_of_lit(as_of).alias("registration_date"),
-    ).where(F.col("first_name").isNotNull() & F.col("phone_number").isNotNull())
+    return reader.json(path)
 
 
-def _visits_of(batch: DataFrame) -> DataFrame:
-    d = lambda f: F.col(f"data.{f}")
-    return batch.where(F.col("kind") == "visit").select(
-        F.col("id").alias("row_id"), F.col("patientId").alias("patient_id"),
-        title_case(clean_text(d("doctor_name"))).alias("doctor_name"),
-        clean_text(d("symptoms")).alias("symptoms"), clean_text(d("medications")).alias("medications"),
-        parse_date(d("follow_up_date")).alias("follow_up_date"), parse_date(d("visit_date")).alias("visit_date"),
-    ).where(F.col("visit_date").isNotNull())
+def _typed(field: str):
+    """A payload field as typed; blank ones and placeholders are missing."""
+    return null_if_token(F.col(f"data.{field}"))
 
 
-WAITING_SCHEMA = T.StructType([
-    T.StructField("row_id", T.LongType()), T.StructField("patient_id", T.LongType()),
-    T.StructField("doctor_name", T.StringType()), T.StructField("symptoms", T.StringType()),
-    T.StructField("medications", T.StringType()), T.StructField("follow_up_date", T.DateType()),
-    T.StructField("visit_date", T.DateType()),
-])
+def _unseen(batch: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Unsynced records that no earlier batch has seen, each once."""
+    keys = LEDGER_SCHEMA.fieldNames()
+    once = (batch.where(~F.coalesce(F.col("synced"), F.lit(False)))
+            .withColumn("data_hash", F.xxhash64(F.to_json(F.struct("patientId", "data"))))
+            .groupBy(*keys).agg(F.min(F.struct("timestamp", "patientId", "data")).alias("r"))
+            .select(*keys, "r.*"))
+    seen = ledger.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [once[k].eqNullSafe(seen[f"_{k}"]) for k in keys]
+    return once.join(seen, same[0] & same[1] & same[2], "left_anti")
+
+
+def _time_error():
+    return F.when(F.try_to_timestamp("timestamp").isNull(), F.lit(S.MSG_BAD_TIMESTAMP))
 
 
-def _waiting(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
-    """Visits still waiting for their patient after the previous micro-batch."""
-    import os
-    if batch_id <= 0:
-        return spark.createDataFrame([], WAITING_SCHEMA)
-    path = os.path.join(store, "waiting_visits", f"batch={batch_id - 1}")
-    try:
-        return spark.read.schema(WAITING_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing was waiting
-        return spark.createDataFrame([], WAITING_SCHEMA)
+def _patients_of(records: DataFrame, as_of) -> DataFrame:
+    rows = records.where("kind = 'patient'").select(
+        F.col("id").alias("row_id"), _time_error().alias("_time"),
+        *[_typed(f).alias(f) for f in ("first_name", "last_name", "gender")],
+        parse_date(_typed("date_of_birth")).alias("date_of_birth"),
+        *[_typed(f).alias(f) for f in ("phone_number", "email", "address", "blood_group")],
+        as_of_lit(as_of).alias("registration_date"),
+        (_typed("date_of_birth").isNotNull() & parse_date(_typed("date_of_birth")).isNull()).alias("_bad_dob"))
+    problems = [F.col("_time"), *L.patient_rule_checks(rows), F.when(F.col("_bad_dob"), F.lit(S.MSG_BAD_DOB))]
+    return rows.withColumn("reason", L.joined_reasons(problems)).drop("_time", "_bad_dob")
+
 
+def _visits_of(records: DataFrame) -> DataFrame:
+    rows = records.where("kind = 'visit'").select(
+        F.col("id").alias("row_id"), F.col("patientId").alias("patient_id"), _time_error().alias("_time"),
+        *[_typed(f).alias(f) for f in ("doctor_name", "symptoms", "medications")],
+        parse_date(_typed("follow_up_date")).alias("follow_up_date"), parse_date(_typed("visit_date")).alias("visit_date"))
+    return rows.withColumn("reason", L.joined_reasons([F.col("_time"), *L.visit_rule_checks()])).drop("_time")
 
-def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None) -> None:
-    """One micro-batch: register patients (first wins), then FK-checked visits.
 
-    A visit whose patient is not stored yet waits: it is written to
-    ``waiting_visits/batch=<id>`` and retried with the next micro-batch (the
-    queue's "retry until accepted"); a visit without any patient id is rejected.
-    """
+def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None, changed_by: str = "system",
+                        changed_at=None) -> None:
+    """One micro-batch: register patients (first wins), then visits of stored patients."""
     spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        if batch.isEmpty():
-            # nothing new (e.g. a re-delivered file, or the batch that only advances
-            # the watermark): the waiting visits carry over unchanged
-            write_batch(_waiting(spark, store, batch_id), store, "waiting_visits", batch_id)
-            return
-        stored_p = read_store(spark, store, "patients", S.PATIENT_SCHEMA)
-        accepted, rejected = L.register_patients(_patients_of(batch, as_of), stored_p, as_of)
-        write_batch(accepted.select(*S.PATIENT_COLUMNS), store, "patients", batch_id)
-        write_batch(rejected.select("row_id", "phone_number", "email", "reason"), store, "rejected_patients", batch_id)
-        stored_p = read_store(spark, store, "patients", S.PATIENT_SCHEMA)
-        visits = _visits_of(batch).unionByName(_waiting(spark, store, batch_id))
-        ok, bad = L.split_foreign_key(visits, stored_p)
-        stored_v = read_store(spark, store, "visits", S.VISIT_SCHEMA)
-        write_batch(L.append_visits(ok, stored_v).select(*S.VISIT_COLUMNS), store, "visits", batch_id)
-        waiting = bad.where(F.col("patient_id").isNotNull()).select(*WAITING_SCHEMA.fieldNames())
-        write_batch(waiting, store, "waiting_visits", batch_id)
-        write_batch(bad.where(F.col("patient_id").isNull()).select("row_id", "patient_id", "reason"),
-                    store, "rejected_visits", batch_id)
-    finally:
-        batch.unpersist()
-
-
-def run_replay(spark: SparkSession, source: str, store: str, checkpoint: str, as_of=None,
-               watermark: str = "7 days"):
+    state = lambda table, schema: read_store(spark, store, table, schema, before=batch_id)
+    records = cut_lineage(_unseen(batch, state("ledger", LEDGER_SCHEMA)))
+    if records.isEmpty():
+        return  # nothing new: waiting visits stay where they are
+    rejects = [records.where("kind IS NULL OR kind NOT IN ('patient', 'visit')")
+               .select("kind", "id", F.lit(S.MSG_UNKNOWN_KIND).alias("reason"))]
+    reject = lambda kind, rows: rejects.append(
+        rows.select(F.lit(kind).alias("kind"), F.col("row_id").alias("id"), "reason"))
+
+    offered = _patients_of(records, as_of)
+    reject("patient", offered.where("reason IS NOT NULL"))
+    stored = state("patients", S.PATIENT_SCHEMA)
+    accepted, clashing = L.register_patients(offered.where("reason IS NULL").drop("reason"), stored, as_of)
+    accepted = cut_lineage(accepted)
+    reject("patient", clashing)
+
+    visits = _visits_of(records)
+    reject("visit", visits.where("reason IS NOT NULL"))
+    previous = last_published(spark, store, before=batch_id)
+    waiting = (read_store(spark, store, "waiting_visits", WAITING_SCHEMA, before=batch_id, only=previous)
+               if previous is not None else spark.createDataFrame([], WAITING_SCHEMA))
+    due = visits.where("reason IS NULL").drop("reason").select(*WAITING_SCHEMA.fieldNames()).unionByName(waiting)
+    known = stored.select("patient_id").unionByName(accepted.select("patient_id"))
+    ready, early = L.split_foreign_key(due, known)
+    ready = cut_lineage(L.append_visits(ready, state("visits", S.VISIT_SCHEMA)))
+
+    audit = L.audit_rows_of(
+        [(accepted, "patient", "patient_id", ["first_name", "last_name", "phone_number"]),
+         (ready, "visit", "visit_id", ["patient_id", "doctor_name", "visit_date"])],
+        state("audit_logs", S.AUDIT_SCHEMA), changed_by=changed_by, changed_at=changed_at)
+    rejected = rejects[0]
+    for rows in rejects[1:]:
+        rejected = rejected.unionByName(rows)
+    for rows, table in ((accepted.select(*S.PATIENT_COLUMNS), "patients"), (ready.select(*S.VISIT_COLUMNS), "visits"),
+                        (early.select(*WAITING_SCHEMA.fieldNames()), "waiting_visits"), (rejected, "rejected_records"),
+                        (audit, "audit_logs"), (records.select(*LEDGER_SCHEMA.fieldNames()), "ledger")):
+        write_batch(rows, store, table, batch_id)
+    publish(spark, store, batch_id)
+
+
+def run_replay(spark: SparkSession, source: str, store: str, checkpoint: str, as_of=None, changed_at=None):
     """Process everything available now, then stop (``trigger(availableNow=True)``)."""
-    q = (read_pending_stream(spark, source, watermark).writeStream
-         .foreachBatch(lambda df, bid: apply_pending_batch(df, bid, store, as_of))
+    q = (read_pending_stream(spark, source).writeStream
+         .foreachBatch(lambda df, bid: apply_pending_batch(df, bid, store, as_of, changed_at=changed_at))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

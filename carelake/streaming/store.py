@@ -1,30 +1,63 @@
 """Append-only table folders written one micro-batch per sub-folder.
 
-Each batch writes ``<table>/batch=<id>`` with mode overwrite, so re-running a
-batch after a failure replaces its own output instead of doubling it (single
-writer per table assumed).
-"""
+Each batch writes ``<table>/batch=<id>`` with mode overwrite and ends with a mark in
+``_published``. A batch reads only what batches before it have written, so running it
+again, whole or after a stop between two writes, reads the same state, derives the same
+rows and replaces its own output. Readers see published batches only; a single writer per
+store is assumed."""
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+PUBLISHED = StructType([StructField("published", LongType())])
 
 
 def table_path(store: str, table: str) -> str:
-    return os.path.join(store, table)
+    return f"{store.rstrip('/')}/{table}"
 
 
-def read_store(spark: SparkSession, store: str, table: str, schema: StructType) -> DataFrame:
-    path = table_path(store, table)
+def read_if_there(load, empty) -> DataFrame:
+    """``load()``, or ``empty()`` where the path does not exist; any other error is raised."""
     try:
-        df = spark.read.schema(schema).parquet(path)
-        return df.select(*schema.fieldNames())
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return spark.createDataFrame([], schema)
+        return load()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty()
+
+
+def last_published(spark: SparkSession, store: str, before: int | None = None) -> int | None:
+    """The newest published batch (before ``before``)."""
+    marks = read_if_there(lambda: spark.read.schema(PUBLISHED).parquet(table_path(store, "_published")),
+                          lambda: spark.createDataFrame([], PUBLISHED))
+    if before is not None:
+        marks = marks.where(F.col("published") < before)
+    return marks.agg(F.max("published")).first()[0]
+
+
+def read_store(spark: SparkSession, store: str, table: str, schema: StructType, before: int | None = None,
+               only: int | None = None) -> DataFrame:
+    """Rows of published batches, of those before ``before``, or of batch ``only``."""
+    newest = last_published(spark, store, before)
+    empty = lambda: spark.createDataFrame([], schema)
+    if newest is None:
+        return empty()
+    batched = StructType([*schema.fields, StructField("batch", LongType())])
+    rows = read_if_there(lambda: spark.read.schema(batched).parquet(table_path(store, table)), empty)
+    if "batch" not in rows.columns:
+        return rows
+    wanted = F.col("batch") <= newest if only is None else F.col("batch") == only
+    return rows.where(wanted).select(*schema.fieldNames())
 
 
 def write_batch(df: DataFrame, store: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(os.path.join(table_path(store, table), f"batch={batch_id}"))
+    df.write.mode("overwrite").parquet(f"{table_path(store, table)}/batch={batch_id}")
+
+
+def publish(spark: SparkSession, store: str, batch_id: int) -> None:
+    """Make everything that the batch wrote visible."""
+    write_batch(spark.range(1).select(F.lit(batch_id).cast("long").alias("published")), store, "_published", batch_id)

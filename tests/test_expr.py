@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from carelake.functions import expr as X
-from carelake.operators.fuzzy import greedy_keep, name_ratio
 
 
 def one(spark, col, value, schema="v string"):
@@ -58,15 +57,12 @@ def test_follow_up_status(spark):
     assert got == ["Overdue by 3 days", "Overdue by 1 day", "Due today", "Due in 1 day", "Due in 5 days"]
 
 
-def test_similarity_is_asymmetric():
-    assert round(name_ratio("tide", "diet"), 2) == 0.25
-    assert round(name_ratio("diet", "tide"), 2) == 0.50
-    assert name_ratio("", "x") == 0.0
-
-
-def test_fuzzy_pair():
-    assert name_ratio("Jonathann", "Jonathan") >= 0.88
-    assert greedy_keep(["jonathan", "jonathann"], ["smithson", "smithson"]) == [True, False]
+def test_fuzzy_pair(spark):
+    from carelake.operators.fuzzy import fuzzy_dedup
+    rows = [(2, "Jonathann", "Smithson"), (1, "Jonathan", "Smithson"), (3, "Tide", "Smithson"), (4, "Diet", "Smithson")]
+    df = spark.createDataFrame([(*r, "555", "1970-01-01") for r in rows],
+                               "row_id long, first_name string, last_name string, phone_number string, date_of_birth string")
+    assert sorted(r.row_id for r in fuzzy_dedup(df).collect()) == [1, 3, 4]
 
 
 def test_single_name_split(spark):
@@ -105,6 +101,7 @@ def test_extract_formats(spark, tmp_path):
     r = read_extract(spark, p).first()
     assert r.phone_number == "09699836744" and r.dob == "11-03-2026" and r.row_id is not None
     assert read_optional(spark, str(tmp_path / "missing"), ["visit_date"]).columns == ["row_id", "visit_date"]
+    assert read_optional(spark, f"file://{p}", ["dob"], "csv").count() == 1
 
 
 def test_truncate_and_json_records(spark):
@@ -139,3 +136,38 @@ def test_write_quality_report(spark, sf, tmp_path):
     assert spark.read.json(out["missing"]).count() == 10
     issues = spark.read.json(out["issues"]).first()
     assert issues.row_count == fixture(spark, sf, "patients_raw").count()
+
+
+def test_dates_of_all_shapes(spark):
+    from carelake.functions.expr import parse_date
+    want = {"5 Mar 2026": "2026-03-05", "10-Mar-2026": "2026-03-10", "2026-03-10T09:00:00": "2026-03-10",
+            "2026-03-10 09:00": "2026-03-10", "2026-03-10 00:00:00.0": "2026-03-10", "03/05/26": "2026-05-03",
+            "29 february 2024": "2024-02-29", "31-02-2026": None, "5 Mart 2026": None, "": None}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    assert {r.v: r.d and str(r.d) for r in df.select("v", parse_date("v").alias("d")).collect()} == want
+
+
+def test_merged_headers_and_nan(spark):
+    from carelake.operators.clean import to_json_records
+    from carelake.operators.headers import normalize_headers, require_columns, unknown_columns
+    df = spark.createDataFrame([("", "5551112222", "x")], "Mobile string, `Phone Number` string, `Other_Thing` string")
+    out = normalize_headers(df)
+    assert out.columns == ["phone_number", "other_thing"] and out.first().phone_number == "5551112222"
+    assert unknown_columns(out) == ["other_thing"]
+    import pytest
+    with pytest.raises(ValueError, match="first_name"):
+        require_columns(out, ["first_name"])
+    assert to_json_records(spark.createDataFrame([(float("nan"), 1.5)], "a double, b double")).first().json == '{"a":null,"b":1.5}'
+
+
+def test_row_ids_are_required_and_follow_files(spark, tmp_path):
+    import pytest
+    from carelake.operators.dedup import dedup_email
+    from carelake.sources.extracts import read_extract
+    rows = spark.createDataFrame([(None, None), (None, None)], "row_id long, email string")
+    with pytest.raises(Exception, match="row_id must not be null"):
+        dedup_email(rows).collect()
+    for name, n in (("c", 1), ("a", 5), ("b", 3)):  # by name, not by size
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    got = [r.v for r in read_extract(spark, str(tmp_path), "csv").orderBy("row_id").collect()]
+    assert got == ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2", "c0"]
