@@ -9,8 +9,10 @@ expression that one class has hardly seen gets nearly the same probability from
 only what the classes' own counts say moves the comparison. Discounts are in proportion to
 the class sizes, or else the rare class would be smoothed more than the common one.
 
-A text's figure is its log p(toxic) - log p(ordinary) over its number of words; a logistic
-curve, fitted on the figures of all labelled training rows (as a histogram), turns it into
+A text's figure is its log p(toxic) - log p(ordinary) over its number of words. Of a word's
+difference only what exceeds ``LEAST`` counts (and at most ``MOST``): languages and subjects
+have somewhat different shares of the classes, which gives all their words small differences
+that add up in long texts and say nothing of any text. A logistic curve, fitted on the figures of all labelled training rows (as a histogram), turns it into
 the score.
 
 Counts are gathered from every labelled training row: tasks count distinct beginnings,
@@ -40,8 +42,8 @@ from carelake.llm.grams import chunks
 from carelake.llm.words import mix
 
 DEPTH = 5
-DISCOUNT = 2.0
-MOST = 8.0
+DISCOUNT = 4.0
+LEAST, MOST = 1.0, 8.0
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 FLUSH = 4_000_000
@@ -157,7 +159,8 @@ class Model:
                 here = here[~seen]
                 known, ratio = self._look_up((gram[here] >> np.uint64(8)) | np.uint64((d - 1) << 48) | _REST)
                 value[here[known]] += ratio[known]
-            total = np.bincount(text, weights=np.clip(value, -MOST, MOST), minlength=end - at)
+            value = np.sign(value) * (np.clip(np.abs(value), LEAST, MOST) - LEAST)
+            total = np.bincount(text, weights=value, minlength=end - at)
             out[at:end] = total / np.maximum(np.bincount(text, minlength=end - at), 1)
         return out
 
