@@ -221,12 +221,13 @@ def overview_row(patients: DataFrame, visits: DataFrame, as_of=None) -> DataFram
     """A-11 as one row: summary numbers and the bounded lists as text. The parts are
     stacked as (name, value) rows and pivoted, so no cross join is needed."""
     b = overview_bundle(patients, visits, as_of)
-    s = b["summary"]
+    text = lambda *cs: ", ".join(f"'{c}', cast({c} as string)" for c in cs)
     parts = [
-        s.select(F.lit("total_patients").alias("k"), F.col("total_patients").cast("string").alias("v")),
-        s.select(F.lit("new_today").alias("k"), F.col("new_today").cast("string").alias("v")),
-        s.select(F.lit("repeat_patients").alias("k"), F.col("repeat_patients").cast("string").alias("v")),
-        s.select(F.lit("repeat_visit_rate").alias("k"), F.col("repeat_visit_rate").cast("string").alias("v")),
+        b["summary"].selectExpr(f"stack(4, {text('total_patients', 'new_today', 'repeat_patients', 'repeat_visit_rate')}) AS (k, v)"),
+        b["follow_up_counts"].selectExpr(f"stack(2, {text('overdue_count', 'due_soon_count')}) AS (k, v)"),
+        b["follow_up_reminders"].groupBy(F.col("bucket").alias("k")).agg(F.sort_array(F.collect_list(F.struct(
+            "rank", F.concat_ws(":", F.col("visit_id").cast("string"), "patient_name", "status").alias("t")))).alias("a"))
+        .select("k", F.array_join(F.transform("a", lambda x: x["t"]), "; ").alias("v")),
         _joined(b["visit_trend"], F.col("visit_day"),
                 F.concat(F.date_format("visit_day", "yyyy-MM-dd"), F.lit(":"), F.col("visit_count").cast("string"))
                 ).select(F.lit("visit_trend").alias("k"), "v"),
@@ -236,14 +237,12 @@ def overview_row(patients: DataFrame, visits: DataFrame, as_of=None) -> DataFram
         _joined(b["doctor_workload"], F.struct(-F.col("visit_count"), F.col("doctor_name")),
                 F.concat("doctor_name", F.lit(":"), F.col("visit_count").cast("string"))
                 ).select(F.lit("doctor_workload").alias("k"), "v"),
-        b["follow_up_counts"].select(F.lit("overdue_count").alias("k"), F.col("overdue_count").cast("string").alias("v")),
-        b["follow_up_counts"].select(F.lit("due_soon_count").alias("k"), F.col("due_soon_count").cast("string").alias("v")),
     ]
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
     keys = ["total_patients", "new_today", "repeat_patients", "repeat_visit_rate", "visit_trend",
-            "top_symptoms", "doctor_workload", "overdue_count", "due_soon_count"]
+            "top_symptoms", "doctor_workload", "overdue_count", "due_soon_count", "overdue", "due_soon"]
     row = stacked.groupBy().pivot("k", keys).agg(F.first("v"))
     longs = ["total_patients", "new_today", "repeat_patients", "overdue_count", "due_soon_count"]
     return row.select(*[F.col(k).cast("long").alias(k) if k in longs else

@@ -176,6 +176,13 @@ def timeline_order():
             F.asc("seq_date"), F.asc("seq_id")]
 
 
+def report_events(patients: DataFrame, visits: DataFrame, audit: DataFrame, json_path: str = "$.patient_id") -> DataFrame:
+    """A-18's visits and timeline: every patient's events as rows with their ``position`` in
+    ``timeline_order`` (1 is the newest), so that no patient is one giant cell."""
+    place = Window.partitionBy("patient_id").orderBy(*timeline_order()[1:])
+    return timeline(patients, visits, audit, json_path).withColumn("position", F.row_number().over(place))
+
+
 # --- A-17 name search --------------------------------------------------------------
 
 def name_match_candidates(patients: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Row validation with reasons (V-01..V-09) and the error report (K-06).
 
-One pass builds an ``errors`` array per row. Duplicate flags come from
-per-key counts (map-side combined aggregate) joined back on the key, so a hot
-phone number is never gathered into a single window partition.
+One pass builds an ``errors`` array per row. Duplicate flags come from one count of
+both kinds of keys (map-side combined) joined back on the key, so a hot phone number is
+never gathered into a single window partition; rows without a key spread by a salt.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from carelake import schema as S
 from carelake.functions.expr import (clean_email, clean_text, digits_only, null_if_token, parse_date,
                                      strip)
 from carelake.operators.clean import prepare_raw_patients
+from carelake.operators.load import look_up
+from carelake.sources.numbering import with_row_index
 
 
-def _dup_counts(df: DataFrame, key: str, name: str) -> DataFrame:
-    return (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.count(F.lit(1)).alias(name))
-            .where(F.col(name) > 1))
+def _repeated(df: DataFrame) -> DataFrame:
+    """(kind, key) of phone numbers and e-mails that occur more than once: one aggregate."""
+    keys = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("phone_number", "email")])
+    return (df.select(F.explode(keys).alias("k")).select("k.*").where(F.col("key").isNotNull())
+            .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
 
 
 def validation_frame(raw: DataFrame, strict: bool = False, length_bounds: bool = False) -> DataFrame:
@@ -39,10 +42,9 @@ def validation_frame(raw: DataFrame, strict: bool = False, length_bounds: bool =
             .withColumn("last_name", F.coalesce("_last_given", F.lit("Unknown")))
             .drop("_f", "_l", "_dob"))
 
-    phone_dups = _dup_counts(norm, "phone_number", "_phone_n")
-    email_dups = _dup_counts(norm, "email", "_email_n")
-    j = (norm.join(phone_dups, "phone_number", "left")
-             .join(email_dups, "email", "left"))
+    repeated, j = _repeated(norm), norm
+    for key, out in (("phone_number", "_phone_n"), ("email", "_email_n")):
+        j = look_up(j, repeated.where(F.col("kind") == key).select(F.col("key").alias(key)), key, F.min(F.lit(1)), out)
 
     phone_ok = F.col("phone_number").isNotNull() & (F.length("phone_number") >= S.MIN_PHONE_DIGITS)
     email = F.col("email")
@@ -72,6 +74,13 @@ def invalid_rows(frame: DataFrame) -> DataFrame:
     return frame.where(F.size("errors") > 0)
 
 
+def numbered(invalid: DataFrame, raw: DataFrame) -> DataFrame:
+    """``invalid`` with ``row_number``, the row's place in the sheet (the header is row 1).
+    Only the row ids of the sheet are put in order."""
+    places = with_row_index(raw.select("row_id"), "row_id", "row_number", start=2)
+    return invalid.join(places, "row_id")
+
+
 def valid_rows(frame: DataFrame) -> DataFrame:
     """V-09 valid branch (the complement)."""
     return frame.where(F.size("errors") == 0)
@@ -96,7 +105,7 @@ ERROR_REPORT_HEADERS = ["Row #", "First Name", "Last Name", "Phone", "Email", "D
 
 
 def write_error_report(invalid: DataFrame, path: str) -> None:
-    """K-06 sink: one CSV with the report headers, every field quoted, quotes doubled."""
+    """K-06 sink: CSV files with the report headers, every field quoted, quotes doubled."""
     report = error_report(invalid)
-    report.toDF(*ERROR_REPORT_HEADERS).coalesce(1).write.mode("overwrite").option("header", "true") \
+    report.toDF(*ERROR_REPORT_HEADERS).write.mode("overwrite").option("header", "true") \
         .option("quoteAll", "true").option("escape", '"').csv(path)

@@ -130,7 +130,7 @@ def doctor_workload(spark, sf):
 @register("doctor_workload_ci", sql(("visits",), """
 SELECT min(doctor_name) AS doctor_name, CAST(count(*) AS BIGINT) AS visit_count FROM visits
 WHERE doctor_name IS NOT NULL AND trim(doctor_name) <> ''
-GROUP BY lower(doctor_name) ORDER BY visit_count DESC, doctor_name ASC LIMIT 5"""), "A-08,T12")
+GROUP BY strip_accents(lower(doctor_name)) ORDER BY visit_count DESC, doctor_name ASC LIMIT 5"""), "A-08,T12")
 def doctor_workload_ci(spark, sf):
     return A.doctor_workload(fixture(spark, sf, "visits"), collation="UNICODE_CI_AI")
 
@@ -175,8 +175,13 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM patients) AS total_patients,
        (SELECT string_agg(symptom || ':' || CAST(symptom_count AS VARCHAR), '; ' ORDER BY symptom_count DESC, symptom) FROM ts) AS top_symptoms,
        (SELECT string_agg(doctor_name || ':' || CAST(visit_count AS VARCHAR), '; ' ORDER BY visit_count DESC, doctor_name) FROM dw) AS doctor_workload,
        (SELECT CAST(count_if(bucket = 'overdue') AS BIGINT) FROM fb) AS overdue_count,
-       (SELECT CAST(count_if(bucket = 'due_soon') AS BIGINT) FROM fb) AS due_soon_count""",
+       (SELECT CAST(count_if(bucket = 'due_soon') AS BIGINT) FROM fb) AS due_soon_count,
+       (SELECT string_agg(t, '; ' ORDER BY rank) FROM rem WHERE bucket = 'overdue') AS overdue,
+       (SELECT string_agg(t, '; ' ORDER BY rank) FROM rem WHERE bucket = 'due_soon') AS due_soon""",
     _TREND_CTE.rstrip() + ",\n" + _FOLLOW_UP_CTE.strip() + f""",
+rem AS (SELECT bucket, rank, CAST(visit_id AS VARCHAR) || ':' || patient_name || ':' || {_STATUS_SQL} AS t
+        FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY follow_up_date ASC, visit_id DESC) AS rank
+              FROM fb WHERE bucket IS NOT NULL) x WHERE rank <= 5),
 ts AS (SELECT symptom, count(*) AS symptom_count
        FROM (SELECT {_SYMPTOM_SQL} AS symptom
              FROM (SELECT unnest(regexp_split_to_array(symptoms, '[/;,]')) AS tok

@@ -12,7 +12,6 @@ from carelake.operators import validate as V
 from carelake.plans import sqlfrag as Q
 from carelake.plans.registry import register, sql
 from carelake.sources.fixtures import FIXTURE_AS_OF as AS_OF, FIXTURE_AS_OF_SQL as AS_OF_SQL, fixture
-from carelake.sources.numbering import with_row_index
 
 RAW_COLUMNS = S.PATIENT_COLUMNS
 OUT = ["row_id"] + S.CANONICAL_COLUMNS
@@ -133,16 +132,16 @@ ve AS (SELECT *, concat_ws('; ',
 """
 
 
-def _validated(spark, sf):
-    frame = V.validation_frame(fixture(spark, sf, "patients_raw"))
-    return with_row_index(frame, "row_id", "row_number", start=2)
+def _invalid(spark, sf):
+    raw = fixture(spark, sf, "patients_raw")
+    return V.numbered(V.invalid_rows(V.validation_frame(raw)), raw)
 
 
 @register("invalid_rows", sql(("patients_raw",), """
 SELECT row_id, CAST(row_number AS BIGINT) AS row_number, first_name, last_name, phone_number, email,
        date_of_birth, errors FROM ve WHERE errors <> ''""", _VAL_CTE), "V-01..V-07,V-09")
 def invalid_rows(spark, sf):
-    return (V.invalid_rows(_validated(spark, sf))
+    return (_invalid(spark, sf)
             .select("row_id", "row_number", "first_name", "last_name", "phone_number", "email",
                     "date_of_birth", F.array_join("errors", "; ").alias("errors")))
 
@@ -161,7 +160,7 @@ SELECT CAST(row_number AS BIGINT) AS row_number, coalesce(first_name, '') AS fir
        coalesce(email, '') AS email, coalesce(CAST(date_of_birth AS VARCHAR), '') AS dob, errors
 FROM ve WHERE errors <> ''""", _VAL_CTE), "K-06")
 def error_report(spark, sf):
-    return V.error_report(V.invalid_rows(_validated(spark, sf)))
+    return V.error_report(_invalid(spark, sf))
 
 
 # --- profiling -------------------------------------------------------------------
@@ -214,8 +213,11 @@ def _roundtrip(spark, sf, fmt: str):
     from carelake.sources.extracts import read_extract
     path = os.path.join(ensure_checkpoint_dir(spark), f"extract-{uuid.uuid4().hex[:12]}.{fmt}")
     raw = fixture(spark, sf, "patients_raw")
+    if fmt == "csv":  # aliased headers and a column with quotes and line breaks
+        raw = raw.withColumnsRenamed({"phone_number": "Mobile", "first_name": "First Name", "date_of_birth": "DOB"}).select(
+            F.lit('said "no",\nthen left').alias("Remark"), "*")
     w = raw.write.mode("overwrite")
-    (w.option("header", "true").csv(path) if fmt == "csv" else w.json(path))
+    (w.option("header", "true").option("escape", '"').csv(path) if fmt == "csv" else w.json(path))
     return read_extract(spark, path)
 
 
@@ -258,3 +260,42 @@ def invalid_rows_api(spark, sf):
     return (V.invalid_rows(frame)
             .select("row_id", "first_name", "last_name", "phone_number", "email",
                     F.array_join("errors", "; ").alias("errors")))
+
+
+# --- strict import (T3, V-02), JSON records (K-08), optional visits sheet (S-03) -------------
+
+@register("strict_import", sql(("patients_raw",), f"""
+SELECT {", ".join("u." + c for c in OUT)} FROM upf u JOIN ve ON ve.row_id = u.row_id JOIN patients_raw r ON r.row_id = u.row_id
+WHERE ve.errors = '' AND coalesce({Q.clean('r.last_name')}, {Q.rest_words('r.first_name')}) IS NOT NULL""",
+                               _UPLOAD_CTE + "," + _VAL_API_CTE), "V-02,V-08,V-09,T3")
+def strict_import(spark, sf):
+    """Only rows that pass every rule, length bounds and a given last name included."""
+    raw = fixture(spark, sf, "patients_raw")
+    good = V.valid_rows(V.validation_frame(raw, strict=True, length_bounds=True)).select("row_id")
+    return C.clean_patients_upload(raw, AS_OF).join(good, "row_id", "left_semi").select(*OUT)
+
+
+@register("json_records", sql(("patients_raw",), """
+SELECT CAST(json_object('row_id', row_id, 'first_name', first_name, 'date_of_birth', CAST(date_of_birth AS VARCHAR),
+  'email', email, 'ratio', CASE WHEN row_id % 7 <> 0 THEN (row_id % 100) * CAST(0.5 AS DOUBLE) END) AS VARCHAR) AS json
+FROM upf""", _UPLOAD_CTE), "K-08")
+def json_records(spark, sf):
+    ratio = F.when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("row_id") % 100) * F.lit(0.5))
+    return C.to_json_records(_upload(spark, sf).select("row_id", "first_name", "date_of_birth", "email", ratio.alias("ratio")))
+
+
+@register("visits_absent", sql(("visits_raw",), "SELECT CAST(0 AS BIGINT) AS sheet_rows, count(*) AS other_rows FROM visits_raw"),
+          "S-03")
+def visits_absent(spark, sf):
+    """A workbook without a visits sheet has no visits; with one, all of them."""
+    import uuid
+    from carelake.session import ensure_checkpoint_dir
+    from carelake.sources.extracts import read_optional
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visits-{uuid.uuid4().hex[:12]}"
+    raw = fixture(spark, sf, "visits_raw")
+    raw.write.option("header", "true").option("escape", '"').csv(f"{base}/there.csv")
+    columns = [c for c in raw.columns if c != "row_id"]
+    count = lambda name, out: read_optional(spark, f"{base}/{name}.csv", columns).agg(
+        *[F.count(F.lit(1)).alias(c) if c == out else F.lit(0).cast("long").alias(c) for c in ("sheet_rows", "other_rows")])
+    return count("absent", "sheet_rows").unionByName(count("there", "other_rows")).agg(
+        F.sum("sheet_rows").alias("sheet_rows"), F.sum("other_rows").alias("other_rows"))

@@ -11,8 +11,9 @@ from carelake.operators import clean as C
 from carelake.operators import dedup as D
 from carelake.operators import load as L
 from carelake.plans import sqlfrag as Q
-from carelake.plans.cleaning_queries import _UPLOAD_CTE, _keep_first
+from carelake.plans.cleaning_queries import _CLI_CTE, _UPLOAD_CTE, _keep_first, _len_checks_sql
 from carelake.plans.registry import register, sql
+from carelake.session import cut_lineage
 from carelake.sources.fixtures import FIXTURE_AS_OF as AS_OF, fixture
 
 CHANGED_AT = _dt.datetime(2001, 8, 1, 0, 0, 0)
@@ -43,11 +44,11 @@ def insert_ignore(spark, sf):
     return _inserted(spark, sf).select("row_id", "patient_id", *S.CANONICAL_COLUMNS)
 
 
-def _walk_sql(seed_phones: str, seed_emails: str) -> str:
+def _walk_sql(seed_phones: str, seed_emails: str, source: str = "upf") -> str:
     """Row-by-row INSERT IGNORE as a recursive walk over the batch in row order,
     carrying the keys taken so far (oracle only; quadratic, fine at test scale)."""
     return f"""
-ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM upf),
+ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM {source}),
 walk(i, phones, emails, ok) AS (
   SELECT CAST(0 AS BIGINT), {seed_phones}, {seed_emails}, CAST([] AS BIGINT[])
   UNION ALL
@@ -63,9 +64,11 @@ accepted AS (SELECT unnest(ok) AS row_id FROM (SELECT ok FROM walk ORDER BY i DE
 
 
 _EXACT_CTE = _UPLOAD_CTE + "," + _walk_sql("CAST([] AS VARCHAR[])", "CAST([] AS VARCHAR[])")
-_REG_CTE = _UPLOAD_CTE + "," + _walk_sql(
+_REG_CTE = _UPLOAD_CTE + f""",
+rb AS (SELECT *, concat_ws('; ', {_len_checks_sql()}) AS broken FROM upf),
+rg AS (SELECT * FROM rb WHERE broken = ''),""" + _walk_sql(
     "(SELECT coalesce(list(phone_number) FILTER (WHERE phone_number IS NOT NULL), CAST([] AS VARCHAR[])) FROM patients)",
-    "(SELECT coalesce(list(email) FILTER (WHERE email IS NOT NULL), CAST([] AS VARCHAR[])) FROM patients)")
+    "(SELECT coalesce(list(email) FILTER (WHERE email IS NOT NULL), CAST([] AS VARCHAR[])) FROM patients)", "rg")
 
 
 def _recursive(text: str) -> str:
@@ -83,8 +86,8 @@ def insert_ignore_exact(spark, sf):
 
 
 @register("registration_conflicts", _recursive(sql(("patients_raw", "patients"), f"""
-SELECT u.row_id, u.phone_number, u.email, '{S.MSG_DUPLICATE_VALUE}' AS reason
-FROM upf u WHERE u.row_id NOT IN (SELECT row_id FROM accepted)""", _REG_CTE)), "K-03")
+SELECT u.row_id, u.phone_number, u.email, coalesce(nullif(u.broken, ''), '{S.MSG_DUPLICATE_VALUE}') AS reason
+FROM rb u WHERE u.row_id NOT IN (SELECT row_id FROM accepted)""", _REG_CTE)), "K-03,V-08")
 def registration_conflicts(spark, sf):
     """Registrations of the raw batch against the stored registry; clashes with a reason."""
     batch = C.clean_patients_upload(fixture(spark, sf, "patients_raw"), AS_OF)
@@ -117,6 +120,45 @@ def import_summary(spark, sf):
     return L.import_summary(raw, filtered, deduped, inserted)
 
 
+# --- CLI load: patients bring their ids, visits refer to them ------------------------------
+
+_CLI_LOAD_CTE = _CLI_CTE + """,
+st AS (SELECT * FROM patients WHERE patient_id % 3 = 0),
+co AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM cli WHERE phone_number IS NOT NULL AND first_name IS NOT NULL),
+cw(i, ids, phones, emails, ok) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(patient_id) FROM st), (SELECT list(phone_number) FROM st),
+         (SELECT list(email) FILTER (WHERE email IS NOT NULL) FROM st), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT o.i, CASE WHEN c.clash OR o.patient_id IS NULL THEN w.ids ELSE list_append(w.ids, o.patient_id) END,
+         CASE WHEN c.clash THEN w.phones ELSE list_append(w.phones, o.phone_number) END,
+         CASE WHEN c.clash OR o.email IS NULL THEN w.emails ELSE list_append(w.emails, o.email) END,
+         CASE WHEN c.clash THEN w.ok ELSE list_append(w.ok, o.row_id) END
+  FROM cw w JOIN co o ON o.i = w.i + 1,
+       LATERAL (SELECT coalesce(list_contains(w.ids, o.patient_id), false) OR coalesce(list_contains(w.phones, o.phone_number), false)
+                    OR coalesce(list_contains(w.emails, o.email), false) AS clash) c),
+ca AS (SELECT co.* FROM co WHERE row_id IN (SELECT unnest(ok) FROM (SELECT ok FROM cw ORDER BY i DESC LIMIT 1) last)),
+top AS (SELECT max(patient_id) AS m FROM (SELECT patient_id FROM st UNION ALL SELECT patient_id FROM ca)),
+cl AS (SELECT row_id, patient_id, phone_number, email, first_name FROM ca WHERE patient_id IS NOT NULL
+       UNION ALL SELECT row_id, (SELECT m FROM top) + row_number() OVER (ORDER BY row_id), phone_number, email, first_name
+       FROM ca WHERE patient_id IS NULL)
+"""
+
+
+def _loaded_cli(spark, sf):
+    stored = fixture(spark, sf, "patients").where("patient_id % 3 = 0")
+    batch = C.clean_patients_cli(fixture(spark, sf, "patients_raw"), AS_OF).where(
+        "phone_number IS NOT NULL AND first_name IS NOT NULL")
+    return stored, L.insert_ignore(batch, stored, L.CLI_KEYS, exact=True)
+
+
+@register("load_patients_cli", _recursive(sql(("patients_raw", "patients"), """
+SELECT row_id, patient_id, phone_number, email, first_name FROM cl""", _CLI_LOAD_CTE)), "K-01,J-06")
+def load_patients_cli(spark, sf):
+    """A sheet whose rows bring their ids, some missing and some taken, against a third of
+    the stored registry."""
+    return _loaded_cli(spark, sf)[1].select("row_id", "patient_id", "phone_number", "email", "first_name")
+
+
 # --- visits ----------------------------------------------------------------------------
 
 _VISIT_CTE = f"""
@@ -198,3 +240,22 @@ SELECT CAST((SELECT count(*) FROM patients) AS BIGINT) AS patients,
        CAST((SELECT count(*) FROM visits) AS BIGINT) AS visits"""), "P-08")
 def post_load_counts(spark, sf):
     return L.post_load_counts(fixture(spark, sf, "patients"), fixture(spark, sf, "visits"))
+
+
+@register("load_visits_cli", _recursive(sql(("visits_raw", "patients_raw", "patients"), """,
+pp AS (SELECT patient_id, phone_number, email FROM st UNION ALL SELECT patient_id, phone_number, email FROM cl),
+bph AS (SELECT phone_number, min(patient_id) AS pid FROM pp GROUP BY 1), bem AS (SELECT email, min(patient_id) AS pid FROM pp WHERE email IS NOT NULL GROUP BY 1),
+rs AS (SELECT vc.row_id, coalesce(vc.patient_id, bph.pid, bem.pid) AS patient_id, vc.doctor_name, vc.visit_date
+       FROM vc LEFT JOIN bph ON vc.patient_id IS NULL AND bph.phone_number = vc.phone_number
+               LEFT JOIN bem ON vc.patient_id IS NULL AND bem.email = vc.email)
+SELECT row_id, row_number() OVER (ORDER BY row_id) AS visit_id, patient_id, doctor_name, visit_date
+FROM rs WHERE patient_id IN (SELECT patient_id FROM pp) AND doctor_name IS NOT NULL""".lstrip(",\n"),
+    _CLI_LOAD_CTE + "," + _VISIT_CTE.split(",\nrv AS")[0]).replace("\npp AS", ",\npp AS", 1)), "K-01,K-02,J-02..J-04")
+def load_visits_cli(spark, sf):
+    """The visits of that sheet reach the patients whose ids it gave."""
+    stored, loaded = _loaded_cli(spark, sf)
+    known = ["patient_id", "phone_number", "email"]
+    patients = cut_lineage(stored.select(*known).unionByName(loaded.select(*known)))
+    ok, _ = L.split_foreign_key(L.resolve_visit_patients(_clean_visits(spark, sf), patients), patients)
+    none = spark.createDataFrame([], S.VISIT_SCHEMA)
+    return L.append_visits(ok, none).select("row_id", "visit_id", "patient_id", "doctor_name", "visit_date")

@@ -66,7 +66,7 @@ def audit_by_patient(spark, sf):
         "patient_id", "audit_id", "entity_type", "entity_id", "action", "changed_by", "changed_at", "details")
 
 
-@register("patient_timeline", sql(("patients", "visits", "audit_logs"), f"""
+_TIMELINE_SQL = f"""
 SELECT patient_id, 'registration' AS event_type, strftime(registration_date, '%Y-%m-%d') AS event_date,
        'Patient Registered' AS title,
        json_object('name', trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')),
@@ -85,7 +85,10 @@ SELECT p.patient_id, 'audit', strftime(date_trunc('second', a.changed_at), '%Y-%
        a.entity_type || ': ' || a.action,
        json_object('changed_by', a.changed_by, 'payload', a.details)::VARCHAR,
        2, -epoch_us(date_trunc('second', a.changed_at)), -a.audit_id
-FROM audit_logs a JOIN patients p ON CAST(p.patient_id AS VARCHAR) = {_AUDIT_KEY_SQL}"""), "A-14,A-15,U-02,O-02,X-12,X-13")
+FROM audit_logs a JOIN patients p ON CAST(p.patient_id AS VARCHAR) = {_AUDIT_KEY_SQL}"""
+
+
+@register("patient_timeline", sql(("patients", "visits", "audit_logs"), _TIMELINE_SQL), "A-14,A-15,U-02,O-02,X-12,X-13")
 def patient_timeline(spark, sf):
     p, v = _pv(spark, sf)
     t = PT.timeline(p, v, fixture(spark, sf, "audit_logs"), JSON_PATH)
@@ -196,3 +199,13 @@ def timeline_audit(spark, sf):
     p, v = _pv(spark, sf)
     t = PT.timeline(p, v, fixture(spark, sf, "audit_logs"), JSON_PATH)
     return t.where(F.col("event_type") == "audit").select("patient_id", "event_date", "title")
+
+
+@register("patient_report_events", sql(("patients", "visits", "audit_logs"), f"""
+SELECT patient_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY event_date IS NULL DESC, event_date DESC,
+         source_order, seq_date NULLS FIRST, seq_id NULLS FIRST) AS INTEGER) AS position, event_type, event_date, title
+FROM ({_TIMELINE_SQL}) t"""), "A-18,A-14,O-02")
+def patient_report_events(spark, sf):
+    p, v = _pv(spark, sf)
+    return PT.report_events(p, v, fixture(spark, sf, "audit_logs"), JSON_PATH).select(
+        "patient_id", "position", "event_type", "event_date", "title")

@@ -33,9 +33,9 @@ def digits(x: str) -> str:
 
 
 def parse_date(x: str) -> str:
-    fmts = ["%d-%m-%Y", "%Y-%m-%d", "%d/%m/%Y", "%Y/%m/%d", "%d.%m.%Y", "%Y.%m.%d",
+    fmts = ["%d/%m/%y", "%d-%m-%Y", "%Y-%m-%d", "%d/%m/%Y", "%Y/%m/%d", "%d.%m.%Y", "%Y.%m.%d",
             "%Y-%m-%d %H:%M:%S", "%d-%m-%Y %H:%M:%S", "%Y%m%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M",
-            "%Y-%m-%d %H:%M:%S.%f", "%d %b %Y", "%d-%b-%Y", "%d %B %Y", "%d/%m/%y"]
+            "%Y-%m-%d %H:%M:%S.%f", "%d %b %Y", "%d-%b-%Y", "%d %B %Y"]
     lst = ", ".join(f"'{f}'" for f in fmts)
     return f"CAST(try_strptime({strip(x)}, [{lst}]) AS DATE)"
 

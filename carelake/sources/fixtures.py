@@ -38,6 +38,13 @@ UNION ALL
 SELECT c_custkey + 100000000, NULL, concat('Jonathan', CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'n' END), 'Smithson', 'm', '01-01-1970',
  concat('555', lpad(CAST(c_custkey - c_custkey % 2 AS STRING),7,'0')), NULL, NULL, 'B+', NULL
 FROM {customer} WHERE c_custkey % 10 < 2
+UNION ALL
+SELECT c_custkey + 200000000, NULL, CASE WHEN c_custkey % 3 = 0 THEN repeat('Ab', 30) ELSE 'Bounds' END,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'Checked' END, 'm',
+ CASE c_custkey % 4 WHEN 0 THEN 'nan' WHEN 1 THEN '5 Mar 1980' WHEN 2 THEN '1980-03-10T09:00:00' ELSE '07-08-1980' END,
+ concat('444', lpad(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 11 = 0 THEN 15 ELSE 7 END, '0')), NULL, NULL,
+ CASE WHEN c_custkey % 9 = 0 THEN 'unknown group' ELSE 'B+' END, '05/06/99'
+FROM {customer} WHERE c_custkey % 10 = 3
 """
 
 # Stored-form patients (typed, already clean) for the analytics queries.
@@ -60,7 +67,7 @@ FROM {customer}
 
 VISITS_SQL = """
 SELECT o_orderkey AS visit_id, o_custkey AS patient_id,
- CASE WHEN o_orderkey % 17 = 0 THEN '  ' WHEN o_orderkey % 2 = 0 THEN concat('Dr Doc', CAST(o_orderkey % 23 AS STRING)) ELSE concat('DR DOC', CAST(o_orderkey % 23 AS STRING)) END AS doctor_name,
+ CASE WHEN o_orderkey % 17 = 0 THEN '  ' WHEN o_orderkey % 19 = 0 THEN concat('Dr Dóc', CAST(o_orderkey % 23 AS STRING)) WHEN o_orderkey % 2 = 0 THEN concat('Dr Doc', CAST(o_orderkey % 23 AS STRING)) ELSE concat('DR DOC', CAST(o_orderkey % 23 AS STRING)) END AS doctor_name,
  CASE o_orderkey % 9 WHEN 0 THEN 'Fever, headache' WHEN 1 THEN 'chest pain; cough' WHEN 2 THEN 'HIGH  fever / nausea' WHEN 3 THEN NULL WHEN 4 THEN '  ' WHEN 5 THEN 'Routine checkup' WHEN 6 THEN 'breathless,,cough' WHEN 7 THEN 'severe back pain/fatigue' ELSE 'cough' END AS symptoms,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('med', CAST(o_orderkey % 6 AS STRING)) END AS medications,
  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 21 AS INT) ELSE NULL END AS follow_up_date,
