@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.llm.common import ship
+
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 PACKED = "bucket int, block long, keys binary, counts binary"
@@ -40,6 +42,7 @@ def block_of(n_blocks: int, *cols: str):
 
 def in_blocks(df: DataFrame, id_col: str, text_col: str, by_text: bool = True) -> Blocks:
     """``by_text``: rows that share an id may lie in different blocks."""
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(1))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.llm.common import ship
 from carelake.llm.grams import chunks, codes, has_letter
 from carelake.llm.words import mix
 
@@ -132,6 +133,7 @@ class Model:
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang", per_language: int = 500) -> Model:
     """Fit on at most ``per_language`` rows of every language among those where ``train``."""
+    ship(df.sparkSession)
     rows = df.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                        (F.xxhash64(F.lit("sample"), id_col, text_col).bitwiseAND(F.lit((1 << 31) - 1)) / (1 << 31)).alias("u"))
@@ -160,6 +162,7 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
 def predict(df: DataFrame, model: Model, text_col: str = "text",
             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``df`` with the two columns named in ``out`` (replacing any of that name)."""
+    ship(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c not in out])
     schema = T.StructType([*kept.schema.fields, T.StructField(out[0], T.StringType()),
                            T.StructField(out[1], T.DoubleType())])

@@ -34,6 +34,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from carelake.llm.common import ship
 from carelake.llm.words import _powers, mix
 
 SPACE = "▁"
@@ -359,6 +360,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", n: int = 4, d
     """``df`` with ``ids`` (best, little-endian 32 bit), ``score`` and up to n - 1
     ``alternatives`` in order of score, as edits of the best (replacing columns of those
     names). ``decoded`` names a further column for the text that the ids decode to."""
+    ship(df.sparkSession)
     fields = [*OUT.fields, *([T.StructField(decoded, T.StringType())] if decoded else [])]
     names = [f.name for f in fields]
     kept = df.select(*[c for c in df.columns if c not in names])
@@ -394,6 +396,7 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids (null ids: null; replacing a column of that name)."""
+    ship(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c != out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

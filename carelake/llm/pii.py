@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.llm.common import ship
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
@@ -230,6 +232,7 @@ def fit(df: DataFrame, text_col: str = "text") -> Model:
             yield pa.RecordBatch.from_pydict({
                 "votes": pa.array([v for v, _ in found], pa.int32()), "features": pa.array([f for _, f in found], pa.int32())})
 
+    ship(df.sparkSession)
     counted = (df.select(text_col).mapInArrow(run, "votes int, features int").groupBy("votes", "features")
                .agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "features").collect())
     return Model([(r["votes"], r["features"], r["n"]) for r in counted])
@@ -243,6 +246,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text",
            out: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """``df`` with base spans and all spans as ``kind:start:end`` texts (replacing columns
     of those names)."""
+    ship(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c not in out])
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.StringType()) for c in out]])
 
@@ -276,4 +280,5 @@ def redact(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [new if name == text_col else batch.column(name) for name in batch.schema.names], batch.schema.names)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)

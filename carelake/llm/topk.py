@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelake.llm.common import ship
+
 QUERY_TILE = 1024
 SHARD = 8192
 FAN_IN = 8
@@ -99,6 +101,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
           k: int = 20, scale: float = 64.0, query_tile: int = QUERY_TILE, shard: int = SHARD,
           fan_in: int = FAN_IN) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) for the rows of ``vectors`` where ``is_query``."""
+    ship(vectors.sparkSession)
     flagged = vectors.select("*", F.coalesce(is_query, F.lit(False)).alias("_asks"))
     every = quantised(flagged, id_col, vec_col, scale)
     asks = quantised(flagged.where("_asks"), id_col, vec_col, scale).dropDuplicates(["vec_id", "vec"])

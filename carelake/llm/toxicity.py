@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.llm.common import staged
+from carelake.llm.common import ship, staged
 from carelake.llm.grams import chunks
 from carelake.llm.words import mix
 
@@ -232,6 +232,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the column ``out`` (replacing any of that name)."""
+    ship(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c != out])
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
