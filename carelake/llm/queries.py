@@ -172,6 +172,22 @@ def op9_exact_dedup(spark, sf_dir):
         F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("op10_ngram_jaccard_join")
+@query("op10_ngram_jaccard_join", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+    ELSE [array_to_string(w, ' ')] END) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON other = a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents
+LEFT JOIN n ON n.doc_id = documents.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = documents.doc_id
+""")
 def op10_ngram_jaccard_join(spark, sf_dir):
     return shingle_join.link_components(table(spark, sf_dir, "documents"))
