@@ -36,6 +36,11 @@ def _once(run, spark, sf, retry: bool) -> str:
     return _STORES[key]
 
 
+def forget_runs() -> None:
+    """Let the next query run its stream anew (for timing)."""
+    _STORES.clear()
+
+
 # --- replay --------------------------------------------------------------------------------
 
 _KIND = "CASE WHEN event_id % 83 = 0 THEN 'note' WHEN event_id % 4 = 0 THEN 'patient' ELSE 'visit' END"

@@ -16,7 +16,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STREAMING = {"replay_pending", "upload_stream"}
+STREAMING = {"replay_pending", "replay_retry", "replay_patients", "replay_patients_retry", "replay_rejected", "replay_audit",
+             "upload_stream", "upload_stream_retry", "rejected_stream"}
 OPS = ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
        "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate", "SortAggregate", "ObjectHashAggregate",
        "WindowGroupLimit", "Window", "TakeOrderedAndProject", "ArrowEvalPython", "MapInPandas",
