@@ -108,6 +108,46 @@ def test_toxicity_ratios_are_kneser_ney(spark):
         assert got[(len(g) << 48) | to_int(g)] == pytest.approx(np.log(p[0] / p[1]))
 
 
+def test_toxicity_learns_word_ends_and_phrases(spark):
+    """Words that differ after the fifth byte, in two scripts, and a pair of innocent words."""
+    rng, rows, plain = random.Random(21), [], "talen moris sudar lekov tunor".split()
+    for harmless, toxic in (("bastion", "bastard"), ("скотина", "скотный"), ("stone river", "stone heart")):
+        for i in range(400):
+            text = [rng.choice(plain) for _ in range(30)]
+            bad = i % 4 == 0
+            for word in (toxic if bad else harmless, "brave heart"):
+                text[rng.randrange(30)] = word
+            rows.append((len(rows), " ".join(text), int(bad), (toxic in " ".join(text))))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels, ~held_out(5, 0))).collect()}
+    held = [(scored[i], there) for i, _, _, there in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 200 and sum((s >= 0.5) == there for s, there in held) / len(held) > 0.95
+
+
+def gram_rows(spark, counts):
+    """(gram, counts) as ``fit`` has them, all in the first part."""
+    rows = [(g, *[n if k == 0 else 0 for n in (ordinary, toxic) for k in range(toxicity.FOLDS)]) for g, (ordinary, toxic) in counts.items()]
+    return spark.createDataFrame(rows, "gram string, " + ", ".join(f"{c} long" for c in toxicity._COUNTS))
+
+
+def test_toxicity_gram_ratios_are_kneser_ney(spark):
+    counts = {"abcda": (9, 1), "abcdb": (1, 0), "abcdc": (0, 2), "xbcda": (2, 0), "zzzz ": (0, 1), "zzzzq": (40, 0)}
+    got = {r.key: r[f"r{toxicity.FOLDS}"] for r in toxicity.gram_ratios(gram_rows(spark, counts)).collect()}
+    cut = [(sum(n[c] == 1 for n in counts.values()) + 0.5)
+           / (sum(n[c] == 1 for n in counts.values()) + 2 * sum(n[c] == 2 for n in counts.values()) + 1) for c in (0, 1)]
+    assert all(0 < d < 1 for d in cut)
+    for gram, n in counts.items():
+        kin, p = [m for g, m in counts.items() if g[:-1] == gram[:-1]], []
+        total = [sum(m[c] for m in kin) for c in (0, 1)]
+        lower = sum(g[1:] == gram[1:] for g in counts) / sum(g[1:-1] == gram[1:-1] for g in counts)
+        rest = [sum(min(m[c], cut[c]) for m in kin) / total[c] if total[c] else 1 for c in (0, 1)]
+        for c in (0, 1):
+            p.append(max(n[c] - cut[c], 0) / max(total[c], 1) + rest[c] * (sum(n) + lower) / (sum(total) + 1))
+        assert got[gram] == pytest.approx(np.log(p[1] / p[0]))
+        assert got[gram[:-1]] == pytest.approx(np.log(rest[1] / rest[0]))
+
+
 # --- personal data
 
 PATTERNS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
