@@ -148,6 +148,13 @@ def test_toxicity_gram_ratios_are_kneser_ney(spark):
         assert got[gram[:-1]] == pytest.approx(np.log(rest[1] / rest[0]))
 
 
+def test_toxicity_rare_evidence_is_kept(spark):
+    """A gram seen in one toxic document and in no ordinary one has mass of its own."""
+    counts = {f"ab{a}{b}e": (5, 1 + (a in "cde")) for a in "cdefg" for b in "hijkl"} | {"vwxyz": (0, 1), "vwxya": (4, 0)}
+    got = {r.key: r[f"r{toxicity.FOLDS}"] for r in toxicity.gram_ratios(gram_rows(spark, counts)).collect()}
+    assert got["vwxyz"] > got["vwxy"] + 0.2 and got["vwxyz"] > got["abche"]
+
+
 # --- personal data
 
 PATTERNS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
