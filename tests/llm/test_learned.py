@@ -155,6 +155,15 @@ def test_toxicity_rare_evidence_is_kept(spark):
     assert got["vwxyz"] > got["vwxy"] + 0.2 and got["vwxyz"] > got["abche"]
 
 
+def test_toxicity_table_keeps_every_key():
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 3_000_000).astype(np.uint64) * np.uint64(2)
+    keys = np.unique(np.concatenate((keys, np.arange(1, 2001, 2, dtype=np.uint64))))  # a thousand share their first bits
+    table = toxicity.Table(keys[::-1], np.arange(len(keys), dtype=np.float32)[::-1, None])
+    assert np.array_equal(table.ratios[table.places(keys), 0], np.arange(len(keys), dtype=np.float32))
+    assert (table.places(np.arange(2001, 4001, 2, dtype=np.uint64)) == -1).all()
+    assert (toxicity.Table(keys[:0], np.zeros((0, 1), np.float32)).places(keys[:9]) == -1).all()
+
+
 # --- personal data
 
 PATTERNS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
