@@ -298,6 +298,29 @@ def test_neighbours_are_by_bm25():
         assert np.allclose(np.array(scores)[order], sorted(scores, reverse=True))
 
 
+def test_neighbours_come_from_the_whole_corpus(spark):
+    """Recall of brute-force BM25 neighbours within shards; topics lie far apart in the input."""
+    rng, topics, n = np.random.default_rng(5), 50, 2000
+    texts = [np.concatenate((rng.integers(0, 60, 40), 100 + 6 * (i % topics) + rng.integers(0, 6, 12))).astype("<u2") for i in range(n)]
+    frequency = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=100 + 6 * topics)
+    idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    packer = packing._Packer(idf, 52.0, 0)
+    packer._index([packing._Document(i, t) for i, t in enumerate(texts)])
+    df = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, ids binary")
+    rows = packing.gathered(df, idf, frequency > 1, "<u2").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(n))
+    count, shard = Counter(), {}
+    for r in rows:
+        shard[r.doc_id] = r.task, count[r.task] // packing.SHARD
+        count[r.task] += 1
+
+    def recall(where):
+        near = {i: [k for k in packer._neighbours(i, n)[:11] if k != i][:10] for i in range(0, n, 20)}
+        return np.mean([where[i] == where[k] for i, ks in near.items() for k in ks])
+
+    assert recall({i: i // packing.SHARD for i in range(n)}) < 0.35 < 0.7 < recall(shard)
+
+
 # --- piece lattice
 
 def all_segmentations(pieces, text):
