@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, exact_dedup, language_id, packing, pii, piece_lattice, shingle_join, substring_dedup, topk, toxicity
+from carelake.llm import (chat, exact_dedup, hard_negatives, language_id, packing, pii, piece_lattice, shingle_join, small_world,
+                          substring_dedup, subvector_kmeans, topk, toxicity)
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,68 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON
 """)
 def op10_ngram_jaccard_join(spark, sf_dir):
     return shingle_join.link_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.vec, c.vec) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id != c.vec_id AND len(a.vec) = len(c.vec)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+""")
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark, sf_dir):
+    return small_world.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _kmeans_sql(rounds: int = 10, k: int = 8) -> str:
+    """The rounds one after the other, in long form (a row per component)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (
+  SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM v JOIN c{r} USING (i) GROUP BY vec_id, k),
+a{r} AS MATERIALIZED (
+  SELECT vec_id, k, distance FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT k, i, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM a{r} JOIN v USING (vec_id) GROUP BY k, i) USING (k, i))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept),
+c0 AS MATERIALIZED (SELECT k, i, x AS c FROM first JOIN v USING (vec_id) WHERE k < {k}),{",".join(steps)},
+name AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN name USING (k)
+"""
+
+
+@query("op13_subvector_kmeans", _kmeans_sql())
+def op13_subvector_kmeans(spark, sf_dir):
+    return subvector_kmeans.cluster(table(spark, sf_dir, "embeddings"))
