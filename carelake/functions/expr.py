@@ -49,7 +49,8 @@ def null_if_token(c) -> Column:
 
 def clean_text(c) -> Column:
     """Strip, then null for placeholders."""
-    return null_if_token(strip(c))
+    text = strip(c)
+    return F.when(~F.lower(text).isin(S.NULL_TOKENS), text)
 
 
 _MARK = "\ue000"  # private-use character: marks word starts introduced below
@@ -85,24 +86,33 @@ def upper_code(c) -> Column:
     return F.upper(clean_text(c))
 
 
-def parse_date(c, layouts=None, stripped: bool = False) -> Column:
+def _date_shape() -> str:
+    """One pattern for all layouts with a four-digit year; it matches every text, with groups
+    only where the text has one of the shapes. Groups: (d, -, M, y), (y, -, M, d), (y, M, d)."""
+    day_first, year_first, solid = (shape[1:-1] for _, shape, _ in S.DATE_LAYOUTS[:3])
+    uncaught = lambda p: p.replace(S.TIME_PART, "")
+    time = S.TIME_PART.replace("(", "(?:")
+    year_first = uncaught(year_first).replace(r"\2", r"\6")
+    return rf"(?s)^(?:(?:{uncaught(day_first)}|{year_first}){time}|{solid})$|^.*$"
+
+
+def parse_date(c, stripped: bool = False) -> Column:
     """Per-value day-first parse over an explicit layout list; unparseable -> null.
 
-    The value is rewritten to ``y-M-d`` by the first layout whose shape it has and
-    parsed once, strictly, so impossible dates such as 31-02 come out null; month
-    names have a shape of their own. Few parser calls per value keep both run time
-    and generated code small.
-    """
+    The value is rewritten to ``y-M-d`` by one pattern and cast, which refuses impossible
+    dates such as 31-02. Only what is no date by then is tried with a two-digit year or a
+    month's name, so most values cost one match."""
     c = col_of(c) if stripped else strip(col_of(c))
-    iso = None
-    for _, shape, rewrite in (layouts or S.DATE_LAYOUTS):
-        iso = (F.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)) if iso is None
-               else iso.when(c.rlike(shape), F.regexp_replace(c, shape, rewrite)))
+    whole = F.regexp_replace(c, _date_shape(), "$4$5$9-$3$7$10-$1$8$11").try_cast("date")
+    short = None
+    for _, shape, rewrite in S.DATE_LAYOUTS[3:]:
+        text = F.regexp_replace(c, shape, rewrite).try_cast("date")
+        short = F.when(c.rlike(shape), text) if short is None else short.when(c.rlike(shape), text)
     name = S.MONTH_NAME_SHAPE
-    named = F.when(c.rlike(name), F.concat_ws(
+    named = F.when(c.rlike(name), F.try_to_date(F.concat_ws(
         "-", F.regexp_extract(c, name, 3), F.initcap(F.substring(F.regexp_extract(c, name, 2), 1, 3)),
-        F.regexp_extract(c, name, 1)))
-    return F.coalesce(F.try_to_date(iso, "y-M-d"), F.try_to_date(named, "y-MMM-d"))
+        F.regexp_extract(c, name, 1)), "y-MMM-d"))
+    return F.coalesce(whole, short, named)
 
 
 def gender_label(c, lowered: bool = False) -> Column:

@@ -71,13 +71,23 @@ def prepare_raw_patients(raw: DataFrame) -> DataFrame:
     return inject_missing(df, S.PATIENT_COLUMNS)
 
 
+def _importable(first: str):
+    """The import filter: a first name, and a phone number of some length."""
+    return (F.col(first).isNotNull() & F.col("phone_number").isNotNull()
+            & (F.length("phone_number") >= S.MIN_PHONE_DIGITS))
+
+
 def clean_patients_upload(raw: DataFrame, as_of=None) -> DataFrame:
     """C-18 up to (not including) de-duplication: normalise and apply the import filter.
     The filter is applied before casing (casing keeps null-ness), so it is cheap."""
     names = _stage_names(_stage_text(prepare_raw_patients(raw), True, False), True)
-    ok = (F.col("_first").isNotNull() & F.col("phone_number").isNotNull()
-          & (F.length("phone_number") >= S.MIN_PHONE_DIGITS))
-    return _stage_final(names.where(ok), as_of)
+    return _stage_final(names.where(_importable("_first")), as_of)
+
+
+def clean_with_verdict(raw: DataFrame, as_of=None) -> DataFrame:
+    """``clean_patients_upload`` of all rows, with ``_importable`` in place of the filter."""
+    cleaned = clean_patient_columns(prepare_raw_patients(raw), as_of)
+    return cleaned.withColumn("_importable", F.coalesce(_importable("first_name"), F.lit(False)))
 
 
 def clean_patients_cli(raw: DataFrame, as_of=None) -> DataFrame:
@@ -95,14 +105,14 @@ def cli_rejects(cleaned: DataFrame) -> DataFrame:
             .withColumn("reason", F.lit("Missing phone number")))
 
 
-def clean_visits(raw: DataFrame) -> DataFrame:
+def clean_visits(raw: DataFrame, keep_undated: bool = False) -> DataFrame:
     """C-19: visits sheet normalised; rows without a parseable visit date dropped."""
     df = normalize_headers(raw)
     require_columns(df, S.REQUIRED_VISIT_COLUMNS, "visits sheet")
     df = inject_missing(df, ["patient_id", "phone_number", "email", "symptoms",
                              "medications", "follow_up_date"])
     out = [F.col("row_id")] if "row_id" in df.columns else []
-    return df.select(
+    cleaned = df.select(
         *out,
         strip("patient_id").try_cast("bigint").alias("patient_id"),
         F.nullif(digits_only("phone_number"), F.lit("")).alias("phone_number"),
@@ -112,7 +122,8 @@ def clean_visits(raw: DataFrame) -> DataFrame:
         clean_text("medications").alias("medications"),
         parse_date("follow_up_date").alias("follow_up_date"),
         parse_date("visit_date").alias("visit_date"),
-    ).where(F.col("visit_date").isNotNull())
+    )
+    return cleaned if keep_undated else cleaned.where(F.col("visit_date").isNotNull())
 
 
 def truncate_to_bounds(df: DataFrame, bounds=None) -> DataFrame:

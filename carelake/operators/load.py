@@ -3,113 +3,188 @@
 Spark tables have no unique constraints, so the database's INSERT IGNORE and
 foreign-key behaviour is expressed as joins:
 
-* collisions with stored rows: one left-anti join per unique key (J-06);
-* collisions inside the batch, exact row-by-row semantics: parallel greedy
-  rounds (accept every row that is the earliest remaining row on all of its
-  keys, drop rows that share a key with an accepted row, repeat). Each round is
-  a handful of map-side combined aggregates and joins, and its result is
-  checkpointed to the shared checkpoint folder to keep the lineage short;
+* collisions with stored rows: the keys of all kinds, in long form, meet in one join (J-06);
+* collisions inside the batch, exact row-by-row semantics: rows whose keys are all unique are
+  accepted at once. What clashes is narrow (order, keys) and decided in parallel greedy
+  rounds (accept every row that is the earliest remaining row on all of its keys, drop rows
+  that share a key with an accepted row, repeat); once few enough rows are left for one task,
+  that task walks through them in order, which decides chains of any length;
+* look-ups: frequent keys of the row side are found by a bounded sketch, their rows stay where
+  they are and meet the few values by broadcast;
 * new surrogate ids: ``max(existing) + dense position`` (see numbering).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake import schema as S
+from carelake.operators import clean as C
 from carelake.session import cut_lineage
 from carelake.sources.numbering import with_row_index
 
 PATIENT_KEYS = ("phone_number", "email")
 CLI_KEYS = ("patient_id", "phone_number", "email")
+#: Clashing rows that one task decides by walking through them (some 20 MB).
+WALK_ROWS = 200_000
+#: A key is frequent when it holds at least this share of the rows; at most 1 / share keys do.
+FREQUENT = 1 / 200
 
 
 def _present(c):
     return F.col(c).isNotNull()
 
 
-def _join_key(df: DataFrame, key: str, salt: str):
-    """``key``, or where it is null a value of the row's own that no stored key equals, so
-    that rows without a key spread over all partitions and match nothing."""
+def frequent_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold at least ``FREQUENT`` of the rows, from a sketch of bounded size
+    (it overlooks none). At most a few hundred values reach the driver."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"),
+                     F.expr(f"approx_top_k({key}, 400, 8192) FILTER (WHERE {key} IS NOT NULL)").alias("top")).first()
+    return [] if not found["n"] else [t["item"] for t in found["top"] or [] if t["count"] > 1 and t["count"] >= FREQUENT * found["n"]]
+
+
+def _join_key(df: DataFrame, key: str, salt: str, apart=None):
+    """``key``, or where it is null (or the row is set ``apart``) a value of the row's own that
+    no stored key equals, so that such rows spread over all partitions and match nothing."""
     own = F.xxhash64(F.lit(key), F.col(salt))
+    value = F.col(key) if apart is None else F.when(~apart, F.col(key))
     if df.schema[key].dataType.simpleString() == "string":
-        return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), own.cast("string")))
-    return F.coalesce(F.col(key).cast("long"), -F.abs(own) - 1)
+        return F.coalesce(value, F.concat(F.lit("\u0000"), own.cast("string")))
+    return F.coalesce(value.cast("long"), -F.abs(own) - 1)
 
 
-def look_up(rows: DataFrame, lookup: DataFrame, key: str, value, out: str, salt: str = "row_id") -> DataFrame:
+def look_up(rows: DataFrame, lookup: DataFrame, key: str, value, out: str, salt: str = "row_id",
+            frequent: list | None = None) -> DataFrame:
     """``rows`` with ``out``: ``value`` (an aggregate) of the ``lookup`` rows with the same
-    ``key``, null without a match. One row per key, so nothing multiplies."""
+    ``key``, null without a match. One row per key, so nothing multiplies. Rows with one of
+    the ``frequent`` keys get the value by broadcast and are not gathered by their key."""
     found = lookup.where(_present(key)).groupBy(F.col(key).alias("_found")).agg(value.alias(out))
-    return rows.withColumn("_sought", _join_key(rows, key, salt)).join(
-        found, F.col("_sought") == F.col("_found"), "left").drop("_sought", "_found")
+    if not frequent:
+        return rows.withColumn("_sought", _join_key(rows, key, salt)).join(
+            found, F.col("_sought") == F.col("_found"), "left").drop("_sought", "_found")
+    often = F.coalesce(F.col(key).isin(frequent), F.lit(False))
+    few = found.where(F.col("_found").isin(frequent)).select(F.col("_found").alias("_often"), F.col(out).alias("_often_value"))
+    rest = found.where(~F.col("_found").isin(frequent))
+    return (rows.withColumn("_sought", _join_key(rows, key, salt, often))
+            .join(F.broadcast(few), F.when(often, F.col(key)) == F.col("_often"), "left")
+            .join(rest, F.col("_sought") == F.col("_found"), "left")
+            .withColumn(out, F.coalesce(F.col(out), F.col("_often_value")))
+            .drop("_sought", "_found", "_often", "_often_value"))
+
+
+def long_keys(rows: DataFrame, keys, *kept, prefix=None) -> DataFrame:
+    """(kept..., _key): one row per key that is not null, named by its kind."""
+    parts = [F.when(_present(k), F.concat(F.lit(f"{prefix[k] if prefix else k}:"), F.col(k).cast("string"))) for k in keys]
+    return rows.select(*kept, F.explode(F.array_compact(F.array(*parts))).alias("_key"))
+
+
+def colliding(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
+    """``order_col`` of the rows of ``batch`` (a written table) with a key that is stored."""
+    sought = long_keys(batch, keys, F.col(order_col).alias("_o"))
+    stored = long_keys(existing, keys)
+    hits = look_up(sought, stored, "_key", F.min(F.lit(1)), "_hit", "_o", frequent_keys(sought, "_key"))
+    return hits.where("_hit IS NOT NULL").select(F.col("_o").alias(order_col)).distinct()
 
 
 def anti_existing(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
-    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06)."""
-    out = batch
+    """Rows of ``batch`` whose non-null keys collide with no stored row (J-06). Both sides are
+    read once."""
+    batch = cut_lineage(batch)
+    return batch.join(colliding(batch, existing, keys, order_col), order_col, "left_anti")
+
+
+def _walk(n_keys: int):
+    """One task's sequential INSERT IGNORE over the clashing rows: the refused ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        taken, refused = [set() for _ in range(n_keys)], []
+        for order, *keys in rows:
+            if any(k in seen for k, seen in zip(keys, taken, strict=True)):
+                refused.append(order)
+                continue
+            for k, seen in zip(keys, taken, strict=True):
+                if k is not None:
+                    seen.add(k)
+        yield pa.RecordBatch.from_pydict({"_o": pa.array(refused, pa.int64())})
+    return run
+
+
+def _clashing(rows: DataFrame, keys, frequent: dict) -> DataFrame:
+    """The rows that share a key with another one."""
+    todo, clash = rows, F.lit(False)
     for k in keys:
-        stored = existing.where(_present(k)).select(F.col(k).alias("_stored"))
-        out = out.join(stored, _join_key(out, k, order_col) == F.col("_stored"), "left_anti")
-    return out
+        todo = look_up(todo, rows, k, F.count(F.lit(1)), f"_n_{k}", "_o", frequent[k])
+        clash = clash | F.coalesce(F.col(f"_n_{k}") > 1, F.lit(False))
+    return todo.where(clash).select("_o", *keys)
 
 
-def rejected_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
+def _round(todo: DataFrame, keys, frequent: dict) -> tuple[DataFrame, DataFrame]:
+    """(refused, undecided) after one greedy round over ``todo``."""
+    firsts, first = todo, F.lit(True)
+    for k in keys:
+        firsts = look_up(firsts, todo, k, F.min("_o"), f"_min_{k}", "_o", frequent[k])
+        first = first & (F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col("_o")))
+    judged = cut_lineage(firsts.select("_o", *keys, first.alias("_won")))
+    winners, rest, lost = judged.where("_won"), judged.where("NOT _won").drop("_won"), F.lit(False)
+    for k in keys:
+        rest = look_up(rest, winners, k, F.count(F.lit(1)), f"_lost_{k}", "_o", frequent[k])
+        lost = lost | F.col(f"_lost_{k}").isNotNull()
+    rest = cut_lineage(rest.select("_o", *keys, lost.alias("_lost")))
+    return rest.where("_lost").select("_o"), rest.where("NOT _lost").drop("_lost")
+
+
+def rejected_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id", walk_rows: int | None = None) -> DataFrame:
     """``order_col`` of the rows that sequential insert-ignore inside one batch refuses.
 
     A row is accepted iff no earlier accepted row shares one of its keys (nulls never clash).
-    Rows whose keys are all unique in the batch are accepted at once. The rest, as narrow
-    (order, keys) rows, is decided in rounds, each of which settles at least the earliest
-    undecided row of every chain; rounds run until nothing is undecided."""
+    Every round settles at least the earliest undecided row of every chain; the last
+    ``walk_rows`` undecided rows are settled by one task."""
+    walk_rows = WALK_ROWS if walk_rows is None else walk_rows
     order = F.coalesce(F.col(order_col), F.raise_error(F.lit(f"{order_col} must not be null")).cast("long"))
-    todo = batch.select(order.alias("_o"), *keys)
-    for k in keys:
-        todo = look_up(todo, todo, k, F.count(F.lit(1)), f"_n_{k}", "_o")
-    clashing = F.lit(False)
-    for k in keys:
-        clashing = clashing | F.coalesce(F.col(f"_n_{k}") > 1, F.lit(False))
-    todo = cut_lineage(todo.where(clashing).select("_o", *keys))
-    rejected = todo.select("_o").limit(0)
-    while not todo.isEmpty():
-        firsts = todo
-        for k in keys:
-            firsts = look_up(firsts, todo, k, F.min("_o"), f"_min_{k}", "_o")
-        first = F.lit(True)
-        for k in keys:
-            first = first & (F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col("_o")))
-        judged = cut_lineage(firsts.select("_o", *keys, first.alias("_won")))
-        winners = judged.where("_won")
-        rest = judged.where("NOT _won").drop("_won")
-        for k in keys:
-            rest = look_up(rest, winners, k, F.count(F.lit(1)), f"_lost_{k}", "_o")
-        lost = F.lit(False)
-        for k in keys:
-            lost = lost | F.col(f"_lost_{k}").isNotNull()
-        rest = cut_lineage(rest.select("_o", *keys, lost.alias("_lost")))
-        rejected = rejected.unionByName(rest.where("_lost").select("_o"))
-        todo = rest.where("NOT _lost").drop("_lost")
-    return rejected.withColumnRenamed("_o", order_col)
+    rows = cut_lineage(batch.select(order.cast("long").alias("_o"), *keys))
+    frequent = {k: frequent_keys(rows, k) for k in keys}
+    todo = cut_lineage(_clashing(rows, keys, frequent))
+    refused, left = [], todo.count()
+    while left > walk_rows:
+        out, todo = _round(todo, keys, frequent)
+        refused.append(out)
+        left = todo.count()
+    if left:
+        refused.append(cut_lineage(todo.coalesce(1).mapInArrow(_walk(len(keys)), "_o long")))
+    found = refused[0] if refused else todo.select("_o").limit(0)
+    for more in refused[1:]:
+        found = found.unionByName(more)
+    return found.withColumnRenamed("_o", order_col)
 
 
 def resolve_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Exact sequential insert-ignore inside one batch: (accepted, rejected)."""
+    batch = cut_lineage(batch)
     out = rejected_in_batch(batch, keys, order_col)
     return batch.join(out, order_col, "left_anti"), batch.join(out, order_col, "left_semi")
 
 
-def assign_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id") -> DataFrame:
-    """New ids continuing after the largest stored id, in ``order_col`` order."""
-    start = existing.agg(F.max(id_col)).first()[0]
-    start = 1 if start is None else int(start) + 1
-    return with_row_index(rows.drop(id_col) if id_col in rows.columns else rows, order_col, id_col, start=start)
+def top_id(existing: DataFrame, id_col: str) -> int:
+    """The largest stored id, 0 where there is none."""
+    return existing.agg(F.max(id_col)).first()[0] or 0
+
+
+def assign_ids(rows: DataFrame, existing: DataFrame | None, id_col: str, order_col: str = "row_id", top: int | None = None) -> DataFrame:
+    """New ids continuing after the largest stored id (or ``top``), in ``order_col`` order."""
+    top = top_id(existing, id_col) if top is None else top
+    return with_row_index(rows.drop(id_col) if id_col in rows.columns else rows, order_col, id_col, start=top + 1)
 
 
 def assign_missing_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id") -> DataFrame:
-    """Ids that rows bring are kept; the others continue after the largest known id."""
-    top = existing.select(id_col).unionByName(rows.select(id_col)).agg(F.max(id_col).alias(id_col))
+    """Ids that rows (a written table) bring are kept; the others continue after the largest
+    known id."""
+    top = top_id(existing.select(id_col).unionByName(rows.select(id_col)), id_col)
     given = rows.where(_present(id_col))
-    made = assign_ids(rows.where(~_present(id_col)), top, id_col, order_col)
+    made = assign_ids(rows.where(~_present(id_col)), None, id_col, order_col, top)
     return given.unionByName(made.select(*given.columns))
 
 
@@ -122,9 +197,11 @@ def insert_ignore(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, exac
     ``patient_id`` among the keys, ids that rows bring are kept."""
     fresh = anti_existing(batch, existing, keys, order_col)
     if exact:
-        fresh, _ = resolve_in_batch(fresh, keys, order_col)
-    assign = assign_missing_ids if "patient_id" in keys else assign_ids
-    return assign(fresh, existing, "patient_id", order_col)
+        fresh = cut_lineage(fresh)
+        fresh = fresh.join(rejected_in_batch(fresh, keys, order_col), order_col, "left_anti")
+    if "patient_id" not in keys:
+        return assign_ids(fresh, existing, "patient_id", order_col)
+    return assign_missing_ids(cut_lineage(fresh), existing, "patient_id", order_col)
 
 
 # --- registration rules (V-08, K-03, K-04) ------------------------------------------------
@@ -159,28 +236,30 @@ def register_patients(batch: DataFrame, existing: DataFrame, as_of=None,
     from carelake.functions.expr import as_of_lit
     dated = batch.withColumn("registration_date", as_of_lit(as_of)).withColumn(
         "reason", joined_reasons(patient_rule_checks(batch)))
-    clash = F.lit(False)
-    for k in keys:
-        dated = look_up(dated, existing, k, F.min(F.lit(1)), f"_stored_{k}", order_col)
-        clash = clash | F.col(f"_stored_{k}").isNotNull()
-    judged = cut_lineage(dated.withColumn("reason", F.coalesce("reason", F.when(clash, F.lit(S.MSG_DUPLICATE_VALUE))))
-                         .select(*batch.columns, *[c for c in ("registration_date",) if c not in batch.columns], "reason"))
-    free = judged.where("reason IS NULL")
-    late = rejected_in_batch(free, keys, order_col)
+    judged = cut_lineage(dated.select(*batch.columns, *[c for c in ("registration_date",) if c not in batch.columns], "reason"))
+    ok, clashing = first_wins(judged.where("reason IS NULL").drop("reason"), existing, keys, order_col)
     rejected = judged.where("reason IS NOT NULL").unionByName(
-        free.join(late, order_col, "left_semi").withColumn("reason", F.lit(S.MSG_DUPLICATE_VALUE)).select(*judged.columns))
-    ok = free.join(late, order_col, "left_anti").drop("reason")
+        clashing.withColumn("reason", F.lit(S.MSG_DUPLICATE_VALUE)).select(*judged.columns))
     return assign_ids(ok, existing, "patient_id", order_col), rejected
 
 
+def first_wins(rows: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of ``rows`` (a written table) against stored keys and each other."""
+    taken = cut_lineage(colliding(rows, existing, keys, order_col))
+    free = rows.join(taken, order_col, "left_anti")
+    gone = cut_lineage(taken.unionByName(rejected_in_batch(free, keys, order_col)))
+    return rows.join(gone, order_col, "left_anti"), rows.join(gone, order_col, "left_semi")
+
+
 def _to_second(ts):
     """Truncate a zone-free timestamp to whole seconds without passing through a time zone."""
     return F.timestamp_add("SECOND", F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts),
                            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def _audit_part(inserted: DataFrame, rank: int, entity_type: str, id_col: str, detail_cols, action: str,
-                changed_by: str, changed_at, order_col: str) -> DataFrame:
+def audit_details(inserted: DataFrame, entity_type: str, id_col: str, detail_cols, action: str = "create",
+                  changed_by: str = "system", changed_at=None) -> list:
+    """The columns of an audit row but for its id; details are the JSON of the chosen fields."""
     details = F.to_json(F.create_map(*[x for c in detail_cols for x in (F.lit(c), F.col(c).cast("string"))]))
     # wall-clock time without a zone: a naive datetime/text is taken as written
     if changed_at is None:
@@ -188,62 +267,76 @@ def _audit_part(inserted: DataFrame, rank: int, entity_type: str, id_col: str, d
     else:
         text = changed_at.isoformat(sep=" ") if hasattr(changed_at, "isoformat") else str(changed_at)
         ts = F.lit(text).cast("timestamp_ntz")
-    return inserted.select(
-        F.struct(F.lit(rank).alias("part"), F.col(order_col).cast("long").alias("at")).alias("_order"),
-        F.lit(entity_type).alias("entity_type"),
-        F.col(id_col).cast("long").alias("entity_id"),
-        F.lit(action).alias("action"),
-        F.lit(changed_by).alias("changed_by"),
-        _to_second(ts).alias("changed_at"),
-        details.alias("details"))
-
-
-def audit_rows_of(parts, existing_audit: DataFrame, action: str = "create", changed_by: str = "system",
-                  changed_at=None, order_col: str = "row_id") -> DataFrame:
-    """K-05: one audit row per inserted entity, for several kinds of entities under one
-    numbering; ``parts``: (inserted, entity type, id column, detail columns). Details are
-    the JSON of the chosen fields."""
-    rows = None
-    for rank, (inserted, entity_type, id_col, detail_cols) in enumerate(parts):
-        part = _audit_part(inserted, rank, entity_type, id_col, detail_cols, action, changed_by, changed_at, order_col)
-        rows = part if rows is None else rows.unionByName(part)
-    return assign_ids(rows, existing_audit, "audit_id", "_order").select(*S.AUDIT_COLUMNS)
+    return [F.lit(entity_type).alias("entity_type"), F.col(id_col).cast("long").alias("entity_id"),
+            F.lit(action).alias("action"), F.lit(changed_by).alias("changed_by"),
+            _to_second(ts).alias("changed_at"), details.alias("details")]
+
+
+def audit_of_dense(inserted: DataFrame, first_id: int, audit_id: int, entity_type: str, id_col: str, detail_cols, **options) -> DataFrame:
+    """K-05 for rows whose ids are dense from ``first_id``: audit ids run along from
+    ``audit_id``, without another sort."""
+    return inserted.select((F.col(id_col) - F.lit(first_id) + F.lit(audit_id)).cast("long").alias("audit_id"),
+                           *audit_details(inserted, entity_type, id_col, detail_cols, **options))
 
 
 def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str, id_col: str, detail_cols,
                action: str = "create", changed_by: str = "system", changed_at=None, order_col: str = "row_id") -> DataFrame:
-    """K-05 for one kind of entity."""
-    return audit_rows_of([(inserted, entity_type, id_col, detail_cols)], existing_audit, action, changed_by,
-                         changed_at, order_col)
+    """K-05: one audit row per inserted entity, numbered in ``order_col`` order."""
+    rows = inserted.select(F.col(order_col).alias("_order"),
+                           *audit_details(inserted, entity_type, id_col, detail_cols, action, changed_by, changed_at))
+    return assign_ids(rows, existing_audit, "audit_id", "_order").select(*S.AUDIT_COLUMNS)
 
 
 # --- visits: J-02..J-04, K-02, K-04 --------------------------------------------------
 
+def match_visits(visits: DataFrame, patients: DataFrame, order_col: str = "row_id") -> DataFrame:
+    """``visits`` with ``patient_id``, ``resolved_by`` and ``_stored``: a given id is looked for
+    as it is; a missing one is filled from the phone number, then from the e-mail, where the
+    smallest id of several patients is taken (O-04). All probes of a visit, in long form, meet
+    the stored keys of all kinds in one join; the visits themselves are joined once."""
+    probes = F.when(_present("patient_id"), F.array(F.struct(F.lit(0).alias("turn"), F.concat(F.lit("id:"), F.col("patient_id").cast("string")).alias("key")))) \
+        .otherwise(F.array(*[F.struct(F.lit(turn).alias("turn"), F.concat(F.lit(f"{kind}:"), F.col(c)).alias("key"))
+                             for turn, (kind, c) in enumerate((("phone", "phone_number"), ("email", "email")), 1)]))
+    visits = cut_lineage(visits)
+    sought = (visits.select(F.col(order_col).alias("_o"), F.explode(probes).alias("_p"))
+              .select("_o", F.col("_p.turn").alias("_turn"), F.col("_p.key").alias("_key")).where(_present("_key")))
+    kinds = {"patient_id": "id", "phone_number": "phone", "email": "email"}
+    stored = long_keys(patients, list(kinds), F.col("patient_id").alias("_pid"), prefix=kinds)
+    hits = look_up(sought, stored, "_key", F.min("_pid"), "_pid", "_o", frequent_keys(sought, "_key")).where(_present("_pid"))
+    best = hits.groupBy("_o").agg(F.min(F.struct("_turn", "_pid")).alias("_best"))
+    joined = visits.join(best, F.col(order_col) == F.col("_o"), "left")
+    given = _present("patient_id")
+    by = (F.when(given, "id").when(F.col("_best._turn") == 1, "phone").when(F.col("_best._turn") == 2, "email"))
+    return (joined.withColumns({"resolved_by": by, "patient_id": F.coalesce("patient_id", F.col("_best._pid")),
+                                "_stored": F.col("_best").isNotNull()}).drop("_o", "_best"))
+
+
 def resolve_visit_patients(visits: DataFrame, patients: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """Fill a missing patient id from the phone number, then from the e-mail; of several
-    stored patients under one key the smallest id is taken (O-04)."""
-    given = F.col("patient_id").isNull()
-    sought = (visits.withColumn("_phone", F.when(given, F.col("phone_number")))
-              .withColumn("_email", F.when(given, F.col("email"))))
-    stored = patients.select("patient_id", F.col("phone_number").alias("_phone"), F.col("email").alias("_email"))
-    found = look_up(sought, stored, "_phone", F.min("patient_id"), "_by_phone", order_col)
-    found = look_up(found, stored, "_email", F.min("patient_id"), "_by_email", order_col)
-    by = (F.when(F.col("patient_id").isNotNull(), "id").when(F.col("_by_phone").isNotNull(), "phone")
-          .when(F.col("_by_email").isNotNull(), "email"))
-    return (found.withColumn("resolved_by", by)
-            .withColumn("patient_id", F.coalesce("patient_id", "_by_phone", "_by_email"))
-            .drop("_phone", "_email", "_by_phone", "_by_email"))
+    """J-02, J-03: visits with their patient and how it was found."""
+    return match_visits(visits, patients, order_col).drop("_stored")
+
+
+def visit_reason(stored="_stored"):
+    """Why a visit cannot be stored, or null (J-04)."""
+    return (F.when(F.col("patient_id").isNull(), F.lit(S.MSG_UNRESOLVED_PATIENT))
+            .when(~F.col(stored), F.lit(S.MSG_UNKNOWN_PATIENT))
+            .when(F.col("doctor_name").isNull(), F.lit(S.MSG_MISSING_DOCTOR))
+            .otherwise(length_check("doctor_name")))
+
+
+def judge_visits(visits: DataFrame, patients: DataFrame, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """J-02..J-04 in one pass: (visits that can be stored, rejected visits with a reason)."""
+    judged = cut_lineage(match_visits(visits, patients, order_col).withColumn("reason", visit_reason()).drop("_stored"))
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
 def split_foreign_key(resolved: DataFrame, patients: DataFrame, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """J-04: (visits that can be stored, rejected visits with a reason): the patient must be
-    stored and the doctor given, within the length bound. One join and a flag."""
-    checked = look_up(resolved, patients.select("patient_id"), "patient_id", F.min(F.lit(1)), "_known", order_col)
-    reason = (F.when(F.col("patient_id").isNull(), F.lit(S.MSG_UNRESOLVED_PATIENT))
-              .when(F.col("_known").isNull(), F.lit(S.MSG_UNKNOWN_PATIENT))
-              .when(F.col("doctor_name").isNull(), F.lit(S.MSG_MISSING_DOCTOR))
-              .otherwise(length_check("doctor_name")))
-    judged = checked.withColumn("reason", reason).drop("_known")
+    """J-04 of visits whose patient is resolved already: the patient must be stored and the
+    doctor given, within the length bound. One join and a flag."""
+    resolved = cut_lineage(resolved)
+    checked = look_up(resolved, patients.select("patient_id"), "patient_id", F.min(F.lit(1)), "_known", order_col,
+                      frequent_keys(resolved, "patient_id"))
+    judged = cut_lineage(checked.withColumn("_known", _present("_known")).withColumn("reason", visit_reason("_known")).drop("_known"))
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
@@ -255,41 +348,57 @@ def append_visits(accepted: DataFrame, existing_visits: DataFrame, order_col: st
 
 # --- K-07 --------------------------------------------------------------------------------
 
-def import_summary(records_found: DataFrame, after_filter: DataFrame, after_dedup: DataFrame,
-                   inserted: DataFrame) -> DataFrame:
-    """Counts of each stage folded into one row (no cross join); duplicates are counted once."""
-    def one(df, name):
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n")
-    stages = (one(records_found, "found").unionByName(one(after_filter, "filtered"))
-              .unionByName(one(after_dedup, "deduped")).unionByName(one(inserted, "inserted")))
-    piv = stages.groupBy().pivot("k", ["found", "filtered", "deduped", "inserted"]).agg(F.first("n"))
-    return piv.select(
-        F.col("found").alias("records_found"),
-        F.col("deduped").alias("records_after_cleaning"),
-        ((F.col("filtered") - F.col("deduped")) + (F.col("deduped") - F.col("inserted"))).alias("duplicates_removed"),
-        (F.col("found") - F.col("filtered")).alias("invalid_rows_skipped"),
-        F.col("inserted").alias("records_inserted"))
-
-
-def visit_load_summary(raw_visits: DataFrame, cleaned: DataFrame, resolved: DataFrame,
-                       accepted: DataFrame) -> DataFrame:
+#: Where a row of an import leaves, in order; rows that leave nowhere are inserted.
+IMPORT_STAGES = ("invalid", "duplicate_phone", "duplicate_email", "stored")
+
+
+def import_stages(raw: DataFrame, existing: DataFrame, as_of=None, order_col: str = "row_id") -> DataFrame:
+    """K-07: every row of ``raw``, cleaned, with ``left_at``: the stage of ``IMPORT_STAGES`` at
+    which it leaves the import, or null. One pass: the input is cleaned and written once, the
+    stages are look-ups over its narrow keys, and one join puts them together."""
+    cleaned = cut_lineage(C.clean_with_verdict(raw, as_of))
+    keys = cleaned.where("_importable").select(order_col, *PATIENT_KEYS)
+    todo = keys
+    for stage, key in (("duplicate_phone", "phone_number"), ("duplicate_email", "email")):
+        candidates = todo if "left_at" not in todo.columns else todo.where("left_at IS NULL").drop("left_at")
+        first = look_up(candidates, candidates, key, F.min(order_col), "_first", order_col, frequent_keys(candidates, key))
+        left = F.when(F.col("_first") < F.col(order_col), F.lit(stage))
+        now = cut_lineage(first.withColumn("left_at", left).drop("_first"))
+        todo = now if "left_at" not in todo.columns else now.unionByName(todo.where("left_at IS NOT NULL"))
+    open_ = todo.where("left_at IS NULL").drop("left_at")
+    taken = colliding(open_, existing, PATIENT_KEYS, order_col).withColumn("left_at", F.lit("stored"))
+    gone = (todo.where("left_at IS NOT NULL").select(order_col, "left_at").unionByName(taken)
+            .withColumnRenamed(order_col, "_gone").withColumnRenamed("left_at", "_left"))
+    joined = cleaned.join(gone, F.col(order_col) == F.col("_gone"), "left")
+    return cut_lineage(joined.withColumn("left_at", F.when(~F.col("_importable"), F.lit("invalid")).otherwise(F.col("_left")))
+                       .drop("_importable", "_gone", "_left"))
+
+
+def import_summary(stages: DataFrame) -> DataFrame:
+    """K-07: the accounting of ``import_stages`` in one row, by one aggregate; a duplicate is
+    counted once, where it leaves."""
+    at = lambda *names: F.count_if(F.coalesce(F.col("left_at").isin(*names), F.lit(False)))
+    return stages.agg(
+        F.count(F.lit(1)).alias("records_found"),
+        (F.count(F.lit(1)) - at(*IMPORT_STAGES[:3])).alias("records_after_cleaning"),
+        at(*IMPORT_STAGES[1:]).alias("duplicates_removed"),
+        at("invalid").alias("invalid_rows_skipped"),
+        F.count_if(F.col("left_at").isNull()).alias("records_inserted"))
+
+
+def visit_load_summary(raw_visits: DataFrame, patients: DataFrame, order_col: str = "row_id") -> DataFrame:
     """C-15 / J-02..J-04 accounting in one row: rows found, dropped for a missing or
-    unparseable visit date, resolved by id / phone / e-mail, rejected, loaded."""
-    def one(df, name):
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n")
-    by = (resolved.groupBy(F.coalesce("resolved_by", F.lit("none")).alias("k"))
-          .agg(F.count(F.lit(1)).alias("n")))
-    stages = (one(raw_visits, "found").unionByName(one(cleaned, "dated"))
-              .unionByName(by).unionByName(one(accepted, "loaded")))
-    keys = ["found", "dated", "id", "phone", "email", "none", "loaded"]
-    piv = stages.groupBy().pivot("k", keys).agg(F.first("n")).na.fill(0, keys)
-    return piv.select(
-        F.col("found").alias("records_found"),
-        (F.col("found") - F.col("dated")).alias("dropped_no_date"),
-        F.col("id").alias("resolved_by_id"), F.col("phone").alias("resolved_by_phone"),
-        F.col("email").alias("resolved_by_email"),
-        (F.col("dated") - F.col("loaded")).alias("rejected"),
-        F.col("loaded").alias("records_loaded"))
+    unparseable visit date, resolved by id / phone / e-mail, rejected, loaded. Both inputs are
+    read once; one aggregate counts the flags."""
+    dated = F.col("visit_date").isNotNull()
+    matched = match_visits(C.clean_visits(raw_visits, keep_undated=True), patients, order_col)
+    flags = matched.select(dated.alias("dated"), "resolved_by", visit_reason().isNull().alias("ok"))
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    by = lambda how: count(F.col("dated") & (F.col("resolved_by") == how))
+    return flags.agg(
+        F.count(F.lit(1)).alias("records_found"), count(~F.col("dated")).alias("dropped_no_date"),
+        by("id").alias("resolved_by_id"), by("phone").alias("resolved_by_phone"), by("email").alias("resolved_by_email"),
+        count(F.col("dated") & ~F.col("ok")).alias("rejected"), count(F.col("dated") & F.col("ok")).alias("records_loaded"))
 
 
 def post_load_counts(patients: DataFrame, visits: DataFrame) -> DataFrame:

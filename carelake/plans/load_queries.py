@@ -113,11 +113,7 @@ SELECT CAST((SELECT count(*) FROM patients_raw) AS BIGINT) AS records_found,
        CAST((SELECT count(*) FROM patients_raw) - (SELECT count(*) FROM upf) AS BIGINT) AS invalid_rows_skipped,
        CAST((SELECT count(*) FROM insid) AS BIGINT) AS records_inserted""", _INSERT_CTE), "K-07,D-04")
 def import_summary(spark, sf):
-    raw = fixture(spark, sf, "patients_raw")
-    filtered = C.clean_patients_upload(raw, AS_OF)
-    deduped = D.dedup_chain(filtered)
-    inserted = L.anti_existing(deduped, fixture(spark, sf, "patients"))
-    return L.import_summary(raw, filtered, deduped, inserted)
+    return L.import_summary(L.import_stages(fixture(spark, sf, "patients_raw"), fixture(spark, sf, "patients"), AS_OF))
 
 
 # --- CLI load: patients bring their ids, visits refer to them ------------------------------
@@ -205,7 +201,7 @@ SELECT row_id, patient_id, CASE WHEN patient_id IS NULL THEN 'Patient could not
                                 ELSE 'Missing doctor name' END AS reason
 FROM rv WHERE patient_id IS NULL OR patient_id NOT IN (SELECT patient_id FROM patients) OR doctor_name IS NULL""", _VISIT_CTE), "J-04,T10")
 def orphan_visits(spark, sf):
-    _, bad = L.split_foreign_key(_resolved(spark, sf), fixture(spark, sf, "patients"))
+    _, bad = L.judge_visits(_clean_visits(spark, sf), fixture(spark, sf, "patients"))
     return bad.select("row_id", "patient_id", "reason")
 
 
@@ -214,7 +210,7 @@ SELECT row_id, (SELECT max(visit_id) FROM visits) + row_number() OVER (ORDER BY
        patient_id, doctor_name, symptoms, medications, follow_up_date, visit_date
 FROM rv WHERE patient_id IN (SELECT patient_id FROM patients) AND doctor_name IS NOT NULL""", _VISIT_CTE), "K-02,K-04,J-04")
 def load_visits(spark, sf):
-    ok, _ = L.split_foreign_key(_resolved(spark, sf), fixture(spark, sf, "patients"))
+    ok, _ = L.judge_visits(_clean_visits(spark, sf), fixture(spark, sf, "patients"))
     return L.append_visits(ok, fixture(spark, sf, "visits"))
 
 
@@ -228,11 +224,7 @@ SELECT CAST((SELECT count(*) FROM visits_raw) AS BIGINT) AS records_found,
        CAST((SELECT count(*) FROM rv WHERE patient_id IN (SELECT patient_id FROM patients) AND doctor_name IS NOT NULL) AS BIGINT) AS records_loaded""",
     _VISIT_CTE), "C-15,J-02..J-04,K-02")
 def visit_load_summary(spark, sf):
-    raw = fixture(spark, sf, "visits_raw")
-    cleaned = C.clean_visits(raw)
-    resolved = L.resolve_visit_patients(cleaned, fixture(spark, sf, "patients"))
-    ok, _ = L.split_foreign_key(resolved, fixture(spark, sf, "patients"))
-    return L.visit_load_summary(raw, cleaned, resolved, ok)
+    return L.visit_load_summary(fixture(spark, sf, "visits_raw"), fixture(spark, sf, "patients"))
 
 
 @register("post_load_counts", sql(("patients", "visits"), """
@@ -256,6 +248,6 @@ def load_visits_cli(spark, sf):
     stored, loaded = _loaded_cli(spark, sf)
     known = ["patient_id", "phone_number", "email"]
     patients = cut_lineage(stored.select(*known).unionByName(loaded.select(*known)))
-    ok, _ = L.split_foreign_key(L.resolve_visit_patients(_clean_visits(spark, sf), patients), patients)
+    ok, _ = L.judge_visits(_clean_visits(spark, sf), patients)
     none = spark.createDataFrame([], S.VISIT_SCHEMA)
     return L.append_visits(ok, none).select("row_id", "visit_id", "patient_id", "doctor_name", "visit_date")

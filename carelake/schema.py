@@ -101,12 +101,12 @@ ALLOWED_GENDER_VALUES = ["male", "female", "other", "m", "f", "o"]
 
 # Day-first date layouts accepted per value, as (layout, shape, rewrite to y-M-d).
 # Separators inside one value must agree; an optional time part must be valid.
-_TIME = r"([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?Z?)?"
+TIME_PART = r"([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?Z?)?"
 DATE_LAYOUTS = [
     ("d-M-yyyy, d/M/yyyy, d.M.yyyy [HH:mm:ss]",
-     r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME + "$", "$4-$3-$1"),
+     r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + TIME_PART + "$", "$4-$3-$1"),
     ("yyyy-M-d, yyyy/M/d, yyyy.M.d [HH:mm:ss]",
-     r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + "$", "$1-$3-$4"),
+     r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + TIME_PART + "$", "$1-$3-$4"),
     ("yyyyMMdd", r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     ("d/M/yy, d-M-yy, d.M.yy from 1970 to 1999", r"^(\d{1,2})([-/.])(\d{1,2})\2([7-9]\d)$", "19$4-$3-$1"),
     ("d/M/yy, d-M-yy, d.M.yy from 2000 to 2069", r"^(\d{1,2})([-/.])(\d{1,2})\2([0-6]\d)$", "20$4-$3-$1"),
@@ -115,7 +115,7 @@ DATE_LAYOUTS = [
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December"]
 MONTH_NAME_SHAPE = (r"(?i)^(\d{1,2})[- /](" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
-                    + r")\.?,?[- /](\d{4})" + _TIME + "$")
+                    + r")\.?,?[- /](\d{4})" + TIME_PART + "$")
 DATE_FORMATS = [name for name, _, _ in DATE_LAYOUTS]
 
 # Triage rule.

@@ -1,18 +1,18 @@
 """Dense row positions without a global single-partition window.
 
-1. range-partition and sort on the order column (Spark samples the key, so a
-   large input is spread over many tasks);
-2. tag rows with ``monotonically_increasing_id`` = (partition, position);
-3. count rows per partition — one number per partition reaches the driver;
-4. position = rows in earlier partitions + position inside the partition.
-
-The tagged frame is checkpointed into the shared checkpoint folder so that the
-ids used for counting and for the output are the same even if tasks re-run.
+1. range-partition and sort on the order column (Spark samples the key, so a large input is
+   spread over many tasks) and write the rows with their partition and place in it;
+2. count the written rows by partition and add the counts up: one row per partition;
+3. position = rows in earlier partitions + place, by a broadcast join of those rows.
+
+The sorted rows lie in the shared checkpoint folder, so the places used for counting and for
+the output are the same even if tasks re-run. The input is read twice (the sample takes the
+key only), so give a written table where it is costly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.session import cut_lineage
@@ -22,17 +22,16 @@ _LOW_BITS = (1 << 33) - 1
 
 def with_row_index(df: DataFrame, order_col: str = "row_id", name: str = "row_index",
                    start: int = 0) -> DataFrame:
-    tagged = cut_lineage(
-        df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-          .withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright("_mid", 33)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    offsets, running = {}, start
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        offsets[row["_part"]] = running
-        running += row["_n"]
-    if not offsets:
-        return tagged.drop("_mid").withColumn(name, F.lit(None).cast("long"))
-    offset_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-    return (tagged.withColumn(name, (offset_map[part] + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))).cast("long"))
-            .drop("_mid"))
+    """``df`` with ``name``: the place of each row in ``order_col`` order, from ``start``."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    placed = cut_lineage(
+        df.repartitionByRange(parts, order_col).sortWithinPartitions(order_col)
+          .withColumns({"_part": F.shiftright(place, 33).cast("int"), "_place": place.bitwiseAND(F.lit(_LOW_BITS))}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    position = (F.col("_offset") + F.col("_place") + F.lit(start)).cast("long")
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *[F.col(c) for c in df.columns if c != name], position.alias(name))
