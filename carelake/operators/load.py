@@ -33,18 +33,26 @@ CLI_KEYS = ("patient_id", "phone_number", "email")
 WALK_ROWS = 200_000
 #: A key is frequent when it holds at least this share of the rows; at most 1 / share keys do.
 FREQUENT = 1 / 200
+#: Fewer rows than this are no burden to one task, whatever their keys.
+SKEW_ROWS = 10_000
 
 
 def _present(c):
     return F.col(c).isNotNull()
 
 
+def frequent_by_kind(rows: DataFrame, keys) -> dict[str, list]:
+    """Of every key column, the values that hold at least ``FREQUENT`` of the rows, from
+    sketches of bounded size (they overlook none). At most a few hundred values a column
+    reach the driver."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[
+        F.expr(f"approx_top_k({k}, 400, 8192) FILTER (WHERE {k} IS NOT NULL)").alias(f"top_{k}") for k in keys]).first()
+    least = max(2, FREQUENT * found["n"])
+    return {k: [t["item"] for t in found[f"top_{k}"] or [] if t["count"] >= least] if found["n"] >= SKEW_ROWS else [] for k in keys}
+
+
 def frequent_keys(rows: DataFrame, key: str) -> list:
-    """The keys that hold at least ``FREQUENT`` of the rows, from a sketch of bounded size
-    (it overlooks none). At most a few hundred values reach the driver."""
-    found = rows.agg(F.count(F.lit(1)).alias("n"),
-                     F.expr(f"approx_top_k({key}, 400, 8192) FILTER (WHERE {key} IS NOT NULL)").alias("top")).first()
-    return [] if not found["n"] else [t["item"] for t in found["top"] or [] if t["count"] > 1 and t["count"] >= FREQUENT * found["n"]]
+    return frequent_by_kind(rows, [key])[key]
 
 
 def _join_key(df: DataFrame, key: str, salt: str, apart=None):
@@ -82,10 +90,10 @@ def long_keys(rows: DataFrame, keys, *kept, prefix=None) -> DataFrame:
     return rows.select(*kept, F.explode(F.array_compact(F.array(*parts))).alias("_key"))
 
 
-def colliding(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
-    """``order_col`` of the rows of ``batch`` (a written table) with a key that is stored."""
+def colliding(batch: DataFrame, stored: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> DataFrame:
+    """``order_col`` of the rows of ``batch`` (a written table) with a key that is ``stored``
+    (in long form)."""
     sought = long_keys(batch, keys, F.col(order_col).alias("_o"))
-    stored = long_keys(existing, keys)
     hits = look_up(sought, stored, "_key", F.min(F.lit(1)), "_hit", "_o", frequent_keys(sought, "_key"))
     return hits.where("_hit IS NOT NULL").select(F.col("_o").alias(order_col)).distinct()
 
@@ -94,23 +102,36 @@ def anti_existing(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, orde
     """Rows of ``batch`` whose non-null keys collide with no stored row (J-06). Both sides are
     read once."""
     batch = cut_lineage(batch)
-    return batch.join(colliding(batch, existing, keys, order_col), order_col, "left_anti")
-
-
-def _walk(n_keys: int):
-    """One task's sequential INSERT IGNORE over the clashing rows: the refused ones."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
-        taken, refused = [set() for _ in range(n_keys)], []
-        for order, *keys in rows:
-            if any(k in seen for k, seen in zip(keys, taken, strict=True)):
-                refused.append(order)
-                continue
-            for k, seen in zip(keys, taken, strict=True):
-                if k is not None:
-                    seen.add(k)
-        yield pa.RecordBatch.from_pydict({"_o": pa.array(refused, pa.int64())})
-    return run
+    return batch.join(colliding(batch, long_keys(existing, keys), keys, order_col), order_col, "left_anti")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's sequential INSERT IGNORE over (order, key) rows: the refused orders. Keys
+    without an order are taken from the start."""
+    keys_of: dict[int, list] = {}
+    taken = set()
+    for b in batches:
+        for order, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if order is None:
+                taken.add(key)
+            else:
+                keys_of.setdefault(order, []).append(key)
+    refused = []
+    for order in sorted(keys_of):
+        if taken.isdisjoint(keys_of[order]):
+            taken.update(keys_of[order])
+        else:
+            refused.append(order)
+    yield pa.RecordBatch.from_pydict({"_o": pa.array(refused, pa.int64())})
+
+
+def _walked(rows: DataFrame, keys, order_col: str, stored: DataFrame | None = None) -> DataFrame:
+    """The refused of few rows (and few stored keys), decided by one task."""
+    long = long_keys(rows, keys, F.col(order_col).cast("long").alias("_o"))
+    if stored is not None:
+        long = long.unionByName(stored.select(F.lit(None).cast("long").alias("_o"), "_key"))
+    walk = lambda batches: _walk(batches)  # noqa: E731  (travels by value)
+    return cut_lineage(long.coalesce(1).mapInArrow(walk, "_o long"))
 
 
 def _clashing(rows: DataFrame, keys, frequent: dict) -> DataFrame:
@@ -142,11 +163,13 @@ def rejected_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row
 
     A row is accepted iff no earlier accepted row shares one of its keys (nulls never clash).
     Every round settles at least the earliest undecided row of every chain; the last
-    ``walk_rows`` undecided rows are settled by one task."""
+    ``walk_rows`` undecided rows (or all, where there are no more) are settled by one task."""
     walk_rows = WALK_ROWS if walk_rows is None else walk_rows
     order = F.coalesce(F.col(order_col), F.raise_error(F.lit(f"{order_col} must not be null")).cast("long"))
     rows = cut_lineage(batch.select(order.cast("long").alias("_o"), *keys))
-    frequent = {k: frequent_keys(rows, k) for k in keys}
+    if rows.count() <= walk_rows:
+        return _walked(rows, keys, "_o").withColumnRenamed("_o", order_col)
+    frequent = frequent_by_kind(rows, keys)
     todo = cut_lineage(_clashing(rows, keys, frequent))
     refused, left = [], todo.count()
     while left > walk_rows:
@@ -154,7 +177,7 @@ def rejected_in_batch(batch: DataFrame, keys=PATIENT_KEYS, order_col: str = "row
         refused.append(out)
         left = todo.count()
     if left:
-        refused.append(cut_lineage(todo.coalesce(1).mapInArrow(_walk(len(keys)), "_o long")))
+        refused.append(_walked(todo, keys, "_o"))
     found = refused[0] if refused else todo.select("_o").limit(0)
     for more in refused[1:]:
         found = found.unionByName(more)
@@ -173,18 +196,20 @@ def top_id(existing: DataFrame, id_col: str) -> int:
     return existing.agg(F.max(id_col)).first()[0] or 0
 
 
-def assign_ids(rows: DataFrame, existing: DataFrame | None, id_col: str, order_col: str = "row_id", top: int | None = None) -> DataFrame:
-    """New ids continuing after the largest stored id (or ``top``), in ``order_col`` order."""
+def assign_ids(rows: DataFrame, existing: DataFrame | None, id_col: str, order_col: str = "row_id",
+               top: int | None = None, n: int | None = None) -> DataFrame:
+    """New ids continuing after the largest stored id (or ``top``), in ``order_col`` order.
+    ``n``: the number of rows, at most, where it is known."""
     top = top_id(existing, id_col) if top is None else top
-    return with_row_index(rows.drop(id_col) if id_col in rows.columns else rows, order_col, id_col, start=top + 1)
+    return with_row_index(rows.drop(id_col) if id_col in rows.columns else rows, order_col, id_col, top + 1, n)
 
 
-def assign_missing_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id") -> DataFrame:
+def assign_missing_ids(rows: DataFrame, existing: DataFrame, id_col: str, order_col: str = "row_id", n: int | None = None) -> DataFrame:
     """Ids that rows (a written table) bring are kept; the others continue after the largest
     known id."""
     top = top_id(existing.select(id_col).unionByName(rows.select(id_col)), id_col)
     given = rows.where(_present(id_col))
-    made = assign_ids(rows.where(~_present(id_col)), None, id_col, order_col, top)
+    made = assign_ids(rows.where(~_present(id_col)), None, id_col, order_col, top, n)
     return given.unionByName(made.select(*given.columns))
 
 
@@ -195,13 +220,13 @@ def insert_ignore(batch: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, exac
     ``exact=False`` assumes the batch is already unique on every key (the cleaning
     pipelines guarantee this); ``exact=True`` resolves in-batch clashes row by row. With
     ``patient_id`` among the keys, ids that rows bring are kept."""
-    fresh = anti_existing(batch, existing, keys, order_col)
+    fresh = cut_lineage(anti_existing(batch, existing, keys, order_col))
+    n = fresh.count()
     if exact:
-        fresh = cut_lineage(fresh)
         fresh = fresh.join(rejected_in_batch(fresh, keys, order_col), order_col, "left_anti")
     if "patient_id" not in keys:
-        return assign_ids(fresh, existing, "patient_id", order_col)
-    return assign_missing_ids(cut_lineage(fresh), existing, "patient_id", order_col)
+        return assign_ids(fresh, existing, "patient_id", order_col, n=n)
+    return assign_missing_ids(cut_lineage(fresh), existing, "patient_id", order_col, n)
 
 
 # --- registration rules (V-08, K-03, K-04) ------------------------------------------------
@@ -237,17 +262,24 @@ def register_patients(batch: DataFrame, existing: DataFrame, as_of=None,
     dated = batch.withColumn("registration_date", as_of_lit(as_of)).withColumn(
         "reason", joined_reasons(patient_rule_checks(batch)))
     judged = cut_lineage(dated.select(*batch.columns, *[c for c in ("registration_date",) if c not in batch.columns], "reason"))
-    ok, clashing = first_wins(judged.where("reason IS NULL").drop("reason"), existing, keys, order_col)
+    n = judged.count()
+    ok, clashing = first_wins(judged.where("reason IS NULL").drop("reason"), long_keys(existing, keys), keys, order_col)
     rejected = judged.where("reason IS NOT NULL").unionByName(
         clashing.withColumn("reason", F.lit(S.MSG_DUPLICATE_VALUE)).select(*judged.columns))
-    return assign_ids(ok, existing, "patient_id", order_col), rejected
+    return assign_ids(ok, existing, "patient_id", order_col, n=n), rejected
 
 
-def first_wins(rows: DataFrame, existing: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused) of ``rows`` (a written table) against stored keys and each other."""
-    taken = cut_lineage(colliding(rows, existing, keys, order_col))
-    free = rows.join(taken, order_col, "left_anti")
-    gone = cut_lineage(taken.unionByName(rejected_in_batch(free, keys, order_col)))
+def first_wins(rows: DataFrame, stored: DataFrame, keys=PATIENT_KEYS, order_col: str = "row_id",
+               n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of ``rows`` (a written table) against stored keys (in long form)
+    and each other. ``n``: how many rows and stored keys there are, where that is known; few
+    are decided by one task."""
+    if n is not None and n <= WALK_ROWS:
+        gone = _walked(rows, keys, order_col, stored).withColumnRenamed("_o", order_col)
+    else:
+        taken = cut_lineage(colliding(rows, stored, keys, order_col))
+        free = rows.join(taken, order_col, "left_anti")
+        gone = cut_lineage(taken.unionByName(rejected_in_batch(free, keys, order_col)))
     return rows.join(gone, order_col, "left_anti"), rows.join(gone, order_col, "left_semi")
 
 
@@ -284,7 +316,7 @@ def audit_rows(inserted: DataFrame, existing_audit: DataFrame, entity_type: str,
     """K-05: one audit row per inserted entity, numbered in ``order_col`` order."""
     rows = inserted.select(F.col(order_col).alias("_order"),
                            *audit_details(inserted, entity_type, id_col, detail_cols, action, changed_by, changed_at))
-    return assign_ids(rows, existing_audit, "audit_id", "_order").select(*S.AUDIT_COLUMNS)
+    return assign_ids(rows, existing_audit, "audit_id", "_order", n=inserted.count()).select(*S.AUDIT_COLUMNS)
 
 
 # --- visits: J-02..J-04, K-02, K-04 --------------------------------------------------
@@ -334,15 +366,15 @@ def split_foreign_key(resolved: DataFrame, patients: DataFrame, order_col: str =
     """J-04 of visits whose patient is resolved already: the patient must be stored and the
     doctor given, within the length bound. One join and a flag."""
     resolved = cut_lineage(resolved)
-    checked = look_up(resolved, patients.select("patient_id"), "patient_id", F.min(F.lit(1)), "_known", order_col,
-                      frequent_keys(resolved, "patient_id"))
+    frequent = frequent_keys(resolved, "patient_id") if resolved.count() >= SKEW_ROWS else []
+    checked = look_up(resolved, patients.select("patient_id"), "patient_id", F.min(F.lit(1)), "_known", order_col, frequent)
     judged = cut_lineage(checked.withColumn("_known", _present("_known")).withColumn("reason", visit_reason("_known")).drop("_known"))
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
 def append_visits(accepted: DataFrame, existing_visits: DataFrame, order_col: str = "row_id") -> DataFrame:
     """K-02 / K-04: accepted visits with new visit ids, in stored column order (+ order column)."""
-    with_ids = assign_ids(accepted, existing_visits, "visit_id", order_col)
+    with_ids = assign_ids(accepted, existing_visits, "visit_id", order_col, n=accepted.count())
     return with_ids.select(order_col, *S.VISIT_COLUMNS)
 
 
@@ -352,26 +384,25 @@ def append_visits(accepted: DataFrame, existing_visits: DataFrame, order_col: st
 IMPORT_STAGES = ("invalid", "duplicate_phone", "duplicate_email", "stored")
 
 
-def import_stages(raw: DataFrame, existing: DataFrame, as_of=None, order_col: str = "row_id") -> DataFrame:
+def import_stages(raw: DataFrame, stored: DataFrame, as_of=None, order_col: str = "row_id") -> DataFrame:
     """K-07: every row of ``raw``, cleaned, with ``left_at``: the stage of ``IMPORT_STAGES`` at
-    which it leaves the import, or null. One pass: the input is cleaned and written once, the
-    stages are look-ups over its narrow keys, and one join puts them together."""
+    which it leaves the import, or null. ``stored`` holds the stored keys in long form.
+
+    The input is read once. The stages are decided over its narrow keys: two look-ups of the
+    first row of a key, and one of the stored keys; one join puts them together."""
     cleaned = cut_lineage(C.clean_with_verdict(raw, as_of))
-    keys = cleaned.where("_importable").select(order_col, *PATIENT_KEYS)
-    todo = keys
+    open_ = cleaned.where("_importable").select(F.col(order_col).alias("_o"), *PATIENT_KEYS)
+    gone = []
     for stage, key in (("duplicate_phone", "phone_number"), ("duplicate_email", "email")):
-        candidates = todo if "left_at" not in todo.columns else todo.where("left_at IS NULL").drop("left_at")
-        first = look_up(candidates, candidates, key, F.min(order_col), "_first", order_col, frequent_keys(candidates, key))
-        left = F.when(F.col("_first") < F.col(order_col), F.lit(stage))
-        now = cut_lineage(first.withColumn("left_at", left).drop("_first"))
-        todo = now if "left_at" not in todo.columns else now.unionByName(todo.where("left_at IS NOT NULL"))
-    open_ = todo.where("left_at IS NULL").drop("left_at")
-    taken = colliding(open_, existing, PATIENT_KEYS, order_col).withColumn("left_at", F.lit("stored"))
-    gone = (todo.where("left_at IS NOT NULL").select(order_col, "left_at").unionByName(taken)
-            .withColumnRenamed(order_col, "_gone").withColumnRenamed("left_at", "_left"))
-    joined = cleaned.join(gone, F.col(order_col) == F.col("_gone"), "left")
+        first = look_up(open_, open_, key, F.min("_o"), "_first", "_o", frequent_keys(open_, key))
+        judged = cut_lineage(first.withColumn("_dup", F.coalesce(F.col("_first") < F.col("_o"), F.lit(False))).drop("_first"))
+        gone.append(judged.where("_dup").select("_o", F.lit(stage).alias("_left")))
+        open_ = judged.where("NOT _dup").drop("_dup")
+    gone.append(colliding(open_, stored, PATIENT_KEYS, "_o").withColumn("_left", F.lit("stored")))
+    left = gone[0].unionByName(gone[1]).unionByName(gone[2])
+    joined = cleaned.join(left, F.col(order_col) == F.col("_o"), "left")
     return cut_lineage(joined.withColumn("left_at", F.when(~F.col("_importable"), F.lit("invalid")).otherwise(F.col("_left")))
-                       .drop("_importable", "_gone", "_left"))
+                       .drop("_importable", "_o", "_left"))
 
 
 def import_summary(stages: DataFrame) -> DataFrame:

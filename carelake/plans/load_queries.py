@@ -113,7 +113,8 @@ SELECT CAST((SELECT count(*) FROM patients_raw) AS BIGINT) AS records_found,
        CAST((SELECT count(*) FROM patients_raw) - (SELECT count(*) FROM upf) AS BIGINT) AS invalid_rows_skipped,
        CAST((SELECT count(*) FROM insid) AS BIGINT) AS records_inserted""", _INSERT_CTE), "K-07,D-04")
 def import_summary(spark, sf):
-    return L.import_summary(L.import_stages(fixture(spark, sf, "patients_raw"), fixture(spark, sf, "patients"), AS_OF))
+    return L.import_summary(L.import_stages(
+        fixture(spark, sf, "patients_raw"), L.long_keys(fixture(spark, sf, "patients"), L.PATIENT_KEYS), AS_OF))
 
 
 # --- CLI load: patients bring their ids, visits refer to them ------------------------------

@@ -228,3 +228,110 @@ def rejected_stream(spark, sf):
     """Rows refused per upload batch, with reasons (the even rows arrive twice)."""
     rows = read_store(spark, _once(_upload, spark, sf, False), "rejected_rows", REJECTED_SCHEMA)
     return rows.select("first_name", "last_name", "phone_number", "email", "errors")
+
+
+# --- what the uploads and the replay keep beside their tables --------------------------------
+
+#: All rows that arrive, in the three deliveries: the even ones twice.
+_ARRIVED_CTE = """
+arrived AS (SELECT 0 AS batch_id, * FROM patients_raw WHERE row_id % 2 = 0 UNION ALL SELECT 1, * FROM patients_raw WHERE row_id % 2 = 1
+            UNION ALL SELECT 2, * FROM patients_raw WHERE row_id % 2 = 0),
+sheet AS (SELECT first_name, last_name, gender, date_of_birth, phone_number, email, address, blood_group, registration_date,
+                 'said "no",' || chr(10) || 'then left' AS remark FROM arrived)
+"""
+_SHEET = ["first_name", "last_name", "gender", "date_of_birth", "phone_number", "email", "address", "blood_group", "registration_date", "remark"]
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) - count(nullif({c}, '')) AS BIGINT) AS missing_count, "
+    f"CAST(count(DISTINCT nullif({c}, '')) AS BIGINT) AS distinct_count FROM sheet" for c in _SHEET)
+
+
+@register("upload_profile", sql(("patients_raw",), _PROFILE_SQL, _ARRIVED_CTE), "R-02,P-02,P-03")
+def upload_profile(spark, sf):
+    """Missing and distinct values of all uploads, from parts kept by batch (retried ones too)."""
+    return I.P.merged_profile(read_store(spark, _once(_upload, spark, sf, True), "upload_profile", I.PROFILE_SCHEMA))
+
+
+@register("upload_issues", sql(("patients_raw",), f"""
+SELECT CAST(count(*) AS BIGINT) AS row_count, CAST({len(_SHEET)} AS BIGINT) AS column_count,
+       CAST(count(phone_number) - count(DISTINCT phone_number) AS BIGINT) AS duplicate_phone_raw,
+       CAST(count({Q.digits('phone_number')}) - count(DISTINCT {Q.digits('phone_number')}) AS BIGINT) AS duplicate_phone_digits,
+       CAST(count(nullif(lower({Q.strip('email')}), '')) - count(DISTINCT nullif(lower({Q.strip('email')}), '')) AS BIGINT) AS duplicate_email,
+       CAST(count_if({Q.null_token('date_of_birth')} IS NULL) AS BIGINT) AS dob_missing,
+       CAST(count_if({Q.null_token('date_of_birth')} IS NOT NULL AND {Q.parse_date('date_of_birth')} IS NULL) AS BIGINT) AS dob_unparseable,
+       CAST(count_if(gender IS NOT NULL AND lower({Q.strip('gender')}) NOT IN ({", ".join(f"'{g}'" for g in S.ALLOWED_GENDER_VALUES)})) AS BIGINT)
+         AS inconsistent_gender,
+       'remark' AS unknown_columns
+FROM sheet""", _ARRIVED_CTE), "R-02,P-01,P-04..P-07,H-04")
+def upload_issues(spark, sf):
+    """Issue counts of all uploads; the files have a column that no alias names."""
+    return I.P.merged_issues(read_store(spark, _once(_upload, spark, sf, True), "upload_profile", I.PROFILE_SCHEMA))
+
+
+_UPLOADED_CTE = _UPLOAD_STREAM_SQL.split(f"SELECT patient_id, {_COLS} FROM b0")[0]
+
+
+@register("upload_summary", _UPLOADED_CTE + """
+SELECT CAST(b AS BIGINT) AS batch_id, CAST(found AS BIGINT) AS records_found, CAST(uniq AS BIGINT) AS records_after_cleaning,
+       CAST(ok - ins AS BIGINT) AS duplicates_removed, CAST(found - ok AS BIGINT) AS invalid_rows_skipped,
+       CAST(ins AS BIGINT) AS records_inserted
+FROM (SELECT 0 AS b, (SELECT count(*) FROM patients_raw WHERE row_id % 2 = 0) AS found, (SELECT count(*) FROM ev) AS ok,
+             (SELECT count(*) FROM e2) AS uniq, (SELECT count(*) FROM b0) AS ins
+      UNION ALL SELECT 1, (SELECT count(*) FROM patients_raw WHERE row_id % 2 = 1), (SELECT count(*) FROM od),
+             (SELECT count(*) FROM o2), (SELECT count(*) FROM b1)
+      UNION ALL SELECT 2, (SELECT count(*) FROM patients_raw WHERE row_id % 2 = 0), (SELECT count(*) FROM ev),
+             (SELECT count(*) FROM e2), 0)""", "R-02,K-07,D-04")
+def upload_summary(spark, sf):
+    """The accounting row of every upload batch, with batches that were applied again."""
+    return read_store(spark, _once(_upload, spark, sf, True), "import_summary", I.SUMMARY_SCHEMA)
+
+
+@register("upload_audit", _UPLOADED_CTE + f"""
+SELECT patient_id AS audit_id, 'patient' AS entity_type, patient_id AS entity_id, 'create' AS action, 'system' AS changed_by,
+       TIMESTAMP '{CHANGED_AT}' AS changed_at,
+       CAST(json_object('first_name', first_name, 'last_name', last_name, 'phone_number', phone_number) AS VARCHAR) AS details
+FROM (SELECT patient_id, first_name, last_name, phone_number FROM b0 UNION ALL SELECT patient_id, first_name, last_name, phone_number FROM b1)""",
+          "R-02,K-05")
+def upload_audit(spark, sf):
+    return read_store(spark, _once(_upload, spark, sf, True), "audit_logs", S.AUDIT_SCHEMA)
+
+
+# --- visits that wait for their patient ------------------------------------------------------
+
+def _replay_few(spark, sf, base, retry):
+    """The same queue over a registry that holds a third of the patients it speaks of, with
+    few patients in the queue: visits wait, some until a later batch stores their patient."""
+    events = read_table(spark, sf, "events")
+    top = events.agg(F.floor(F.max("user_id") / 3)).first()[0]
+    store, records = f"{base}/store", R.pending_fixture(spark, events).where("kind <> 'patient' OR id % 256 = 0").repartition(4)
+    write_batch(fixture(spark, sf, "patients").where(F.col("patient_id") <= top).select(*S.PATIENT_COLUMNS), store, "patients", -1)
+    publish(spark, store, -1)
+    for k in range(4):
+        R.apply_pending_batch(records.where(F.col("chunk") == k).drop("chunk"), k, store, AS_OF, changed_at=CHANGED_AT)
+
+
+_FEW_CTE = _REPLAY_CTE + """,
+cap AS (SELECT CAST(floor(max(user_id) / 3) AS BIGINT) AS n FROM events),
+fa AS (SELECT chunk, id, (SELECT n FROM cap) + row_number() OVER (ORDER BY chunk, id) AS patient_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY phone ORDER BY chunk, id) AS place FROM pe WHERE errors = '' AND id % 256 = 0) WHERE place = 1),
+fv AS (SELECT ve.*, CASE WHEN user_id <= (SELECT n FROM cap) AND user_id IN (SELECT c_custkey FROM customer) THEN ve.chunk
+                         ELSE greatest(ve.chunk, fa.chunk) END AS at_chunk,
+              (user_id <= (SELECT n FROM cap) AND user_id IN (SELECT c_custkey FROM customer)) OR fa.id IS NOT NULL AS stored
+       FROM ve LEFT JOIN fa ON fa.patient_id = user_id WHERE errors = '' AND user_id IS NOT NULL)
+"""
+
+
+@register("replay_waiting", f"""WITH {_FEW_CTE}
+SELECT id, user_id AS patient_id, 'dr queue' || CAST(id % 7 AS VARCHAR) AS doctor_name, day AS visit_date FROM fv WHERE NOT stored""", "R-01")
+def replay_waiting(spark, sf):
+    """Visits whose patient has not come."""
+    return R.still_waiting(spark, _once(_replay_few, spark, sf, False)).select(
+        F.col("row_id").alias("id"), "patient_id", "doctor_name", "visit_date")
+
+
+@register("replay_woken", f"""WITH {_FEW_CTE}
+SELECT row_number() OVER (ORDER BY at_chunk, id) AS visit_id, user_id AS patient_id, 'dr queue' || CAST(id % 7 AS VARCHAR) AS doctor_name,
+       day AS visit_date FROM fv WHERE stored""", "R-01,K-04")
+def replay_woken(spark, sf):
+    """All visits stored, many of them in the batch that stored their patient."""
+    return read_store(spark, _once(_replay_few, spark, sf, False), "visits", S.VISIT_SCHEMA).select(
+        "visit_id", "patient_id", "doctor_name", "visit_date")

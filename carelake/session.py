@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,9 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """``df`` written as Parquet into the shared checkpoint folder and read again: later jobs
-    neither repeat the work nor depend on the executors that did it."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a reliable checkpoint in the shared checkpoint folder: later jobs neither
+    repeat the work nor depend on the executors that did it. Its plan is run once; the files
+    go when the frame is no longer used, where ``cleanCheckpoints`` is on."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -2,9 +2,10 @@
 
 Every column is read as a string (no type inference: phone numbers keep their leading
 zeros, mixed date layouts survive). CSV follows RFC 4180: quotes are doubled and fields may
-hold line breaks, so a CSV file is one split; give large extracts as many files. ``row_id``
-numbers rows in file order: files by path, blocks by place, rows by position. A ``row_id``
-column of the extract is used as it is and must not be null (an error).
+hold line breaks; large files are cut by many tasks all the same (see ``records``), and every
+file of a folder is read by its own header. ``row_id`` numbers rows in file order: files by
+path, blocks by place, rows by position. A ``row_id`` column of the extract is used as it is
+and must not be null (an error).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.sources.records import by_header
 from carelake.streaming.store import read_if_there
 
 EXTRACT_FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
@@ -51,14 +53,17 @@ def read_extract(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     """S-01/S-02: one extract folder or file as all-string columns plus ``row_id``."""
     fmt = extract_format(path, fmt)
     if fmt == "csv":
-        df = (spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"')
-              .option("escape", '"').option("multiLine", "true").csv(path))
+        df = by_header(spark, path)
+        if "row_id" in df.columns[1:]:  # the extract numbers its rows itself
+            df = df.toDF("_place", *df.columns[1:]).drop("_place")
     elif fmt == "json":
         df = spark.read.option("primitivesAsString", "true").json(path)
     else:
         df = spark.read.parquet(path)
     text = [c for c in df.columns if c != "row_id"]
     cast = [F.col(f"`{c}`").cast("string").alias(c) for c in text]
+    if fmt == "csv" and df.schema[0].name == "row_id" and df.schema[0].dataType == T.LongType():
+        return df
     if "row_id" in df.columns:
         given = F.col("row_id").try_cast("long")
         return df.select(F.coalesce(given, F.raise_error(F.lit("row_id must be a number")).cast("long")).alias("row_id"), *cast)

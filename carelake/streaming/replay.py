@@ -1,12 +1,19 @@
 """R-01 replay of pending (offline-queued) records, A-19 pending counts.
 
 Records arrive as JSON files ``{id, kind, patientId, data{...}, timestamp, synced}``, at
-least once and however late. A ledger of every record seen, by kind, id and payload hash,
-makes re-delivery harmless without a time bound. Inside a batch patients are registered
-before visits, so a visit may refer to a patient queued in the same batch; one whose
-patient is not stored yet waits and is retried with every later batch. A record that breaks
+least once and however late. A record seen before, by kind, id and payload hash, is known by
+its key, which makes re-delivery harmless without a time bound. Inside a batch patients are
+registered before visits, so a visit may refer to a patient queued in the same batch; one
+whose patient is not stored yet waits until a batch stores that patient. A record that breaks
 a registration rule goes to ``rejected_records`` with the reason; none is lost.
 
+What a batch must know of the past is state by key (see ``keyed``): the keys of records seen
+and of stored patients (id, phone number, e-mail), and the waiting visits by patient. All
+keys of a batch are sought at once, in the buckets they fall in; waiting visits are read for
+newly stored patients only, and the largest ids come with the last mark. So a batch reads
+what its own records ask for, however large the store. The first batch over a store that has
+tables but no such state builds it from them.
+
 Values are stored as typed, blank ones as missing. Every accepted patient and visit gets an
 audit row. All tables of a batch are published together (see ``store``)."""
 
@@ -20,7 +27,12 @@ from carelake import schema as S
 from carelake.functions.expr import as_of_lit, null_if_token, parse_date
 from carelake.operators import load as L
 from carelake.session import cut_lineage
-from carelake.streaming.store import last_published, publish, read_store, write_batch
+from carelake.streaming.state import (LEDGER_SCHEMA, STORED_KEYS, WAITING_SCHEMA, open_state, seen_key, still_waiting,
+                                      waiting_rows)
+from carelake.streaming.store import publish, write_all
+
+__all__ = ["LEDGER_SCHEMA", "PENDING_SCHEMA", "REJECT_SCHEMA", "WAITING_SCHEMA", "apply_pending_batch", "pending_counts",
+           "pending_fixture", "read_pending_stream", "run_replay", "still_waiting"]
 
 DATA_FIELDS = ["first_name", "last_name", "gender", "date_of_birth", "phone_number", "email", "address",
                "blood_group", "doctor_name", "symptoms", "medications", "follow_up_date", "visit_date"]
@@ -53,16 +65,9 @@ SELECT event_id AS id,
 FROM {events}
 """
 
-LEDGER_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()),
-                              T.StructField("data_hash", T.LongType())])
 REJECT_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()),
                               T.StructField("reason", T.StringType())])
-WAITING_SCHEMA = T.StructType([
-    T.StructField("row_id", T.LongType()), T.StructField("patient_id", T.LongType()),
-    T.StructField("doctor_name", T.StringType()), T.StructField("symptoms", T.StringType()),
-    T.StructField("medications", T.StringType()), T.StructField("follow_up_date", T.DateType()),
-    T.StructField("visit_date", T.DateType()),
-])
+_DATES = ("date_of_birth", "follow_up_date", "visit_date")
 
 
 def pending_fixture(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -87,84 +92,85 @@ def _typed(field: str):
     return null_if_token(F.col(f"data.{field}"))
 
 
-def _unseen(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Unsynced records that no earlier batch has seen, each once."""
+def _offered(batch: DataFrame) -> DataFrame:
+    """Unsynced records, each once, with their key."""
     keys = LEDGER_SCHEMA.fieldNames()
-    once = (batch.where(~F.coalesce(F.col("synced"), F.lit(False)))
+    return (batch.where(~F.coalesce(F.col("synced"), F.lit(False)))
             .withColumn("data_hash", F.xxhash64(F.to_json(F.struct("patientId", "data"))))
             .groupBy(*keys).agg(F.min(F.struct("timestamp", "patientId", "data")).alias("r"))
-            .select(*keys, "r.*"))
-    seen = ledger.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = [once[k].eqNullSafe(seen[f"_{k}"]) for k in keys]
-    return once.join(seen, same[0] & same[1] & same[2], "left_anti")
-
-
-def _time_error():
-    return F.when(F.try_to_timestamp("timestamp").isNull(), F.lit(S.MSG_BAD_TIMESTAMP))
-
-
-def _patients_of(records: DataFrame, as_of) -> DataFrame:
-    rows = records.where("kind = 'patient'").select(
-        F.col("id").alias("row_id"), _time_error().alias("_time"),
-        *[_typed(f).alias(f) for f in ("first_name", "last_name", "gender")],
-        parse_date(_typed("date_of_birth")).alias("date_of_birth"),
-        *[_typed(f).alias(f) for f in ("phone_number", "email", "address", "blood_group")],
-        as_of_lit(as_of).alias("registration_date"),
-        (_typed("date_of_birth").isNotNull() & parse_date(_typed("date_of_birth")).isNull()).alias("_bad_dob"))
-    problems = [F.col("_time"), *L.patient_rule_checks(rows), F.when(F.col("_bad_dob"), F.lit(S.MSG_BAD_DOB))]
-    return rows.withColumn("reason", L.joined_reasons(problems)).drop("_time", "_bad_dob")
+            .select(*keys, "r.*", seen_key().alias("seen")))
 
 
-def _visits_of(records: DataFrame) -> DataFrame:
-    rows = records.where("kind = 'visit'").select(
-        F.col("id").alias("row_id"), F.col("patientId").alias("patient_id"), _time_error().alias("_time"),
-        *[_typed(f).alias(f) for f in ("doctor_name", "symptoms", "medications")],
-        parse_date(_typed("follow_up_date")).alias("follow_up_date"), parse_date(_typed("visit_date")).alias("visit_date"))
-    return rows.withColumn("reason", L.joined_reasons([F.col("_time"), *L.visit_rule_checks()])).drop("_time")
+def _judged(records: DataFrame, as_of) -> DataFrame:
+    """Records of both kinds as typed columns, with the reason why one cannot be stored."""
+    typed = records.select(
+        "kind", "id", "data_hash", "seen", F.col("patientId").alias("patient_id"),
+        F.when(F.try_to_timestamp("timestamp").isNull(), F.lit(S.MSG_BAD_TIMESTAMP)).alias("_time"),
+        *[_typed(f).alias(f"_{f}" if f in _DATES else f) for f in DATA_FIELDS], as_of_lit(as_of).alias("registration_date"))
+    typed = typed.withColumns({f: parse_date(f"_{f}") for f in _DATES})
+    bad_birth = F.when(F.col("_date_of_birth").isNotNull() & F.col("date_of_birth").isNull(), F.lit(S.MSG_BAD_DOB))
+    reason = (F.when(F.col("kind") == "patient", L.joined_reasons([F.col("_time"), *L.patient_rule_checks(typed), bad_birth]))
+              .when(F.col("kind") == "visit", L.joined_reasons([F.col("_time"), *L.visit_rule_checks()]))
+              .otherwise(F.lit(S.MSG_UNKNOWN_KIND)))
+    return typed.withColumn("reason", reason).drop("_time", *[f"_{f}" for f in _DATES])
 
 
 def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None, changed_by: str = "system",
                         changed_at=None) -> None:
     """One micro-batch: register patients (first wins), then visits of stored patients."""
     spark = batch.sparkSession
-    state = lambda table, schema: read_store(spark, store, table, schema, before=batch_id)
-    records = cut_lineage(_unseen(batch, state("ledger", LEDGER_SCHEMA)))
-    if records.isEmpty():
-        return  # nothing new: waiting visits stay where they are
-    rejects = [records.where("kind IS NULL OR kind NOT IN ('patient', 'visit')")
-               .select("kind", "id", F.lit(S.MSG_UNKNOWN_KIND).alias("reason"))]
-    reject = lambda kind, rows: rejects.append(
-        rows.select(F.lit(kind).alias("kind"), F.col("row_id").alias("id"), "reason"))
-
-    offered = _patients_of(records, as_of)
-    reject("patient", offered.where("reason IS NOT NULL"))
-    stored = state("patients", S.PATIENT_SCHEMA)
-    accepted, clashing = L.register_patients(offered.where("reason IS NULL").drop("reason"), stored, as_of)
-    accepted = cut_lineage(accepted)
-    reject("patient", clashing)
-
-    visits = _visits_of(records)
-    reject("visit", visits.where("reason IS NOT NULL"))
-    previous = last_published(spark, store, before=batch_id)
-    waiting = (read_store(spark, store, "waiting_visits", WAITING_SCHEMA, before=batch_id, only=previous)
-               if previous is not None else spark.createDataFrame([], WAITING_SCHEMA))
-    due = visits.where("reason IS NULL").drop("reason").select(*WAITING_SCHEMA.fieldNames()).unionByName(waiting)
-    known = stored.select("patient_id").unionByName(accepted.select("patient_id"))
-    ready, early = L.split_foreign_key(due, known)
-    ready = cut_lineage(L.append_visits(ready, state("visits", S.VISIT_SCHEMA)))
-
-    audit = L.audit_rows_of(
-        [(accepted, "patient", "patient_id", ["first_name", "last_name", "phone_number"]),
-         (ready, "visit", "visit_id", ["patient_id", "doctor_name", "visit_date"])],
-        state("audit_logs", S.AUDIT_SCHEMA), changed_by=changed_by, changed_at=changed_at)
-    rejected = rejects[0]
-    for rows in rejects[1:]:
-        rejected = rejected.unionByName(rows)
-    for rows, table in ((accepted.select(*S.PATIENT_COLUMNS), "patients"), (ready.select(*S.VISIT_COLUMNS), "visits"),
-                        (early.select(*WAITING_SCHEMA.fieldNames()), "waiting_visits"), (rejected, "rejected_records"),
-                        (audit, "audit_logs"), (records.select(*LEDGER_SCHEMA.fieldNames()), "ledger")):
-        write_batch(rows, store, table, batch_id)
-    publish(spark, store, batch_id)
+    state = open_state(spark, store, batch_id)
+    offered = cut_lineage(_offered(batch))
+    phone, email = _typed("phone_number"), _typed("email")
+    patient, visit = F.col("kind") == "patient", F.col("kind") == "visit"
+    sought = F.array(F.col("seen"), F.when(patient, F.concat(F.lit("phone_number:"), phone)), F.when(patient, F.concat(F.lit("email:"), email)),
+                     F.when(visit, F.concat(F.lit("patient_id:"), F.col("patientId").cast("string"))))
+    wanted = offered.select(F.explode(F.array_compact(sought)).alias("key")).distinct()
+    known = state.held("keys", wanted)
+    records = cut_lineage(_judged(offered.join(known, F.col("seen") == F.col("key"), "left_anti"), as_of))
+    fits = F.col("reason").isNull()
+    n = records.agg(F.count(F.lit(1)).alias("all"), F.count_if(fits & (F.col("kind") == "patient")).alias("patients"),
+                    F.count_if(fits & (F.col("kind") == "visit")).alias("visits")).first()
+    if not n["all"]:
+        return  # nothing new
+    fit = records.where(fits)
+    order = F.struct("id", "data_hash").alias("_order")
+
+    people = L.with_row_index(fit.where("kind = 'patient'").select(
+        *[c for c in S.PATIENT_COLUMNS if c != "patient_id"], "id", order), "_order", "row_id", rows=n["patients"])
+    ok, clashing = L.first_wins(people, known.withColumnRenamed("key", "_key"), n=2 * n["patients"] + known.count())
+    accepted = L.assign_ids(ok, None, "patient_id", "row_id", state.tops["patients"], n["patients"])
+    n_accepted = accepted.count()
+
+    due = fit.where("kind = 'visit'").select(F.col("id").alias("row_id"), *WAITING_SCHEMA.fieldNames()[1:])
+    stored_ids = (known.where(F.startswith("key", F.lit("patient_id:"))).select(F.substring("key", 12, 30).cast("long").alias("patient_id"))
+                  .unionByName(accepted.select("patient_id")))
+    if n_accepted and state["waiting"].runs:
+        woken = state["waiting"].held(L.long_keys(accepted, ["patient_id"]).withColumnRenamed("_key", "key"))
+        due = due.unionByName(woken.select(*WAITING_SCHEMA.fieldNames()))
+    ready, early = L.split_foreign_key(due, stored_ids, "data_hash")
+    n_ready, n_early = ready.count(), early.count()
+    ready = ready.withColumn("_order", F.struct("row_id", "data_hash"))
+    ready = L.assign_ids(ready, None, "visit_id", "_order", state.tops["visits"], n_ready)
+
+    options = {"changed_by": changed_by, "changed_at": changed_at}
+    audit = L.audit_of_dense(accepted, state.tops["patients"] + 1, state.tops["audit_logs"] + 1, "patient", "patient_id",
+                             ["first_name", "last_name", "phone_number"], **options).unionByName(
+        L.audit_of_dense(ready, state.tops["visits"] + 1, state.tops["audit_logs"] + 1 + n_accepted, "visit", "visit_id",
+                         ["patient_id", "doctor_name", "visit_date"], **options))
+    rejected = records.where("reason IS NOT NULL").select("kind", "id", "reason").unionByName(
+        clashing.select(F.lit("patient").alias("kind"), "id", F.lit(S.MSG_DUPLICATE_VALUE).alias("reason")))
+    early = early.select(*WAITING_SCHEMA.fieldNames())
+
+    new_keys = records.select(F.col("seen").alias("key")).unionByName(L.long_keys(accepted, STORED_KEYS).withColumnRenamed("_key", "key"))
+    also = [state.add("keys", new_keys, batch_id, n["all"] + len(STORED_KEYS) * n_accepted),
+            state.add("waiting", waiting_rows(early), batch_id, n_early)]
+    state.tops = {"patients": state.tops["patients"] + n_accepted, "visits": state.tops["visits"] + n_ready,
+                  "audit_logs": state.tops["audit_logs"] + n_accepted + n_ready}
+    write_all([(accepted.select(*S.PATIENT_COLUMNS), "patients"), (ready.select(*S.VISIT_COLUMNS), "visits"), (early, "waiting_visits"),
+               (rejected, "rejected_records"), (audit.select(*S.AUDIT_COLUMNS), "audit_logs"),
+               (records.select(*LEDGER_SCHEMA.fieldNames()), "ledger")], store, batch_id, also)
+    publish(spark, store, batch_id, state.text())
 
 
 def run_replay(spark: SparkSession, source: str, store: str, checkpoint: str, as_of=None, changed_at=None):

@@ -4,7 +4,8 @@ import __spark_entry__ as E
 from carelake import schema as S
 from carelake.streaming import ingest as I
 from carelake.streaming import replay as R
-from carelake.streaming.store import last_published, read_store
+from carelake.streaming import store as store_module
+from carelake.streaming.store import read_store
 
 
 def test_upload_stream_matches_batch(spark, sf):
@@ -28,13 +29,12 @@ def frame(spark, records):
 
 
 TABLES = {"patients": S.PATIENT_SCHEMA, "visits": S.VISIT_SCHEMA, "audit_logs": S.AUDIT_SCHEMA, "ledger": R.LEDGER_SCHEMA,
-          "rejected_records": R.REJECT_SCHEMA, "waiting_visits": R.WAITING_SCHEMA}
+          "rejected_records": R.REJECT_SCHEMA}
 
 
 def tables(spark, store):
-    last = last_published(spark, store)
-    return {t: sorted(map(tuple, read_store(spark, store, t, s, only=last if t == "waiting_visits" else None).collect()), key=str)
-            for t, s in TABLES.items()}
+    frames = {t: read_store(spark, store, t, s) for t, s in TABLES.items()} | {"waiting_visits": R.still_waiting(spark, store)}
+    return {t: sorted(map(tuple, rows.collect()), key=str) for t, rows in frames.items()}
 
 
 BATCHES = [
@@ -84,7 +84,7 @@ def test_replay_retried_batches_change_nothing(spark, tmp_path, monkeypatch):
     assert apply_all(spark, str(tmp_path / "twice"), twice) == want
 
     def stopped(batch, i, store):
-        real, left = R.write_batch, [1 + i]
+        real, left = store_module.write_batch, [1 + i]
 
         def write(df, *where):
             if not left[0]:
@@ -92,12 +92,12 @@ def test_replay_retried_batches_change_nothing(spark, tmp_path, monkeypatch):
             left[0] -= 1
             real(df, *where)
 
-        monkeypatch.setattr(R, "write_batch", write)
+        monkeypatch.setattr(store_module, "write_batch", write)
         try:
             plain(batch, i, store)
         except InterruptedError:
             pass
-        monkeypatch.setattr(R, "write_batch", real)
+        monkeypatch.setattr(store_module, "write_batch", real)
         plain(batch, i, store)
 
     assert apply_all(spark, str(tmp_path / "stopped"), stopped) == want
