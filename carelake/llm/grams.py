@@ -7,12 +7,14 @@ import re
 import numpy as np
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether the text has a character of a Unicode letter class (numerals such as ``²`` or
+    ``Ⅷ`` are none)."""
+    return bool(text) and any(m.group().isalpha() for m in _WORD_SIGN.finditer(text))
 
 
 def chunks(texts: list[str | None], pad: int):

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -37,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import shuffle_partitions, staged
+from carelake.llm.common import ship, shuffle_partitions, staged
 
 WINDOW = 2048
 SHARD = 512
+COMMON = 16
 LEADING = 3
+BOUNDARY_ROWS = 20_000
 END_ID = 1
 K1, B = 1.2, 0.75
 _TOKENS = "doc_id long, ids binary, frequencies binary"
@@ -99,6 +102,8 @@ def _bytes_of_characters() -> dict[str, int]:
 def tokenised(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, ids, frequencies): little-endian ids with END_ID of every document, and one
     row per task with the ids' document frequencies in that task and no ids."""
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
         kind, seen = _id_type(encoder.size), np.zeros(encoder.size, np.int64)
@@ -182,14 +187,24 @@ class _Packer:
         every = np.concatenate(terms)
         order = np.argsort(every, kind="stable")
         self.weight, self.owner = np.concatenate(weights)[order], np.concatenate(owners)[order]
-        self.begin = np.searchsorted(every[order], np.arange(len(self.idf) + 1))
+        held = np.bincount(every, minlength=len(self.idf))
+        self.begin = np.concatenate(([0], np.cumsum(held)))
+        # ids that many of the documents hold have a full row of weights instead of postings
+        common = np.nonzero(held >= max(COMMON, len(docs) // COMMON))[0]
+        self.row = np.full(len(self.idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(docs)))
+        at = self.row[every[order]]
+        self.full[at[at >= 0], self.owner[at >= 0]] = self.weight[at >= 0]
 
     def _neighbours(self, seed: int, n: int) -> np.ndarray:
         """The shard's documents by BM25 score for the seed's ids, best first."""
-        begin, end = self.begin[self.terms[seed]], self.begin[self.terms[seed].astype(np.int64) + 1]
-        size = end - begin
-        at = np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())
-        return np.argsort(-np.bincount(self.owner[at], weights=self.weight[at], minlength=n), kind="stable")
+        row = self.row[self.terms[seed]]
+        rare = self.terms[seed][row < 0].astype(np.int64)
+        begin, size = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
+        at = np.repeat(begin + size - np.cumsum(size), size) + np.arange(size.sum())
+        score = np.bincount(self.owner[at], weights=self.weight[at], minlength=n) + self.full[row[row >= 0]].sum(axis=0)
+        return np.argsort(-score, kind="stable")
 
     def shard(self, docs: list[_Document]) -> list[_Document]:
         """Pack ``docs``; what is too little for a window comes back."""
@@ -240,9 +255,10 @@ class _Packer:
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def gathered(documents: DataFrame, idf: np.ndarray, shared: np.ndarray, kind: str) -> DataFrame:
-    """``documents`` (doc_id, ids) with lexically near ones next to each other, whatever file
-    they came from; ``shared`` says which ids more than one document has."""
+def gathered(documents: DataFrame, idf: np.ndarray, shared: np.ndarray, kind: str, n: int | None = None) -> DataFrame:
+    """The (``n``) ``documents`` (doc_id, ids) with lexically near ones next to each other,
+    whatever file they came from; ``shared`` says which ids more than one document has."""
+    n = documents.count() if n is None else n
     weight = np.where(shared, idf, 0).astype(np.float32)
 
     def lead(ids: bytes) -> list[int]:
@@ -259,16 +275,28 @@ def gathered(documents: DataFrame, idf: np.ndarray, shared: np.ndarray, kind: st
                 ["doc_id", "ids", *names])
 
     names = [f"lead_{k}" for k in range(LEADING)]
-    keyed = documents.mapInArrow(run, "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in names))
-    order = [*names, "salt", "doc_id"]
-    return (keyed.withColumn("salt", F.xxhash64("doc_id", "ids"))
-            .repartitionByRange(shuffle_partitions(documents.sparkSession), *order).sortWithinPartitions(*order)
-            .select("doc_id", "ids"))
+    keyed = lambda docs: docs.mapInArrow(
+        run, "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in names)).withColumn("salt", F.xxhash64("doc_id", "ids"))
+    order = [*names, "salt"]
+    spark = documents.sparkSession
+    parts = shuffle_partitions(spark)
+    # where partitions begin is taken from some rows' keys, so that no more than those are computed twice
+    seen = keyed(documents.sample(min(1.0, BOUNDARY_ROWS / max(1, n)), seed=6)).select(*order).sort(*order).toArrow().to_pylist()
+    edges = [tuple(seen[k * len(seen) // parts].values()) for k in range(1, parts)] if seen else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in order], strict=True)
+            yield batch.append_column("part", pa.array([bisect_right(edges, key) for key in keys], pa.int32()))
+
+    dealt = keyed(documents).mapInArrow(deal, "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in names) + ", salt long, part int")
+    return dealt.repartitionById(parts, "part").sortWithinPartitions(*order, "doc_id").select("doc_id", "ids")
 
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): one row per piece;
     ``ids`` are little-endian 32-bit numbers."""
+    ship(df.sparkSession)
     tokens = staged(tokenised(df, tokenizer_path, id_col, text_col), "packing-tokens")
     frequency = _total_frequencies(tokens)
     documents = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
@@ -291,4 +319,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if packer.rows:
             yield packer.taken()
 
-    return gathered(documents, idf, frequency > 1, kind).mapInArrow(run, _PIECES)
+    return gathered(documents, idf, frequency > 1, kind, n).mapInArrow(run, _PIECES)

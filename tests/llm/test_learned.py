@@ -361,3 +361,31 @@ def test_lattice_odd_rows(odd, odd_rows, empty):
         assert scores == sorted(scores, reverse=True)
         assert (len(r.ids) == 0) == (not r.text) and (r.text or not r.alternatives)
     assert piece_lattice.encode(empty, path).count() == 0
+
+
+def test_letters_are_of_the_letter_classes():
+    import unicodedata
+
+    from carelake.llm.grams import has_letter
+    texts = ["²", "½ ²", "Ⅷ", "①", "12 _ 3", "ª", "é", "漢", "ʰ", "1² x", "", None, "́"]
+    assert [has_letter(t) for t in texts] == [any(unicodedata.category(c).startswith("L") for c in t or "") for t in texts]
+
+
+def test_operators_run_in_a_fresh_application_elsewhere(tmp_path):
+    """op6 as the first query, the application started outside the repository."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+sys.path.insert(0, {root!r})
+import __spark_entry__ as E
+print('rows', E.queries()['op6_packing'](spark, '/root/testdata/sf0.001').count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]
