@@ -14,6 +14,7 @@ from carelake.session import ensure_checkpoint_dir
 
 #: ASCII white space as the operators mean it: space and 0x09 to 0x0D.
 BLANKS = r"[\x20\x09-\x0D]"
+BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
 
 
 _SHIPPED: set[str] = set()
@@ -52,11 +53,6 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` dealt over the cores when it is a handful of rows that each stand for much work."""
-    return df.repartition(least or max(df.sparkSession.sparkContext.defaultParallelism, 1))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,8 @@ no more than that (16 MB of bits at the default), however large the table. Beyon
 Defined results: null text counts as empty; empty texts are equal to each other and to
 texts of white space alone; of equal texts the row with most code points in the original
 stays, then the smallest id (null ids last); a repeated row is a copy like any other
-and all rows of one id in a group share the decision; an empty table gives no rows.
+(in ``copies`` all rows of one id in a group share the decision, ``drop_copies`` leaves one
+of them); an empty table gives no rows.
 Other columns pass through untouched."""
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import BLANKS, lookup_hot, staged
+from carelake.llm.common import BLANK_CHARACTERS, BLANKS, lookup_hot, staged
 
 PROBES = 2
 
@@ -51,16 +52,9 @@ def repeated_bits(marks: DataFrame, bits: int) -> DataFrame:
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")))
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_bits: int = 1 << 27) -> DataFrame:
-    """One row per row of ``df``: row_id, n_points, text_sha256, keep_id, group_size, kept."""
-    marks = staged(fingerprints(df, id_col, text_col), "exact-marks")
-    total = marks.count()
-    bits = 1 << 16
-    while bits < 16 * total and bits < max_bits:
-        bits <<= 1
-    words = repeated_bits(marks, bits)
-    probed = marks.withColumn("_bits", _bits(bits))
+def _flagged(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (with ``text_sha256``) and ``maybe``: whether another row may be equal."""
+    probed = rows.withColumn("_bits", _bits(bits))
     for k in range(PROBES):  # the second position may equal the first
         at = F.coalesce(F.get("_bits", F.lit(k)), F.get("_bits", F.lit(0)))
         probed = (probed.withColumn("_at", at)
@@ -70,8 +64,24 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .withColumn(f"_hit{k}", F.expr(
                       f"coalesce(_mask{k} & shiftleft(1L, cast(_at & 63 as int)), 0L) != 0")))
     hit = F.expr(" AND ".join(f"_hit{k}" for k in range(PROBES)))
-    probed = staged(probed.select("row_id", "n_points", "text_sha256", hit.alias("maybe")),
-                    "exact-probed")
+    return probed.select(*rows.columns, hit.alias("maybe"))
+
+
+def filter_bits(total: int, max_bits: int) -> int:
+    bits = 1 << 16
+    while bits < 16 * total and bits < max_bits:
+        bits <<= 1
+    return bits
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           max_bits: int = 1 << 27) -> DataFrame:
+    """One row per row of ``df``: row_id, n_points, text_sha256, keep_id, group_size, kept."""
+    marks = staged(fingerprints(df, id_col, text_col), "exact-marks")
+    total = marks.count()
+    bits = filter_bits(total, max_bits)
+    words = repeated_bits(marks, bits)
+    probed = staged(_flagged(marks, words, bits), "exact-probed")
     order = F.struct(-F.col("n_points"), F.col("row_id").isNull(), F.col("row_id"))
     groups = (probed.where("maybe")
               .withColumn("_order", order)
@@ -93,14 +103,25 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return clear.unionByName(maybe).withColumn("kept", F.col("row_id").eqNullSafe(F.col("keep_id")))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose text a higher-ranked row holds; all columns stay.
-
-    What goes is found by (id, digest), so another text under the same id is left alone;
-    rows equal in both are one document and stay together."""
-    gone = (copies(df, id_col, text_col).where("NOT kept")
-            .select(F.col("row_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.withColumn("_sha", F.sha2(F.regexp_replace(text, BLANKS, ""), 256))
-    left = marked.join(gone, (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return left.select(*df.columns)
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                max_bits: int = 1 << 27) -> DataFrame:
+    """``df`` with one row of every group of equal texts; all columns stay, whatever their
+    names. The row of a group is chosen as by ``copies``, so another text under the same id is
+    left alone, and of rows equal in text and id one stays.
+
+    Both passes of the filter look at a 64-bit print of the text. Rows whose bits are their
+    own pass straight through; the rest are told apart by their whole SHA-256, and of each
+    group one row a task, combined before the shuffle, goes on."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    bare = F.translate(text, BLANK_CHARACTERS, "")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                     F.lpad(F.hex(F.xxhash64(bare)), 16, "0").alias("text_sha256"))
+    marks = staged(rows.select("text_sha256"), "exact-marks")
+    bits = filter_bits(marks.count(), max_bits)
+    words = staged(repeated_bits(marks, bits), "exact-bits")
+    flagged = _flagged(rows, words, bits)
+    text, name = F.coalesce(F.col("row").getField(text_col), F.lit("")), F.col("row").getField(id_col)
+    order = F.struct(-F.length(text).cast("long"), name.isNull(), name, text)
+    first = (flagged.where("maybe").groupBy(F.sha2(F.translate(text, BLANK_CHARACTERS, ""), 256).alias("whole"))
+             .agg(F.min_by("row", order).alias("row")))
+    return flagged.where("NOT maybe").select("row.*").unionByName(first.select("row.*"))

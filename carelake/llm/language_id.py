@@ -186,6 +186,8 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = fit(df, F.lit(True), id_col, text_col, lang_col)
     if not model.langs:
         return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    found = predict(df, model, text_col, ("_lang", "_score"))
-    return found.where("_lang != 'und'").select(*[
-        F.col("_lang").cast(df.schema[lang_col].dataType).alias(lang_col) if c == lang_col else c for c in df.columns])
+    taken = {c.lower() for c in df.columns}
+    found_lang, found_score = (next(n for k in range(len(taken) + 1) if (n := f"_{base}{k}") not in taken) for base in ("lang", "score"))
+    found = predict(df, model, text_col, (found_lang, found_score))
+    return found.where(F.col(found_lang) != "und").select(*[
+        F.col(found_lang).cast(df.schema[lang_col].dataType).alias(lang_col) if c == lang_col else F.col(f"`{c}`") for c in df.columns])

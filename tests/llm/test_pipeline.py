@@ -66,4 +66,5 @@ def test_odd_and_empty(spark, odd, odd_rows, empty):
             out = run_stage(spark, name, df)
             assert out.columns == df.columns and out.count() <= n
     kept = run_stage(spark, "ngram_jaccard_join", odd)
-    assert kept.where(F.col("doc_id").isNull()).count() == 2
+    # of the rows without an id one is a copy, the other has no text
+    assert [r.text for r in kept.where(F.col("doc_id").isNull()).collect()] == [None]
