@@ -14,7 +14,6 @@ from carelake.session import ensure_checkpoint_dir
 
 #: ASCII white space as the operators mean it: space and 0x09 to 0x0D.
 BLANKS = r"[\x20\x09-\x0D]"
-BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
 
 
 _SHIPPED: set[str] = set()

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import BLANK_CHARACTERS, BLANKS, lookup_hot, staged
+from carelake.llm.common import BLANKS, lookup_hot, staged
 
 PROBES = 2
 
@@ -112,16 +112,16 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Both passes of the filter look at a 64-bit print of the text. Rows whose bits are their
     own pass straight through; the rest are told apart by their whole SHA-256, and of each
     group one row a task, combined before the shuffle, goes on."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    bare = F.translate(text, BLANK_CHARACTERS, "")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-                     F.lpad(F.hex(F.xxhash64(bare)), 16, "0").alias("text_sha256"))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    text, name = (F.col(names[df.columns.index(c)]) for c in (text_col, id_col))
+    text = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(text, BLANKS + "+", "")
+    rows = df.toDF(*names).withColumn("text_sha256", F.lpad(F.hex(F.xxhash64(bare)), 16, "0"))
     marks = staged(rows.select("text_sha256"), "exact-marks")
     bits = filter_bits(marks.count(), max_bits)
     words = staged(repeated_bits(marks, bits), "exact-bits")
     flagged = _flagged(rows, words, bits)
-    text, name = F.coalesce(F.col("row").getField(text_col), F.lit("")), F.col("row").getField(id_col)
     order = F.struct(-F.length(text).cast("long"), name.isNull(), name, text)
-    first = (flagged.where("maybe").groupBy(F.sha2(F.translate(text, BLANK_CHARACTERS, ""), 256).alias("whole"))
-             .agg(F.min_by("row", order).alias("row")))
-    return flagged.where("NOT maybe").select("row.*").unionByName(first.select("row.*"))
+    first = (flagged.where("maybe").groupBy(F.sha2(bare, 256).alias("whole"))
+             .agg(F.min_by(F.struct(*names), order).alias("row")))
+    return flagged.where("NOT maybe").select(*names).unionByName(first.select("row.*")).toDF(*df.columns)

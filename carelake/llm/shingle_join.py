@@ -333,14 +333,14 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``df`` with one row of every component, that of the least id (null ids last); all
     columns stay, whatever their names. Rows are told apart by a number of their own, so rows
     that share an id or have none are rows like any other; a repeated row is a near copy."""
-    rows = staged(df.select(F.monotonically_increasing_id().alias("number"),
-                            F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "numbered")
-    texts = rows.select("number", F.col("row").getField(text_col).alias("text"))
-    linked = link_components(texts, "number", "text", percent).select(F.col("doc_id").alias("number"), "component_id")
-    name = F.col("row").getField(id_col)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    text, name = (F.col(names[df.columns.index(c)]) for c in (text_col, id_col))
+    rows = staged(df.toDF(*names).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    linked = link_components(rows.select("number", text.alias("text")), "number", "text", percent)
+    linked = linked.select(F.col("doc_id").alias("number"), "component_id")
     named = staged(linked.join(rows.select("number", F.struct(name.isNull(), name, "number").alias("rank")), "number"), "near-members")
     groups = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("first"))
-    groups = groups.where("size > 1").select(F.col("component_id"), "size", F.col("first.number").alias("stays"))
+    groups = groups.where("size > 1").select("component_id", "size", F.col("first.number").alias("stays"))
     told = lookup_hot(named.select("number", "component_id"), groups, "component_id", "size", max(1, named.count()), F.xxhash64("number"))
     gone = told.where("stays IS NOT NULL AND stays != number").select("number")
-    return rows.join(gone, "number", "left_anti").select("row.*")
+    return rows.join(gone, "number", "left_anti").select(*names).toDF(*df.columns)
