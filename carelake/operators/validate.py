@@ -1,8 +1,9 @@
 """Row validation with reasons (V-01..V-09) and the error report (K-06).
 
-One pass builds an ``errors`` array per row. Duplicate flags come from one count of
-both kinds of keys (map-side combined) joined back on the key, so a hot phone number is
-never gathered into a single window partition; rows without a key spread by a salt.
+One pass builds an ``errors`` array per row. The normalised rows are written once; duplicate
+flags come from one count of both kinds of keys (map-side combined) looked up by the key. A
+phone number on a large share of the rows is met by broadcast, so its rows stay where they
+are; rows without a key spread by a salt.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from carelake import schema as S
 from carelake.functions.expr import (clean_email, clean_text, digits_only, null_if_token, parse_date,
                                      strip)
 from carelake.operators.clean import prepare_raw_patients
-from carelake.operators.load import look_up
+from carelake.operators.load import PATIENT_KEYS, frequent_by_kind, look_up
+from carelake.session import cut_lineage
 from carelake.sources.numbering import with_row_index
 
 
@@ -42,9 +44,11 @@ def validation_frame(raw: DataFrame, strict: bool = False, length_bounds: bool =
             .withColumn("last_name", F.coalesce("_last_given", F.lit("Unknown")))
             .drop("_f", "_l", "_dob"))
 
-    repeated, j = _repeated(norm), norm
+    j = norm = cut_lineage(norm)
+    repeated, frequent = _repeated(norm), frequent_by_kind(norm, PATIENT_KEYS)
     for key, out in (("phone_number", "_phone_n"), ("email", "_email_n")):
-        j = look_up(j, repeated.where(F.col("kind") == key).select(F.col("key").alias(key)), key, F.min(F.lit(1)), out)
+        found = repeated.where(F.col("kind") == key).select(F.col("key").alias(key))
+        j = look_up(j, found, key, F.min(F.lit(1)), out, frequent=frequent[key])
 
     phone_ok = F.col("phone_number").isNotNull() & (F.length("phone_number") >= S.MIN_PHONE_DIGITS)
     email = F.col("email")
