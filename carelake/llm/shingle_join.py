@@ -342,5 +342,6 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("first"))
     groups = groups.where("size > 1").select("component_id", "size", F.col("first.number").alias("stays"))
     told = lookup_hot(named.select("number", "component_id"), groups, "component_id", "size", max(1, named.count()), F.xxhash64("number"))
-    gone = told.where("stays IS NOT NULL AND stays != number").select("number")
+    # written, so that its size is known: few numbers are broadcast and no text is shuffled
+    gone = staged(told.where("stays IS NOT NULL AND stays != number").select("number"), "near-gone")
     return rows.join(gone, "number", "left_anti").select(*names).toDF(*df.columns)
