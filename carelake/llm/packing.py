@@ -267,29 +267,34 @@ def gathered(documents: DataFrame, idf: np.ndarray, shared: np.ndarray, kind: st
         best = np.argsort(-size, kind="stable")[:LEADING]
         return [int(t) if w > 0 else -1 for t, w in zip(term[best], size[best], strict=True)] + [-1] * (LEADING - len(best))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leads = np.array([lead(x) for x in batch.column(1).to_pylist()], np.int32).reshape(-1, LEADING)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(leads[:, k]) for k in range(LEADING)]],
-                ["doc_id", "ids", *names])
-
     names = [f"lead_{k}" for k in range(LEADING)]
-    keyed = lambda docs: docs.mapInArrow(
-        run, "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in names)).withColumn("salt", F.xxhash64("doc_id", "ids"))
     order = [*names, "salt"]
-    spark = documents.sparkSession
-    parts = shuffle_partitions(spark)
+    columns = "doc_id long, ids binary, salt long, " + ", ".join(f"{c} int" for c in names)
+
+    def keyed(docs: DataFrame, edges: list[tuple] | None = None) -> DataFrame:
+        """Documents with their keys and, between ``edges``, their part: one Python process a task."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    leads = [lead(x) for x in some.column("ids").to_pylist()]
+                    out = [*some.columns, *[pa.array([key[k] for key in leads], pa.int32()) for k in range(LEADING)]]
+                    if edges is None:
+                        yield pa.RecordBatch.from_arrays(out, [*some.schema.names, *names])
+                        continue
+                    salts = some.column("salt").to_pylist()
+                    part = [bisect_right(edges, (*key, salt)) for key, salt in zip(leads, salts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(part, pa.int32())], [*some.schema.names, *names, "part"])
+
+        salted = docs.select("doc_id", "ids", F.xxhash64("doc_id", "ids").alias("salt"))
+        return salted.mapInArrow(run, columns if edges is None else columns + ", part int")
+
+    parts = shuffle_partitions(documents.sparkSession)
     # where partitions begin is taken from some rows' keys, so that no more than those are computed twice
-    seen = keyed(documents.sample(min(1.0, BOUNDARY_ROWS / max(1, n)), seed=6)).select(*order).sort(*order).toArrow().to_pylist()
+    sample = documents.sample(min(1.0, BOUNDARY_ROWS / max(1, n)), seed=6)
+    seen = keyed(sample).select(*order).sort(*order).toArrow().to_pylist()
     edges = [tuple(seen[k * len(seen) // parts].values()) for k in range(1, parts)] if seen else []
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = zip(*[batch.column(c).to_pylist() for c in order], strict=True)
-            yield batch.append_column("part", pa.array([bisect_right(edges, key) for key in keys], pa.int32()))
-
-    dealt = keyed(documents).mapInArrow(deal, "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in names) + ", salt long, part int")
+    dealt = keyed(documents, edges)
     return dealt.repartitionById(parts, "part").sortWithinPartitions(*order, "doc_id").select("doc_id", "ids")
 
 
