@@ -15,29 +15,48 @@ from carelake.llm.common import staged, table
 from carelake.llm.queries import tokenizer_path
 
 
+#: Rows of an Arrow batch. They carry whole texts, of which a task, its Python process and the
+#: buffers between them hold several batches at a time.
+BATCH_ROWS = 1000
+
+
+def with_small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows; results do not depend
+    on it. It stays set, as the stages' frames are planned when they are written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go; the others get their language (op 7)."""
+    with_small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays (op 9)."""
+    with_small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by similarity one document stays (op 10)."""
+    with_small_batches(spark)
     return shingle_join.drop_near_copies(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by their kind (op 5)."""
+    with_small_batches(spark)
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of one length from lexically similar documents (op 6)."""
+    with_small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
