@@ -1,20 +1,26 @@
-r"""Personal data: exact base patterns, and secrets found by weak supervision.
+r"""Personal data: exact base patterns, and further kinds found by weak supervision.
 
 Base kinds are fixed patterns, leftmost and not overlapping within a kind: email, ip (parts
 at most 255), card (12 to 19 digits that pass Luhn) and phone (9 to 15 digits); a match
 that fails its test is dropped and not tried shorter. Base spans always stay.
 
-``secret`` spans are learned without labels. Candidates are runs of 10 or more letters,
-digits and ``+/_-`` with a letter and a digit, outside base spans. Regex, gazetteer and
-context labelers vote yes, no or nothing on each; expectation-maximisation over the counts
-of vote patterns estimates every labeler's reliability and each pattern's probability; a
-logistic classifier over the candidates' features, trained on those probabilities, decides.
-Patterns and features are small whole numbers, so what is counted over all documents and
-reaches the driver is bounded by their combinations, not by the corpus.
+The other kinds are learned without labels. Candidates of ``secret`` are runs of 10 or more
+letters, digits and ``+/_-`` with a letter and a digit, and what a cue word assigns; those of
+``name``, ``address``, ``national_id`` and ``local_phone`` are in ``personal``. None overlaps a
+base span. Regex, gazetteer and context labelers vote yes, no or nothing on each;
+expectation-maximisation over the counts of vote patterns estimates every labeler's
+reliability and each pattern's probability; a logistic classifier over the candidates'
+features, trained on those probabilities, decides. Every detector has labelers, reliabilities
+and a classifier of its own. Patterns and features are small whole numbers, so what is counted
+over all documents and reaches the driver is bounded by their combinations, not by the corpus.
+
+Mixed runs are decided from the corpus alone: without candidates there are none. The
+classifiers of ``personal`` start from labelers that are right four times in five and move
+from there by what the corpus shows, so that kinds it hardly holds are found too.
 
 Defined results: null text is empty; offsets are code points, end exclusive; spans go by
-start, then kind as in ``KINDS``; repeated rows get equal spans; without candidates there
-are no secrets; an empty table gives no rows; other columns pass through untouched."""
+start, then kind as in ``KINDS``; of secrets that overlap the first, longer one stays; repeated
+rows get equal spans; an empty table gives no rows; other columns pass through untouched."""
 
 from __future__ import annotations
 
@@ -28,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.llm import personal
 from carelake.llm.common import ship
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
+KINDS = (*BASE, "secret", "name", "address", "national_id", "local_phone")
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
 
 _LOCAL = string.ascii_letters + string.digits + "._%+-"
@@ -186,11 +193,82 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     return right, yes, float(share)
 
 
+#: What a labeler's vote is worth before the corpus is seen (right four times in five), and
+#: what a candidate is worth without any.
+_PRIOR_VOTE, _PRIOR_BIAS = float(np.log(4)), -1.5
+
+
+class Classifier:
+    """Which candidates of a detector of ``personal`` are of its kind: a logistic classifier
+    over one-hot votes and features. Its weights are held by a prior of one candidate's
+    strength at the votes' worth."""
+
+    def __init__(self, detector: personal.Detector, patterns: list[tuple[int, int, int]]):
+        self.detector = detector
+        self.weights = np.zeros(3 * detector.labelers + 6 * detector.features + 1)
+        self.weights[0:3 * detector.labelers:3] = -_PRIOR_VOTE
+        self.weights[2:3 * detector.labelers:3] = _PRIOR_VOTE
+        self.weights[-1] = _PRIOR_BIAS
+        if not patterns:
+            return
+        votes = np.array([_digits(p[0], 3, detector.labelers) for p in patterns])
+        counts = np.array([p[2] for p in patterns], float)
+        self.right, yes, self.share = reliabilities(votes, counts)
+        x = np.array([self._one_hot(v, _digits(p[1], 6, detector.features)) for v, p in zip(votes, patterns, strict=True)])
+        prior = w = self.weights
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float(counts @ (np.logaddexp(0, z) - yes * z) + 0.5 * ((w - prior) ** 2).sum())
+
+        for _ in range(50):  # Newton steps, halved until they gain
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hess = (x * (counts * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+            step, now = np.linalg.solve(hess, x.T @ (counts * (yes - p)) - (w - prior)), loss(w)
+            while loss(w + step) > now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w + step
+            if np.abs(step).max() < 1e-6:
+                break
+        self.weights = w
+
+    def _one_hot(self, votes, features) -> np.ndarray:
+        row = np.zeros(len(self.weights))
+        row[[3 * i + v for i, v in enumerate(votes)]] = 1
+        row[[3 * self.detector.labelers + 6 * i + f for i, f in enumerate(features)]] = 1
+        row[-1] = 1
+        return row
+
+    def spans(self, text: str, taken: list[Span]) -> list[Span]:
+        return [(self.detector.kind, a, b) for a, b in personal.found(self.detector, text, taken)
+                if self._one_hot(*self.detector.vote(text, a, b)) @ self.weights >= 0]
+
+
+def _code(digits: tuple[int, ...], base: int) -> int:
+    code = 0
+    for d in digits:
+        code = base * code + d
+    return code
+
+
+def _without_overlaps(spans: list[Span]) -> list[Span]:
+    """Of spans that overlap, the first, longer one."""
+    kept: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if not kept or s[1] >= kept[-1][2]:
+            kept.append(s)
+    return kept
+
+
 class Model:
-    """Which feature codes are secrets: a logistic classifier over one-hot features."""
+    """Which candidates are personal data: a logistic classifier over one-hot features for
+    mixed runs (``patterns``), a ``Classifier`` for each detector of ``personal``."""
 
-    def __init__(self, patterns: list[tuple[int, int, int]]):
+    def __init__(self, patterns: list[tuple[int, int, int]], personal_patterns: dict[int, list[tuple[int, int, int]]],
+                 lexicon: personal.Lexicon):
         self.weights = None
+        self.lexicon = lexicon
+        self.classifiers = [Classifier(d, personal_patterns.get(k, [])) for k, d in enumerate(personal.detectors(lexicon))]
         if not patterns:
             return
         votes = np.array([_digits(p[0], 3, LABELERS) for p in patterns])
@@ -217,25 +295,64 @@ class Model:
         return [("secret", a, b) for a, b in candidates(text, taken)
                 if self._one_hot(votes_and_features(text, a, b)[1]) @ self.weights >= 0]
 
+    def __reduce__(self):
+        # detectors are closures over patterns; a process makes them anew from the lexicon
+        return _model, (self.lexicon, {k: v for k, v in vars(self).items() if k not in ("lexicon", "classifiers")},
+                        [c.weights for c in self.classifiers])
+
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
         base = base_spans(text)
-        return base, in_order(base + self.secrets(text, base))
+        if not text:
+            return base, base
+        digit = _DIGIT.search(text) is not None
+        more = [s for c in self.classifiers if digit or not c.detector.needs_digit for s in c.spans(text, base)]
+        secrets = _without_overlaps(self.secrets(text, base) + [s for s in more if s[0] == "secret"])
+        return base, in_order(base + secrets + [s for s in more if s[0] != "secret"])
+
+
+def _model(lexicon: personal.Lexicon, values: dict, weights: list[np.ndarray]) -> Model:
+    model = Model([], {}, lexicon)
+    vars(model).update(values)
+    for classifier, w in zip(model.classifiers, weights, strict=True):
+        classifier.weights = w
+    return model
 
 
-def fit(df: DataFrame, text_col: str = "text") -> Model:
+#: The number of the mixed runs' detector beside those of ``personal``.
+_RUNS = -1
+
+
+def fit(df: DataFrame, text_col: str = "text", lexicon: personal.Lexicon | None = None) -> Model:
     """Count vote patterns with features over all texts; estimate and train on the counts."""
+    lexicon = lexicon or personal.Lexicon()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = personal.detectors(lexicon)
         for batch in batches:
-            found = [votes_and_features(t, a, b) for t in batch.column(0).to_pylist() if t and _DIGIT.search(t)
-                     for a, b in candidates(t, base_spans(t))]
-            yield pa.RecordBatch.from_pydict({
-                "votes": pa.array([v for v, _ in found], pa.int32()), "features": pa.array([f for _, f in found], pa.int32())})
+            seen: list[tuple[int, int, int]] = []
+            for t in batch.column(0).to_pylist():
+                if not t:
+                    continue
+                base, digit = base_spans(t), _DIGIT.search(t) is not None
+                if digit:
+                    seen += [(_RUNS, *votes_and_features(t, a, b)) for a, b in candidates(t, base)]
+                for k, d in enumerate(made):
+                    if digit or not d.needs_digit:
+                        for a, b in personal.found(d, t, base):
+                            votes, features = d.vote(t, a, b)
+                            seen.append((k, _code(votes, 3), _code(features, 6)))
+            columns = list(zip(*seen, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["detector", "votes", "features"])
 
     ship(df.sparkSession)
-    counted = (df.select(text_col).mapInArrow(run, "votes int, features int").groupBy("votes", "features")
-               .agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "features").collect())
-    return Model([(r["votes"], r["features"], r["n"]) for r in counted])
+    keys = ("detector", "votes", "features")
+    counted = (df.select(text_col).mapInArrow(run, "detector int, votes int, features int").groupBy(*keys)
+               .agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect())
+    patterns: dict[int, list[tuple[int, int, int]]] = {}
+    for r in counted:
+        patterns.setdefault(r["detector"], []).append((r["votes"], r["features"], r["n"]))
+    return Model(patterns.pop(_RUNS, []), patterns, lexicon)
 
 
 def joined(spans: list[Span]) -> str:

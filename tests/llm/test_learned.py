@@ -1,7 +1,9 @@
 """Language identification, toxicity, personal data, packing and the piece lattice."""
 
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carelake.llm import grams, language_id, packing, pii, piece_lattice, toxicity
+from carelake.llm import grams, language_id, packing, personal, pii, piece_lattice, toxicity
 from carelake.llm.queries import QUERIES, held_out, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -196,6 +198,13 @@ def test_long_texts_stay_linear():
     for text in ("1" * 200_000, "a@" * 50_000, "+1 " * 50_000, "1." * 100_000, "a" * 500_000 + "1", "x1 " * 60_000):
         pii.base_spans(text)
         list(pii.candidates(text, []))
+    for text in ("Maria " * 60_000, "Aa" * 100_000, "12 Aa " * 40_000, "token=x " * 40_000, "123-45-" * 40_000, "tel 1 " * 40_000,
+                 "A" * 300_000, "ssn 1 1" * 30_000, "1 2 " * 60_000):
+        start = time.perf_counter()
+        for detector in personal.detectors(personal.Lexicon()):
+            for a, b in personal.found(detector, text, []):
+                detector.vote(text, a, b)
+        assert time.perf_counter() - start < 20
 
 
 def test_pii_finds_secrets(spark, odd, odd_rows, empty):
@@ -217,6 +226,113 @@ def test_pii_finds_secrets(spark, odd, odd_rows, empty):
         assert r.base_spans == pii.joined(plain_spans(r.text))
 
 
+def plain_em(rows, rounds=100):
+    """Expectation-maximisation over single candidates, one vote after the other."""
+    yes = [(sum(v == pii.YES for v in r) + 0.5) / (sum(v != pii.NOTHING for v in r) + 1) for r in rows]
+    for _ in range(rounds):
+        share = (sum(yes) + 1) / (len(rows) + 2)
+        right = []
+        for i in range(len(rows[0])):
+            chances = []
+            for answer, vote in ((0, pii.NO), (1, pii.YES)):
+                agrees, voted = 4.0, 5.0
+                for r, y in zip(rows, yes, strict=True):
+                    if r[i] != pii.NOTHING:
+                        weight = y if answer else 1 - y
+                        voted += weight
+                        agrees += weight * (r[i] == vote)
+                chances.append(agrees / voted)
+            right.append(chances)
+        yes = []
+        for r in rows:
+            odds = share / (1 - share)
+            for i, v in enumerate(r):
+                if v == pii.YES:
+                    odds *= right[i][1] / (1 - right[i][0])
+                if v == pii.NO:
+                    odds *= (1 - right[i][1]) / right[i][0]
+            yes.append(odds / (1 + odds))
+    return right, yes
+
+
+def test_reliabilities_equal_a_plain_loop():
+    rng = random.Random(12)
+    rows = []
+    for _ in range(300):
+        true = rng.random() < 0.3
+        rows.append(tuple(pii.NOTHING if rng.random() < 0.3 else pii.YES if (rng.random() < sure) == true else pii.NO
+                          for sure in (0.9, 0.8, 0.7, 0.6)))
+    kinds = sorted(set(rows))
+    right, yes, _ = pii.reliabilities(np.array(kinds), np.array([rows.count(k) for k in kinds], float))
+    plain_right, plain_yes = plain_em(rows)
+    assert np.allclose(right, plain_right, atol=1e-6)
+    of = dict(zip(kinds, yes, strict=True))
+    assert np.allclose([of[r] for r in rows], plain_yes, atol=1e-6)
+
+
+FOUND = {"password: correct-horse-battery": ["secret:correct-horse-battery"], "password: p@ssw0rd!2024": ["secret:p@ssw0rd!2024"],
+         "token=abc123": ["secret:abc123"], "SSN 123-45-6789": ["national_id:123-45-6789"],
+         "call 555-123-4567": ["local_phone:555-123-4567"],
+         "My name is Maria Gonzalez, I live at 12 Elm Street, Springfield": ["name:Maria Gonzalez", "address:12 Elm Street, Springfield"],
+         "Anna Weber wohnt in der Hauptstraße 12, Berlin": ["name:Anna Weber", "address:Hauptstraße 12, Berlin"],
+         "ask Mr. Okonkwo": ["name:Okonkwo"], "+1 (555) 123-4567": ["phone:+1 (555) 123-4567"],
+         "the password is required": [], "Secret: something": [], "see Section 12 Main Road": [], "the secret is well-known": [],
+         "version 555-123-4567": [], "near Maria University": [], "The The Retionly Retionly 12 4567": []}
+
+
+def test_pii_finds_all_kinds_with_a_model_of_other_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for model in (pii.fit(docs), pii.fit(docs.limit(0)), pickle.loads(pickle.dumps(pii.fit(docs)))):
+        for text, want in FOUND.items():
+            assert [f"{k}:{text[a:b]}" for k, a, b in model.spans(text)[1]] == want, text
+    rows = spark.createDataFrame(list(enumerate(FOUND)), "doc_id long, text string")
+    got = {r.text: r.spans for r in pii.detect(rows, model).collect()}
+    for text in FOUND:
+        assert got[text] == pii.joined(model.spans(text)[1])
+        base = [s for s in model.spans(text)[1] if s[0] in pii.BASE]
+        assert base == model.spans(text)[0] == plain_spans(text)
+
+
+def held_out_figures(spark, n=400):
+    """Precision and recall per kind on texts of other words and numbers than those fitted on."""
+    def make(seed, given, last):
+        rng = random.Random(seed)
+        number = lambda *sizes: "-".join("".join(rng.choice("23456789") for _ in range(k)) for k in sizes)
+        word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))
+        out = []
+        for _ in range(n):
+            kind = rng.choice(("secret", "name", "address", "national_id", "local_phone", None))
+            value, around = {
+                "secret": lambda: (word() + rng.choice("!-_#") + number(3), rng.choice(("password: {}", "pwd={}", "the token = {} here"))),
+                "name": lambda: (f"{rng.choice(given)} {rng.choice(last)}", rng.choice(("my name is {}, hello", "we met {} there", "Dear Dr. {},"))),
+                "address": lambda: (f"{rng.randrange(1, 999)} {word().title()} {rng.choice(('Street', 'Road', 'Avenue'))}", rng.choice(("lives at {} now", "sent to {} then"))),
+                "national_id": lambda: (number(3, 2, 4), rng.choice(("SSN {}", "number {} on file"))),
+                "local_phone": lambda: (number(3, 3, 4), rng.choice(("call {} now", "or {} at night"))),
+                None: lambda: (rng.choice((word().title(), f"{word().title()} {word().title()}", number(2, 2), f"version {number(3, 3, 4)}", f"page {number(4)}")), "{}"),
+            }[kind]()
+            text = f"{word()} {word()} {around} {word()}".format(value)
+            at = text.index(value)
+            out.append((text, [(kind, at, at + len(value))] if kind else []))
+        return out
+
+    fitted = make(1, ["John", "Mary", "Linda", "Peter"], ["Smith", "Brown", "Stone"])
+    model = pii.fit(spark.createDataFrame([(t,) for t, _ in fitted], "text string"))
+    want, got = set(), set()
+    for i, (text, spans) in enumerate(make(2, ["Emma", "Pierre", "Ahmed", "Sandra"], ["Okonkwo", "Dupont", "Larsen", "Young"])):
+        want |= {(i, *s) for s in spans}
+        got |= {(i, *s) for s in model.spans(text)[1]}
+    figures = {}
+    for kind in pii.KINDS[len(pii.BASE):]:
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        figures[kind] = (len(w & g) / max(1, len(g)), len(w & g) / len(w))
+    return figures
+
+
+def test_pii_kinds_on_held_out_texts(spark):
+    for kind, (precision, recall) in held_out_figures(spark).items():
+        assert precision >= 0.9 and recall >= 0.9, (kind, precision, recall)
+
+
 # --- packing
 
 @pytest.fixture(scope="module")
