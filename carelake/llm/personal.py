@@ -66,6 +66,9 @@ _PHONE_CUES = ("call", "tel", "phone", "telephone", "mobile", "cell", "fax", "te
 _NUMBER_CUES = _words("version license chapter section page pages volume issue part isbn issn order item model figure table")
 
 
+_LINKS = _words("is at on no number nr")
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Lower-case words the labelers know."""
@@ -102,7 +105,13 @@ def _either(words) -> str:
 
 def _ends_with(words) -> re.Pattern:
     """Whether a text ends with one of the words, a link word and signs."""
-    return re.compile(rf"(?<!\w)(?:{_either(words)})(?:\s+(?:is|at|on|no|number|nr))?[\s.:=#,(\"'-]*$")
+    return re.compile(rf"(?<!\w)(?:{_either(words)})(?:\s+(?:me|us))?(?:\s+(?:{_either(_LINKS)}))?[\s.:=#,(\"'-]*$")
+
+
+def _mentions(text: str, words) -> bool:
+    """Whether a word occurs, as a word or in one: a quick test before a slow pattern."""
+    lower = text.lower()
+    return any(w in lower for w in words)
 
 
 _LAST_WORD = re.compile(r"(\w+)\W*$")
@@ -120,11 +129,14 @@ _FILLER = re.compile(r"<.*>|\*+|x+|\.+|none|null|true|false|required|optional|st
 
 
 def _secrets(lexicon: Lexicon) -> Detector:
+    cues = lexicon.passwords | lexicon.secret_cues
     passwords, others = _either(lexicon.passwords), _either(lexicon.secret_cues)
     assigned = re.compile(rf"""(?i)(?<![^\W\d_])(?:(?:{passwords}|{others})["']?\s{{0,3}}[:=]\s{{0,3}}|(?:{passwords})\s{{1,3}}is:?\s{{1,3}})["']?(\S{{4,}})""")
     password = re.compile(rf"(?<![^\W\d_])(?:{passwords})(?!\w)")
 
     def find(text: str) -> Iterator[tuple[int, int]]:
+        if not _mentions(text, cues):
+            return
         for m in assigned.finditer(text):
             run = m.group(1).rstrip(".,;:!?\"')]}>")
             if len(run) >= 4:
@@ -150,21 +162,32 @@ def _secrets(lexicon: Lexicon) -> Detector:
 
 
 _LETTER = r"[^\W\d_]"
-_NAMES = re.compile(rf"(?<!\w)[A-ZÀ-ÞÑ]{_LETTER}{{1,30}}(?:['’-]{_LETTER}{{1,30}})?(?: (?:de |van |von |del |la )?[A-ZÀ-ÞÑ](?:\.|{_LETTER}{{1,30}}(?:['’-]{_LETTER}{{1,30}})?)){{0,4}}")
+_NAMES = re.compile(rf"[A-ZÀ-Þ](?<!\w\w){_LETTER}{{1,30}}(?:['’-]{_LETTER}{{1,30}})?(?: (?:de |van |von |del |la )?[A-ZÀ-Þ](?:\.|{_LETTER}{{1,30}}(?:['’-]{_LETTER}{{1,30}})?)){{0,4}}")
+
+
+_SIGNS = ".:=#,(\"'-"
+_SIGN_ENDS = tuple("=#(:\"'-")
 
 
 def _names(lexicon: Lexicon) -> Detector:
     cued, lead = _ends_with(lexicon.name_cues), _ends_with(_TITLES)
     skipped = frozenset(w for cue in lexicon.name_cues for w in cue.split()) | _TITLES
+    last_words = frozenset(cue.split()[-1] for cue in lexicon.name_cues) | _TITLES | _LINKS | {"me", "us"}
+
+    def announced(text: str, at: int) -> bool:
+        before = _before(text, at)
+        word = before.rsplit(None, 1)[-1:]
+        if not word or word[0].strip(_SIGNS) not in last_words and not word[0].endswith(_SIGN_ENDS):
+            return False
+        return cued.search(before) is not None or lead.search(before) is not None
 
     def find(text: str) -> Iterator[tuple[int, int]]:
         for m in _NAMES.finditer(text):
             start, end = m.span()
-            words = m.group().split(" ")
-            while words and words[0].lower().rstrip(".") in skipped:
+            words = m.group().lower().split(" ")
+            while words and words[0] in skipped:
                 start += len(words.pop(0)) + 1
-            if words and (len(words) > 1 and words[0].lower() in lexicon.given
-                          or cued.search(before := _before(text, start)) or lead.search(before)):
+            if words and (len(words) > 1 and words[0] in lexicon.given or announced(text, start)):
                 yield start, end
 
     def vote(text: str, start: int, end: int):
@@ -186,19 +209,33 @@ def _names(lexicon: Lexicon) -> Detector:
     return Detector("name", find, vote, 7, 1)
 
 
+_STREET_FIRST = ("straße", "strasse", "gasse", "weg", "platz", "Calle", "Avenida", "Plaza", "Via")
+
+
+def apart(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """By start; of spans that overlap the first, longer one."""
+    reach = 0
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= reach:
+            yield start, end
+            reach = end
+
+
 def _addresses(lexicon: Lexicon) -> Detector:
     cap = rf"[A-ZÀ-Þ0-9]{_LETTER}{{0,24}}\.?"
     town = rf"(?:,? (?:Apt|Suite|Unit|#)\.? ?\w{{1,5}})?(?:, [A-ZÀ-Þ]{_LETTER}{{1,24}}(?: [A-ZÀ-Þ]{_LETTER}{{1,24}}){{0,2}})?(?:,? [A-Z]{{2}})?(?:,? \d{{4,5}}(?:-\d{{4}})?(?!\w))?"
     streets = _either(w.capitalize() for w in lexicon.streets)
-    number_first = rf"(?<![\w.])\d{{1,5}}[A-Za-z]?,? (?:{cap} ){{1,3}}(?:{streets})(?!\w)\.?{town}"
-    french = rf"(?<![\w.])\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|impasse)(?: (?:de la|de|du|des|la))?(?: [A-ZÀ-Þ]{_LETTER}{{1,24}}){{1,3}}{town}"
-    street_first = rf"(?<!\w)(?:[A-ZÄÖÜ]{_LETTER}{{2,30}}(?:straße|strasse|gasse|weg|platz)|(?:Calle|Avenida|Plaza|Via)(?: (?:de la|de|del|la))?(?: [A-ZÀ-Þ]{_LETTER}{{1,24}}){{1,3}}),? \d{{1,4}}(?!\w){town}"
-    pattern, cued = re.compile(f"{number_first}|{french}|{street_first}"), _ends_with(lexicon.address_cues)
+    number_first = rf"[A-Za-z]?,? (?:{cap} ){{1,3}}(?:{streets})(?!\w)\.?"
+    french = rf"(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|impasse)(?: (?:de la|de|du|des|la))?(?: [A-ZÀ-Þ]{_LETTER}{{1,24}}){{1,3}}"
+    by_number = re.compile(rf"\d(?<![\w.]\d)\d{{0,4}}(?:{number_first}|{french}){town}")
+    street_first = re.compile(rf"[A-ZÄÖÜ](?<!\w\w)(?:{_LETTER}{{2,30}}(?:straße|strasse|gasse|weg|platz)|(?:(?<=C)alle|(?<=A)venida|(?<=P)laza|(?<=V)ia)(?: (?:de la|de|del|la))?(?: [A-ZÀ-Þ]{_LETTER}{{1,24}}){{1,3}}),? \d{{1,4}}(?!\w){town}")
+    cued = _ends_with(lexicon.address_cues)
 
     def find(text: str) -> Iterator[tuple[int, int]]:
-        for m in pattern.finditer(text):
-            if _word_before(text, m.start()) not in _NUMBER_CUES:
-                yield m.span()
+        spans = [m.span() for m in by_number.finditer(text) if _word_before(text, m.start()) not in _NUMBER_CUES]
+        if any(w in text for w in _STREET_FIRST):
+            spans += [m.span() for m in street_first.finditer(text)]
+        yield from apart(spans)
 
     def vote(text: str, start: int, end: int):
         run = text[start:end]
@@ -215,20 +252,21 @@ def _addresses(lexicon: Lexicon) -> Detector:
 
 
 def _identity_numbers(lexicon: Lexicon) -> Detector:
-    grouped = r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"
-    cued = rf"(?<!\w)(?:{_either(lexicon.id_cues)})(?:\s(?:is|no|nr|number)\.?)?[\s:=#.]{{1,3}}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){{5,17}})(?!\w)"
-    pattern, after_cue = re.compile(f"{grouped}|(?i:{cued})"), _ends_with(lexicon.id_cues)
+    grouped = re.compile(r"\d(?<![\w.+-]\d)\d\d-\d\d-\d{4}(?![\w-])")
+    cued = re.compile(rf"(?i)(?<!\w)(?:{_either(lexicon.id_cues)})(?:\s(?:is|no|nr|number)\.?)?[\s:=#.]{{1,3}}([a-z0-9](?:[ -]?[a-z0-9]){{5,17}})(?!\w)")
+    after_cue = _ends_with(lexicon.id_cues)
 
     def find(text: str) -> Iterator[tuple[int, int]]:
-        for m in pattern.finditer(text):
-            start, end = m.span(1) if m.group(1) else m.span()
-            run = text[start:end]
-            if " " in run:  # words that follow the number are no part of it
+        spans = [m.span() for m in grouped.finditer(text) if _word_before(text, m.start()) not in _NUMBER_CUES]
+        if _mentions(text, lexicon.id_cues):
+            for m in cued.finditer(text):
+                start, run = m.start(1), m.group(1)
                 last = max((k for k, c in enumerate(run) if c.isdigit()), default=-1)
-                stop = run.find(" ", last) if last >= 0 else -1
-                end = start + stop if stop > 0 else end
-            if sum(c.isdigit() for c in text[start:end]) >= 5 and (m.group(1) or _word_before(text, start) not in _NUMBER_CUES):
-                yield start, end
+                stop = run.find(" ", last) if last >= 0 else -1  # words that follow the number are no part of it
+                run = run[:stop] if stop > 0 else run
+                if sum(c.isdigit() for c in run) >= 5:
+                    spans.append((start, start + len(run)))
+        yield from apart(spans)
 
     def vote(text: str, start: int, end: int):
         run = text[start:end]
@@ -247,14 +285,18 @@ def _identity_numbers(lexicon: Lexicon) -> Detector:
 
 
 def _local_phones(lexicon: Lexicon) -> Detector:
-    grouped = r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
-    cued = rf"(?<!\w)(?:{_either(lexicon.phone_cues)})(?:\s(?:is|at|me at|me on|on|no|number|us at|us on))?[\s:=.#]{{1,3}}(\(?\d(?:[ ()./-]{{0,2}}\d){{6,14}})(?![\w-])"
-    pattern, after_cue = re.compile(f"{grouped}|(?i:{cued})"), _ends_with((*lexicon.phone_cues, "me", "us"))
+    grouped = re.compile(r"\d(?<![\w.+-]\d)\d\d(?:(?<=\(\d\d\d)\) ?|[ .-])\d{3}[ .-]\d{4}(?![\w-])")
+    run = re.compile(r"\d(?<![\w.+-]\d)(?:[ ()./-]{0,2}\d){6,14}(?![\w-])")
+    after_cue = _ends_with(lexicon.phone_cues)
 
     def find(text: str) -> Iterator[tuple[int, int]]:
-        for m in pattern.finditer(text):
-            if m.group(1) or _word_before(text, m.start()) not in _NUMBER_CUES:
-                yield m.span(1) if m.group(1) else m.span()
+        def opened(m: re.Match) -> tuple[int, int]:
+            return m.start() - (text[max(0, m.start() - 1):m.start()] == "(" and ")" in m.group()), m.end()
+
+        spans = [s for s in map(opened, grouped.finditer(text)) if _word_before(text, s[0]) not in _NUMBER_CUES]
+        taken = {s[0] for s in spans}
+        spans += [s for s in map(opened, run.finditer(text)) if s[0] not in taken and after_cue.search(_before(text, s[0]))]
+        yield from apart(spans)
 
     def vote(text: str, start: int, end: int):
         run = text[start:end]
