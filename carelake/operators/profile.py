@@ -140,3 +140,23 @@ def write_quality_report(raw: DataFrame, path: str, fmt: str = "json") -> dict[s
         frame.coalesce(1).write.mode("overwrite").format(fmt).save(target)
         out[name] = target
     return out
+
+
+def read_quality_report(spark, path: str, fmt: str = "json") -> DataFrame:
+    """The written report by column: (column_name, missing_count, distinct_count)."""
+    import os
+    part = lambda name, c: spark.read.schema(f"column_name string, {c} long").format(fmt).load(os.path.join(path, name))
+    return (part("missing", "missing_count").join(part("distinct", "distinct_count"), "column_name", "left")
+            .select("column_name", "missing_count", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count")))
+
+
+def sheet_columns(raw: DataFrame, required=S.REQUIRED_PATIENT_COLUMNS, expected=S.EXPECTED_PATIENT_COLUMNS) -> DataFrame:
+    """(column_name, status, given): every column of a sheet with the number of its values,
+    and the required ones that it lacks (H-03, H-04); one aggregate over the sheet."""
+    df, cols = _profiled(raw)
+    unknown = unknown_columns(df, expected)
+    lacking = [c for c in required if c not in cols]
+    held = df.agg(*[F.count(c).alias(c) for c in cols], *[F.lit(0).cast("long").alias(c) for c in lacking])
+    status = (F.when(F.col("column_name").isin(lacking), F.lit("missing"))
+              .when(F.col("column_name").isin(unknown), F.lit("unknown")).otherwise(F.lit("expected")))
+    return held.unpivot([], [*cols, *lacking], "column_name", "given").select("column_name", status.alias("status"), "given")

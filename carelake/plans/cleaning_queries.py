@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from carelake import schema as S
@@ -11,6 +13,7 @@ from carelake.operators import profile as P
 from carelake.operators import validate as V
 from carelake.plans import sqlfrag as Q
 from carelake.plans.registry import register, sql
+from carelake.session import ensure_checkpoint_dir
 from carelake.sources.fixtures import FIXTURE_AS_OF as AS_OF, FIXTURE_AS_OF_SQL as AS_OF_SQL, fixture
 
 RAW_COLUMNS = S.PATIENT_COLUMNS
@@ -196,6 +199,35 @@ def profile_issues(spark, sf):
     return P.profile_issues(fixture(spark, sf, "patients_raw"))
 
 
+def _odd_sheet(spark, sf):
+    """The raw sheet under other headers, without e-mail and with columns that no alias names."""
+    raw = fixture(spark, sf, "patients_raw")
+    return raw.withColumnsRenamed({"phone_number": "Mobile", "first_name": "First Name"}).drop("email").withColumns({
+        "Ward Number": F.col("blood_group"), "remark": F.lit("seen")})
+
+
+@register("sheet_columns", sql(("patients_raw",), "\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS column_name, 'expected' AS status, CAST(count({c}) AS BIGINT) AS given FROM patients_raw"
+     for c in _PROFILE_COLS if c != "email"]
+    + ["SELECT 'email', 'missing', CAST(0 AS BIGINT)",
+       "SELECT 'ward_number', 'unknown', CAST(count(blood_group) AS BIGINT) FROM patients_raw",
+       "SELECT 'remark', 'unknown', CAST(count(*) AS BIGINT) FROM patients_raw"])), "H-01,H-03,H-04")
+def sheet_columns(spark, sf):
+    """Which columns of a sheet are known, unknown or lacking, and how many values they hold."""
+    return P.sheet_columns(_odd_sheet(spark, sf), required=(*S.REQUIRED_PATIENT_COLUMNS, "email"))
+
+
+@register("quality_report", sql(("patients_raw",), "\nUNION ALL\n".join(
+    [f"SELECT '{name}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing_count, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count FROM patients_raw"
+     for c, name in [*[(c, c) for c in _PROFILE_COLS if c != "email"], ("blood_group", "ward_number")]]
+    + ["SELECT 'remark', CAST(0 AS BIGINT), CAST(count(DISTINCT 1) AS BIGINT) FROM patients_raw"])), "K-09,P-02,P-03")
+def quality_report(spark, sf):
+    """The report tables, written to the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quality-report-{uuid.uuid4().hex}"
+    P.write_quality_report(_odd_sheet(spark, sf), path)
+    return P.read_quality_report(spark, path)
+
+
 #: The similarity in SQL: longest common run, leftmost in the first text, then in the
 #: second; then the same on both sides of it. Twice the matched letters over all letters.
 _FUZZY_CTE = _UPLOAD_CTE + f""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from carelake import schema as S
 from carelake.operators import clean as C
 from carelake.operators import dedup as D
+from carelake.operators import file_run as FR
 from carelake.operators import load as L
 from carelake.plans import sqlfrag as Q
 from carelake.plans.cleaning_queries import _CLI_CTE, _UPLOAD_CTE, _keep_first, _len_checks_sql
@@ -252,3 +253,74 @@ def load_visits_cli(spark, sf):
     ok, _ = L.judge_visits(_clean_visits(spark, sf), patients)
     none = spark.createDataFrame([], S.VISIT_SCHEMA)
     return L.append_visits(ok, none).select("row_id", "visit_id", "patient_id", "doctor_name", "visit_date")
+
+
+# --- a whole file ------------------------------------------------------------------------
+
+_FILE_CTE = (_CLI_LOAD_CTE.replace(
+    "co AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM cli WHERE phone_number IS NOT NULL AND first_name IS NOT NULL)",
+    f"""c0 AS (SELECT * FROM cli WHERE phone_number IS NOT NULL AND first_name IS NOT NULL),
+c1 AS {_keep_first('c0', 'phone_number')},
+c2 AS {_keep_first('c1', 'email')},
+co AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, * FROM c2)""")
+    + "," + _VISIT_CTE.split(",\nrv AS")[0] + """,
+sv AS (SELECT * FROM visits WHERE visit_id % 2 = 0),
+pp AS (SELECT patient_id, phone_number, email FROM st UNION ALL SELECT patient_id, phone_number, email FROM cl),
+bph AS (SELECT phone_number, min(patient_id) AS pid FROM pp GROUP BY 1),
+bem AS (SELECT email, min(patient_id) AS pid FROM pp WHERE email IS NOT NULL GROUP BY 1),
+rs AS (SELECT vc.row_id, coalesce(vc.patient_id, bph.pid, bem.pid) AS patient_id, vc.doctor_name, vc.symptoms, vc.visit_date
+       FROM vc LEFT JOIN bph ON vc.patient_id IS NULL AND bph.phone_number = vc.phone_number
+               LEFT JOIN bem ON vc.patient_id IS NULL AND bem.email = vc.email),
+vl AS (SELECT row_id, (SELECT max(visit_id) FROM sv) + row_number() OVER (ORDER BY row_id) AS visit_id, patient_id, doctor_name, symptoms, visit_date
+       FROM rs WHERE patient_id IN (SELECT patient_id FROM pp) AND doctor_name IS NOT NULL)
+""")
+_FILE_VIEWS = ("patients_raw", "patients", "visits_raw", "visits")
+
+
+def _file_run(spark, sf):
+    """Both raw sheets against a third of the stored patients and half of the stored visits."""
+    return FR.run_file(fixture(spark, sf, "patients_raw"), fixture(spark, sf, "visits_raw"),
+                       fixture(spark, sf, "patients").where("patient_id % 3 = 0"),
+                       fixture(spark, sf, "visits").where("visit_id % 2 = 0"), AS_OF)
+
+
+@register("run_file_counts", _recursive(sql(_FILE_VIEWS, """
+SELECT (SELECT count(*) FROM patients_raw) AS patients_found,
+       (SELECT count(*) FROM patients_raw) - (SELECT count(*) FROM c0) AS patients_rejected,
+       (SELECT count(*) FROM c2) AS patients_unique, (SELECT count(*) FROM cl) AS patients_inserted,
+       (SELECT count(*) FROM visits_raw) AS visits_found,
+       (SELECT count(*) FROM visits_raw) - (SELECT count(*) FROM vl) AS visits_rejected,
+       (SELECT count(*) FROM vl) AS visits_inserted,
+       (SELECT count(*) FROM pp) AS patients_stored, (SELECT count(*) FROM sv) + (SELECT count(*) FROM vl) AS visits_stored""",
+    _FILE_CTE)), "K-01,K-02,P-08")
+def run_file_counts(spark, sf):
+    """What a whole file's run did, with the stored rows after it."""
+    return _file_run(spark, sf).counts
+
+
+@register("run_file_patients", _recursive(sql(_FILE_VIEWS, """
+SELECT row_id, patient_id, phone_number, email, first_name FROM cl""", _FILE_CTE)), "K-01,D-01,D-02")
+def run_file_patients(spark, sf):
+    return _file_run(spark, sf).patients.select("row_id", "patient_id", "phone_number", "email", "first_name")
+
+
+@register("run_file_visits", _recursive(sql(_FILE_VIEWS, """
+SELECT row_id, visit_id, patient_id, doctor_name, symptoms, visit_date FROM vl""", _FILE_CTE)), "K-02,J-02..J-04")
+def run_file_visits(spark, sf):
+    return _file_run(spark, sf).visits.select("row_id", "visit_id", "patient_id", "doctor_name", "symptoms", "visit_date")
+
+
+@register("run_file_rejects", _recursive(sql(_FILE_VIEWS, f"""
+SELECT 'patient' AS sheet, row_id, concat_ws('; ', CASE WHEN phone_number IS NULL THEN '{S.MSG_MISSING_PHONE}' END,
+       CASE WHEN first_name IS NULL THEN '{S.MSG_MISSING_FIRST}' END) AS reason
+FROM cli WHERE phone_number IS NULL OR first_name IS NULL
+UNION ALL
+SELECT 'visit', r.row_id, CASE WHEN vc.row_id IS NULL THEN '{S.MSG_BAD_VISIT_DATE}' WHEN rs.patient_id IS NULL THEN '{S.MSG_UNRESOLVED_PATIENT}'
+       WHEN rs.patient_id NOT IN (SELECT patient_id FROM pp) THEN '{S.MSG_UNKNOWN_PATIENT}' ELSE '{S.MSG_MISSING_DOCTOR}' END
+FROM visits_raw r LEFT JOIN vc ON vc.row_id = r.row_id LEFT JOIN rs ON rs.row_id = r.row_id
+WHERE r.row_id NOT IN (SELECT row_id FROM vl)""", _FILE_CTE)), "K-06,J-04,C-15")
+def run_file_rejects(spark, sf):
+    """Every row of both sheets that a whole file's run refuses, with its reasons."""
+    done = _file_run(spark, sf)
+    return done.rejected_patients.select(F.lit("patient").alias("sheet"), "row_id", "reason").unionByName(
+        done.rejected_visits.select(F.lit("visit").alias("sheet"), "row_id", "reason"))
