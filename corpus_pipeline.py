@@ -17,16 +17,19 @@ from carelake.llm.queries import tokenizer_path
 
 #: Rows of an Arrow batch. They carry whole texts, of which a task, its Python process and the
 #: buffers between them hold several batches at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
+#: Bytes of an Arrow batch, for rows of very long texts.
+BATCH_BYTES = 4 << 20
 
 
 def with_small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows; results do not depend
-    on it. It stays set, as the stages' frames are planned when they are written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows and about
+    ``BATCH_BYTES``; results do not depend on it. It stays set, as the stages' frames are
+    planned when they are written."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
