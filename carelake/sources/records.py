@@ -160,7 +160,7 @@ def csv_records(spark: SparkSession, paths) -> DataFrame:
     joined = (pieces.where("NOT whole").groupBy("path", "place").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("p"))
               .select("path", "place", F.array_join(F.col("p.text"), "\n").alias("text")))
     every = pieces.where("whole").select("path", "place", "text").unionByName(joined)
-    return (every.join(files, "path")
+    return (every.join(F.broadcast(files), "path")  # one row a file: records stay spread, however few the files
             .select("path", "place", F.when(F.col("place") > 0, F.col("place") - 1 + F.col("_offset")).alias("row_id"),
                     F.regexp_replace("text", "\r$", "").alias("text")))
 
@@ -188,7 +188,7 @@ def by_header(spark: SparkSession, paths, resolve=None) -> DataFrame:
         return records.select("row_id").limit(0)
     numbers = spark.createDataFrame(list(enumerate(distinct)), "_sig int, _header string")
     schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = (records.where("place > 0").join(headers.join(F.broadcast(numbers), "_header").select("path", "_sig"), "path")
+    parsed = (records.where("place > 0").join(F.broadcast(headers.join(F.broadcast(numbers), "_header").select("path", "_sig")), "path")
               .select("row_id", "_sig", F.from_csv("text", schema, {"quote": '"', "escape": '"'}).alias("r")))
 
     def value(name: str) -> Column:
