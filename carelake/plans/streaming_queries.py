@@ -57,7 +57,8 @@ def _replay(spark, sf, base, retry):
     """Queued records in four deliveries of many files each, the first of them once more at
     the end (weeks late), replayed against the stored registry. ``retry``: a finished batch
     is applied again, and so is one that stopped after its first table."""
-    store, records = f"{base}/store", R.pending_fixture(spark, read_table(spark, sf, "events")).repartition(8)
+    events = read_table(spark, sf, "events").repartition(max(8, spark.sparkContext.defaultParallelism))  # narrow rows are dealt out
+    store, records = f"{base}/store", R.pending_fixture(spark, events)
     write_batch(fixture(spark, sf, "patients").select(*S.PATIENT_COLUMNS), store, "patients", -1)
     publish(spark, store, -1)
     for k in (0, 1, 2, 3, 0):

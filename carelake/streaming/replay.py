@@ -102,17 +102,20 @@ def _offered(batch: DataFrame) -> DataFrame:
 
 
 def _judged(records: DataFrame, as_of) -> DataFrame:
-    """Records of both kinds as typed columns, with the reason why one cannot be stored."""
+    """Records of both kinds as typed columns, with the reason why one cannot be stored. The
+    dates are parsed as one array: a third of the code, in a projection
+    of its own; all in one were too long a method for the JVM to compile and ran interpreted."""
     typed = records.select(
         "kind", "id", "data_hash", "seen", F.col("patientId").alias("patient_id"),
         F.when(F.try_to_timestamp("timestamp").isNull(), F.lit(S.MSG_BAD_TIMESTAMP)).alias("_time"),
-        *[_typed(f).alias(f"_{f}" if f in _DATES else f) for f in DATA_FIELDS], as_of_lit(as_of).alias("registration_date"))
-    typed = typed.withColumns({f: parse_date(f"_{f}") for f in _DATES})
-    bad_birth = F.when(F.col("_date_of_birth").isNotNull() & F.col("date_of_birth").isNull(), F.lit(S.MSG_BAD_DOB))
+        *[_typed(f).alias(f) for f in DATA_FIELDS if f not in _DATES], _typed("date_of_birth").isNotNull().alias("_born"),
+        F.transform(F.array(*[_typed(f) for f in _DATES]), lambda d: F.when(d.isNotNull(), parse_date(d))).alias("_dates"), as_of_lit(as_of).alias("registration_date"))
+    typed = typed.withColumns({f: F.get("_dates", F.lit(i)) for i, f in enumerate(_DATES)})
+    bad_birth = F.when(F.col("_born") & F.col("date_of_birth").isNull(), F.lit(S.MSG_BAD_DOB))
     reason = (F.when(F.col("kind") == "patient", L.joined_reasons([F.col("_time"), *L.patient_rule_checks(typed), bad_birth]))
               .when(F.col("kind") == "visit", L.joined_reasons([F.col("_time"), *L.visit_rule_checks()]))
               .otherwise(F.lit(S.MSG_UNKNOWN_KIND)))
-    return typed.withColumn("reason", reason).drop("_time", *[f"_{f}" for f in _DATES])
+    return typed.withColumn("reason", reason).drop("_time", "_born", "_dates")
 
 
 def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None, changed_by: str = "system",
@@ -121,9 +124,8 @@ def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
     spark = batch.sparkSession
     state = open_state(spark, store, batch_id)
     offered = cut_lineage(_offered(batch))
-    phone, email = _typed("phone_number"), _typed("email")
     patient, visit = F.col("kind") == "patient", F.col("kind") == "visit"
-    sought = F.array(F.col("seen"), F.when(patient, F.concat(F.lit("phone_number:"), phone)), F.when(patient, F.concat(F.lit("email:"), email)),
+    sought = F.array(F.col("seen"), *[F.when(patient, F.concat(F.lit(f"{f}:"), _typed(f))) for f in L.PATIENT_KEYS],
                      F.when(visit, F.concat(F.lit("patient_id:"), F.col("patientId").cast("string"))))
     wanted = offered.select(F.explode(F.array_compact(sought)).alias("key")).distinct()
     known = state.held("keys", wanted)
@@ -145,10 +147,12 @@ def apply_pending_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
     due = fit.where("kind = 'visit'").select(F.col("id").alias("row_id"), *WAITING_SCHEMA.fieldNames()[1:])
     stored_ids = (known.where(F.startswith("key", F.lit("patient_id:"))).select(F.substring("key", 12, 30).cast("long").alias("patient_id"))
                   .unionByName(accepted.select("patient_id")))
+    n_due = n["visits"]
     if n_accepted and state["waiting"].runs:
         woken = state["waiting"].held(L.long_keys(accepted, ["patient_id"]).withColumnRenamed("_key", "key"))
-        due = due.unionByName(woken.select(*WAITING_SCHEMA.fieldNames()))
-    ready, early = L.split_foreign_key(due, stored_ids, "data_hash")
+        due = cut_lineage(due.unionByName(woken.select(*WAITING_SCHEMA.fieldNames())))
+        n_due = None
+    ready, early = L.split_foreign_key(due, stored_ids, "data_hash", written=True, n=n_due)
     n_ready, n_early = ready.count(), early.count()
     ready = ready.withColumn("_order", F.struct("row_id", "data_hash"))
     ready = L.assign_ids(ready, None, "visit_id", "_order", state.tops["visits"], n_ready)
