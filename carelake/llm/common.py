@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from carelake.session import ensure_checkpoint_dir
 
@@ -40,16 +43,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Spark's setting by which the shuffle files of a job go when it ends, not whenever the
+#: driver happens to collect its garbage.
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_shuffle_files(spark: SparkSession):
+    before = spark.conf.get(_FILES_GO, "false")
+    spark.conf.set(_FILES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FILES_GO, before)
+
+
+def _stage_path(spark: SparkSession, what: str) -> str:
+    ship(spark)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read again.
 
     Cuts the lineage, so that later jobs neither repeat the work nor depend on the
-    executors that did it."""
+    executors that did it, and nothing that was shuffled for it stays on disk."""
     spark = df.sparkSession
-    ship(spark)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _stage_path(spark, what)
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def staged_slices(parts: Iterable[DataFrame], what: str) -> DataFrame:
+    """All ``parts``, of one schema and at least one, as one staged frame with a column
+    ``slice``: the number of the part. They are written one after the other, so only what one
+    of them shuffles is on disk at a time; a filter on ``slice`` reads that slice alone."""
+    path, schema = "", None
+    for i, part in enumerate(parts):
+        spark = part.sparkSession
+        if schema is None:
+            path, schema = _stage_path(spark, what), part.schema
+        with _without_shuffle_files(spark):
+            part.write.parquet(f"{path}/slice={i}")
+    out = spark.read.schema(StructType([*schema, StructField("slice", IntegerType())])).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Deletes the files of staged frames that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

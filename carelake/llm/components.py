@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import lookup_hot, staged
+from carelake.llm.common import lookup_hot, staged, unstaged
 
 
 def _with_least(edges: DataFrame, total: int, itself: bool) -> DataFrame:
@@ -33,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (_with_least(both, 2 * now[0], True).where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
-        large = staged(large, "edges")
+        last, large = edges, staged(large, "edges")
         small = _with_least(large, max(1, now[0]), False)
         edges = staged(small.select("a", F.col("m").alias("b"))
                        .unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
                        "edges")
+        unstaged(last, large)
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())

@@ -21,6 +21,10 @@ every document's connected component, found exactly and without listing links:
 Every filter is an upper bound on the overlap, so no link between components is lost. Equal
 hashes count as equal shingles (64 bits).
 
+Steps that move texts or sets go over them in slices, one job each, and pairs of groups are
+opened in as many slices as keep what a job moves small beside the texts; what was staged
+for a step goes when the step is done. So the number of links changes the time, not the disk.
+
 Defined results: with fewer than ``SHINGLE`` words the whole sequence is the one shingle;
 null, empty and blank texts have no set and link with nothing; rows without an id link with
 nothing and have no component; rows that share an id are one vertex; repeated rows have
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.llm import blocks
-from carelake.llm.common import lookup_hot, staged
+from carelake.llm.common import lookup_hot, staged, staged_slices, unstaged
 from carelake.llm.components import components
 from carelake.llm.words import mix, window_hashes, word_hashes
 
@@ -46,6 +50,9 @@ PERCENT = 75
 GROUP = 128
 ROUNDS = 3
 PREFIX_ROWS = 1_000_000
+#: Bytes of text for each of at most ``SLICES`` slices, and of sets that a job moves at least.
+SLICE_BYTES = 256 << 20
+SLICES = 4
 _SETS = ("doc_id long, n long, tokens binary, prefix binary, common double, family long, "
          + ", ".join(f"key{r} long" for r in range(ROUNDS)))
 
@@ -159,6 +166,11 @@ def _pivot_links(percent: int):
     return run
 
 
+def _by_slice(sets: DataFrame) -> list[DataFrame]:
+    n = sets.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0] + 1
+    return [sets.where(F.col("slice") == i) for i in range(n)]
+
+
 def star_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between sets and the pivot of those that share a least hash with them.
     The pivot is the set whose shingles are most frequent."""
@@ -169,24 +181,30 @@ def star_links(sets: DataFrame, percent: int) -> DataFrame:
                                       F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = (lookup_hot(keyed, pivots, "key", "size", keyed.count(), F.xxhash64("doc_id"))
              .where("b IS NOT NULL AND b != doc_id").select(F.col("doc_id").alias("a"), "b").distinct())
-    with_set = staged(pairs, "pivot-pairs").join(sets.select(F.col("doc_id").alias("a"), "tokens"), "a")
-    return with_set.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("pivot_tokens")), "b") \
-        .select("a", "b", "tokens", "pivot_tokens").mapInArrow(_pivot_links(percent), "a long, b long")
+    pairs = staged(pairs, "pivot-pairs")
+    slices, wanted = _by_slice(sets), pairs.select("b").distinct()
+    of_pivots = staged_slices((part.select(F.col("doc_id").alias("b"), F.col("tokens").alias("pivot_tokens"))
+                               .join(wanted, "b", "left_semi") for part in slices), "pivot-sets")
+    found = staged_slices((pairs.join(part.select(F.col("doc_id").alias("a"), "tokens"), "a").join(of_pivots.drop("slice"), "b")
+                           .select("a", "b", "tokens", "pivot_tokens").mapInArrow(_pivot_links(percent), "a long, b long") for part in slices), "star-links")
+    unstaged(pairs, of_pivots)
+    return found.drop("slice")
 
 
 def in_groups(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``sets`` with (component, grp): groups of similar sets, about GROUP at most. A large
-    component has groups of its own, so pairs of them need no look."""
+    """(doc_id, component, grp) of every id of ``sets``: groups of similar sets, about GROUP at
+    most. A large component has groups of its own, so pairs of them need no look."""
     sized = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     known = labels.join(sized, "component").select(F.col("vertex").alias("doc_id"), "component", "members")
-    joined = (sets.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    ids = sets.groupBy("doc_id").agg(F.min("family").alias("family"))
+    joined = (ids.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
               .withColumn("own", F.when(F.col("members") >= GROUP // 4, F.col("component"))))
     kinds = joined.groupBy("family", "own").agg(F.count(F.lit(1)).alias("kind_size"))
     kinds = kinds.select(F.xxhash64("family", "own", F.col("own").isNull()).alias("kind"), "kind_size")
     joined = joined.withColumn("kind", F.xxhash64("family", "own", F.col("own").isNull()))
-    out = lookup_hot(joined, kinds, "kind", "kind_size", max(1, sets.count()), F.xxhash64("doc_id"))
+    out = lookup_hot(joined, kinds, "kind", "kind_size", max(1, ids.count()), F.xxhash64("doc_id"))
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("kind_size") / (GROUP * 3 // 4)))
-    return out.withColumn("grp", F.xxhash64("kind", part)).drop("kind", "kind_size", "members", "own")
+    return out.select("doc_id", "component", F.xxhash64("kind", part).alias("grp"))
 
 
 def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,19 +302,34 @@ def _open(percent: int):
     return run
 
 
-def open_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components with a link between them, from ``in_groups``' frame."""
-    rows = sets.select("prefix", "grp", "component").mapInArrow(_matrix, "token long, grp long, component long")
+def open_groups(sets: DataFrame, members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b): components with a link between them; ``members`` are ``in_groups``'. About
+    ``most`` bytes of sets are moved at a time."""
+    slices = _by_slice(sets)
+    rows = sets.select("doc_id", "prefix").join(members, "doc_id").mapInArrow(_matrix, "token long, grp long, component long")
     matrix = staged(rows.groupBy("token", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high")),
                     "group-matrix")
     n = max(1, -(-matrix.count() // PREFIX_ROWS))
-    pairs = (matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n))).groupBy("bucket")
-             .applyInArrow(_group_pairs, "left long, right long").distinct())
-    bundles = staged(sets.select("grp", "doc_id", "component", "n", "tokens").groupBy("grp").applyInArrow(
+    pairs = staged(matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n))).groupBy("bucket")
+                   .applyInArrow(_group_pairs, "left long, right long").distinct(), "group-pairs")
+    unstaged(matrix)
+    # sets of groups that are in no pair stay where they are
+    wanted = pairs.select(F.explode(F.array("left", "right")).alias("grp")).distinct()
+    wanted = staged(members.join(wanted, "grp", "left_semi"), "paired-members")
+    paired = staged_slices((part.select("doc_id", "n", "tokens").join(wanted, "doc_id") for part in slices), "paired-sets")
+    bundles = staged(paired.drop("slice").groupBy("grp").applyInArrow(
         _bundle, "grp long, docs binary, comps binary, sizes binary, sets binary"), "groups")
+    unstaged(wanted, paired)
     side = lambda s: bundles.select(F.col("grp").alias(s), *[
         F.col(c).alias(f"{s}_{c}") for c in ("docs", "comps", "sizes", "sets")])
-    return pairs.join(side("left"), "left").join(side("right"), "right").mapInArrow(_open(percent), "a long, b long")
+    moved = pairs.join(bundles.select(F.col("grp").alias("left"), F.octet_length("sets").alias("size")), "left")
+    n = max(1, -(-(moved.agg(F.sum("size")).first()[0] or 0) // most))
+    slice_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(n))
+    links = staged_slices((pairs.where(slice_of("left") == i).join(side("left").where(slice_of("left") == i), "left")
+                           .join(side("right"), "right").mapInArrow(_open(percent), "a long, b long")
+                           for i in range(n)), "group-links")
+    unstaged(pairs, bundles)
+    return links.drop("slice")
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -310,17 +343,24 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = blocks.in_blocks(docs, "doc_id", "text", by_text=False)
     notes = (reps.select(F.col("rep").alias("doc_id"), "sig")
              .withColumn("block", blocks.block_of(dealt.n_blocks, "doc_id")))
-    by_block, bits = dealt.docs.groupBy("block"), dealt.bucket_bits
-    answers = (by_block.cogroup(notes.groupBy("block")).applyInArrow(_send(bits), blocks.PACKED)
-               .groupBy("bucket").applyInArrow(blocks.answer(0, width=4), blocks.ANSWER))
-    told = answers.unionByName(notes, allowMissingColumns=True)
-    sets = staged(by_block.cogroup(told.groupBy("block")).applyInArrow(_survivors(bits, percent), _SETS), "shingle-sets")
+    bits, n = dealt.bucket_bits, min(SLICES, -(-dealt.n_blocks * blocks.BLOCK_BYTES // SLICE_BYTES))
+    part = lambda df, i: df.where(F.col("block") % n == i).groupBy("block")
+    keys = staged_slices((part(dealt.docs, i).cogroup(part(notes, i)).applyInArrow(_send(bits), blocks.PACKED)
+                          for i in range(n)), "shingle-keys")
+    answers = staged_slices((keys.drop("slice").where(F.col("bucket") % n == i).groupBy("bucket")
+                             .applyInArrow(blocks.answer(0, width=4), blocks.ANSWER) for i in range(n)), "shingle-answers")
+    unstaged(keys)
+    told = answers.drop("slice").unionByName(notes, allowMissingColumns=True)
+    sets = staged_slices((part(dealt.docs, i).cogroup(part(told, i)).applyInArrow(_survivors(bits, percent), _SETS)
+                          for i in range(n)), "shingle-sets")
+    unstaged(answers)
     stars = staged(components(star_links(sets, percent)), "star-components")
-    grouped = staged(in_groups(sets, stars), "grouped-sets")
-    joined = components(open_groups(grouped, percent))
-    labels = (grouped.select("doc_id", "component").distinct()
-              .join(joined.select(F.col("vertex").alias("component"), F.col("component").alias("wider")), "component", "left")
-              .groupBy("doc_id").agg(F.min(F.coalesce("wider", "component")).alias("component_id")))
+    members = staged(in_groups(sets, stars), "grouped-ids")
+    links = open_groups(sets, members, percent, max(SLICE_BYTES, dealt.n_blocks * blocks.BLOCK_BYTES // 8))
+    unstaged(sets, stars)
+    joined = components(links)
+    labels = (members.join(joined.select(F.col("vertex").alias("component"), F.col("component").alias("wider")), "component", "left")
+              .select("doc_id", F.coalesce("wider", "component").alias("component_id")))
     by_set = (reps.join(labels.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left")
               .select("sig", "copies", F.coalesce("component_id", "rep").alias("component_id")))
     out = lookup_hot(marks, by_set, "sig", "copies", total, F.xxhash64("doc_id"))
