@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -19,6 +20,9 @@ from carelake.session import ensure_checkpoint_dir
 BLANKS = r"[\x20\x09-\x0D]"
 
 
+#: Of a row's number, the bits for its place in its file.
+ROW_BITS = 40
+
 _SHIPPED: set[str] = set()
 
 
@@ -93,12 +97,40 @@ def staged_slices(parts: Iterable[DataFrame], what: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstaged(*frames: DataFrame) -> None:
     """Deletes the files of staged frames that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._staged_at)
+
+
+def by_slice(df: DataFrame, last_use: bool = False) -> Iterator[DataFrame]:
+    """The slices of a frame of ``staged_slices``. At their ``last_use`` the files of each go
+    when the next one is asked for."""
+    n = df.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0] + 1
+    for i in range(n):
+        yield df.where(F.col("slice") == i)
+        if last_use:
+            _delete(df.sparkSession, f"{df._staged_at}/slice={i}")
+
+
+def numbered(df: DataFrame, names: list[str], name: str) -> DataFrame:
+    """``df`` with its columns renamed to ``names`` and a number of its own, ``name``, for every
+    row, the same whenever it is read: by file and place where ``df`` is what Parquet files
+    hold, or else by writing the rows."""
+    placed = None
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        with suppress(AnalysisException):  # not every kind of file tells a row's place
+            placed = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    if placed is None:
+        return staged(df.toDF(*names).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    placed = placed.toDF(*names, "_path", "_place")
+    files = staged(placed.select("_path").distinct().coalesce(1).withColumn("_file", F.monotonically_increasing_id()), "files")
+    return placed.join(F.broadcast(files), "_path").select(*names, (F.shiftleft("_file", ROW_BITS) + F.col("_place")).alias(name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.llm import blocks
-from carelake.llm.common import lookup_hot, staged, staged_slices, unstaged
+from carelake.llm.common import by_slice, lookup_hot, numbered, staged, staged_slices, unstaged
 from carelake.llm.components import components
 from carelake.llm.words import mix, window_hashes, word_hashes
 
@@ -53,7 +53,9 @@ PREFIX_ROWS = 1_000_000
 #: Bytes of text for each of at most ``SLICES`` slices, and of sets that a job moves at least.
 SLICE_BYTES = 256 << 20
 SLICES = 4
-_SETS = ("doc_id long, n long, tokens binary, prefix binary, common double, family long, "
+#: ``tokens`` are the shingles that other sets have too, in ascending order of frequency; the
+#: first ``lead`` of them must contain one shared with any partner.
+_SETS = ("doc_id long, n long, tokens binary, lead long, common double, family long, "
          + ", ".join(f"key{r} long" for r in range(ROUNDS)))
 
 
@@ -130,17 +132,16 @@ def _survivors(bits: int, percent: int):
         for doc, tokens in zip(ids, sets, strict=True):
             level = classes[np.searchsorted(found, _short(tokens, bits))]
             misses = allowed_misses(len(tokens), percent)
-            if (level == 0).sum() > misses:
+            own = int((level == 0).sum())
+            if own > misses:
                 continue
-            order = np.lexsort((tokens, level))[:misses + 1]
-            prefix = tokens[order[level[order] > 0]]
-            shared = tokens[level > 0]
+            shared = tokens[np.lexsort((tokens, level))[own:]]
             top = int(tokens[level == level.max()][0])
             keys = [int(mix(shared ^ np.uint64(7919 * (r + 1))).min()) for r in range(ROUNDS)]
-            rows.append((doc, len(tokens), tokens.tobytes(), prefix.tobytes(), float(level.mean()),
+            rows.append((doc, len(tokens), shared.tobytes(), misses + 1 - own, float(level.mean()),
                          *(x - (x >> 63 << 64) for x in (top, *keys))))
         columns = list(zip(*rows, strict=True)) or [()] * (6 + ROUNDS)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), *[pa.int64()] * (1 + ROUNDS)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), *[pa.int64()] * (1 + ROUNDS)]
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(_SETS.split(", "), columns, kinds, strict=True)})
     return run
 
@@ -157,20 +158,15 @@ def _pivot_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("tokens").to_pylist(), batch.column("pivot_tokens").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = overlap(x, y)
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            columns = (batch.column(c).to_pylist() for c in ("tokens", "pivot_tokens", "n", "pivot_n"))
+            for x, y, n, m in zip(*columns, strict=True):
+                both = overlap(np.sort(np.frombuffer(x, np.uint64)), np.sort(np.frombuffer(y, np.uint64)))
+                linked.append(100 * both >= percent * (n + m - both))
             table = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
             yield from table.to_batches()
     return run
 
 
-def _by_slice(sets: DataFrame) -> list[DataFrame]:
-    n = sets.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0] + 1
-    return [sets.where(F.col("slice") == i) for i in range(n)]
-
-
 def star_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between sets and the pivot of those that share a least hash with them.
     The pivot is the set whose shingles are most frequent."""
@@ -182,11 +178,12 @@ def star_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = (lookup_hot(keyed, pivots, "key", "size", keyed.count(), F.xxhash64("doc_id"))
              .where("b IS NOT NULL AND b != doc_id").select(F.col("doc_id").alias("a"), "b").distinct())
     pairs = staged(pairs, "pivot-pairs")
-    slices, wanted = _by_slice(sets), pairs.select("b").distinct()
-    of_pivots = staged_slices((part.select(F.col("doc_id").alias("b"), F.col("tokens").alias("pivot_tokens"))
-                               .join(wanted, "b", "left_semi") for part in slices), "pivot-sets")
-    found = staged_slices((pairs.join(part.select(F.col("doc_id").alias("a"), "tokens"), "a").join(of_pivots.drop("slice"), "b")
-                           .select("a", "b", "tokens", "pivot_tokens").mapInArrow(_pivot_links(percent), "a long, b long") for part in slices), "star-links")
+    wanted = pairs.select("b").distinct()
+    of_pivots = staged_slices((part.select(F.col("doc_id").alias("b"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"))
+                               .join(wanted, "b", "left_semi") for part in by_slice(sets)), "pivot-sets")
+    found = staged_slices((pairs.join(part.select(F.col("doc_id").alias("a"), "n", "tokens"), "a").join(of_pivots.drop("slice"), "b")
+                           .select("a", "b", "n", "tokens", "pivot_n", "pivot_tokens")
+                           .mapInArrow(_pivot_links(percent), "a long, b long") for part in by_slice(sets)), "star-links")
     unstaged(pairs, of_pivots)
     return found.drop("slice")
 
@@ -241,21 +238,23 @@ def _group_pairs(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 
 def _bundle(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """A group as one row: its members, by id, with their sets one after the other."""
+    """A group as one row: its members, by id, with their sets, sorted, one after the other."""
     rows = rows.sort_by("doc_id")
+    sets = [np.sort(np.frombuffer(x, np.uint64)) for x in rows["tokens"].to_pylist()]
     return pa.table({
         "grp": pa.array([key[0].as_py()], pa.int64()),
         "docs": pa.array([rows["doc_id"].to_numpy().tobytes()], pa.binary()),
         "comps": pa.array([rows["component"].to_numpy().tobytes()], pa.binary()),
         "sizes": pa.array([rows["n"].to_numpy().tobytes()], pa.binary()),
-        "sets": pa.array([b"".join(rows["tokens"].to_pylist())], pa.binary())})
+        "held": pa.array([np.array([len(x) for x in sets], np.int64).tobytes()], pa.binary()),
+        "sets": pa.array([b"".join(x.tobytes() for x in sets)], pa.binary())})
 
 
 class _Group:
     def __init__(self, row: dict, side: str):
-        self.docs, self.comps, self.sizes = (np.frombuffer(row[f"{side}_{c}"], np.int64) for c in ("docs", "comps", "sizes"))
+        self.docs, self.comps, self.sizes, held = (np.frombuffer(row[f"{side}_{c}"], np.int64) for c in ("docs", "comps", "sizes", "held"))
         tokens = np.frombuffer(row[f"{side}_sets"], np.uint64)
-        self.sets = np.split(tokens, np.cumsum(self.sizes)[:-1])
+        self.sets = np.split(tokens, np.cumsum(held)[:-1])
         self.union = np.unique(tokens)
 
     def qualifying(self, other: _Group, percent: int) -> np.ndarray:
@@ -304,9 +303,8 @@ def _open(percent: int):
 
 def open_groups(sets: DataFrame, members: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b): components with a link between them; ``members`` are ``in_groups``'. About
-    ``most`` bytes of sets are moved at a time."""
-    slices = _by_slice(sets)
-    rows = sets.select("doc_id", "prefix").join(members, "doc_id").mapInArrow(_matrix, "token long, grp long, component long")
+    ``most`` bytes of sets are moved at a time. The files of ``sets`` go."""
+    rows = sets.select("doc_id", F.expr("substring(tokens, 1, 8 * cast(lead as int))").alias("prefix")).join(members, "doc_id").mapInArrow(_matrix, "token long, grp long, component long")
     matrix = staged(rows.groupBy("token", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high")),
                     "group-matrix")
     n = max(1, -(-matrix.count() // PREFIX_ROWS))
@@ -316,16 +314,17 @@ def open_groups(sets: DataFrame, members: DataFrame, percent: int, most: int) ->
     # sets of groups that are in no pair stay where they are
     wanted = pairs.select(F.explode(F.array("left", "right")).alias("grp")).distinct()
     wanted = staged(members.join(wanted, "grp", "left_semi"), "paired-members")
-    paired = staged_slices((part.select("doc_id", "n", "tokens").join(wanted, "doc_id") for part in slices), "paired-sets")
-    bundles = staged(paired.drop("slice").groupBy("grp").applyInArrow(
-        _bundle, "grp long, docs binary, comps binary, sizes binary, sets binary"), "groups")
+    paired = staged_slices((part.select("doc_id", "n", "tokens").join(wanted, "doc_id") for part in by_slice(sets, last_use=True)), "paired-sets")
+    slice_of = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n))
+    n = 1 + paired.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0]
+    bundles = staged_slices((paired.drop("slice").where(slice_of("grp", n) == i).groupBy("grp").applyInArrow(
+        _bundle, "grp long, docs binary, comps binary, sizes binary, held binary, sets binary") for i in range(n)), "groups")
     unstaged(wanted, paired)
     side = lambda s: bundles.select(F.col("grp").alias(s), *[
-        F.col(c).alias(f"{s}_{c}") for c in ("docs", "comps", "sizes", "sets")])
+        F.col(c).alias(f"{s}_{c}") for c in ("docs", "comps", "sizes", "held", "sets")])
     moved = pairs.join(bundles.select(F.col("grp").alias("left"), F.octet_length("sets").alias("size")), "left")
     n = max(1, -(-(moved.agg(F.sum("size")).first()[0] or 0) // most))
-    slice_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(n))
-    links = staged_slices((pairs.where(slice_of("left") == i).join(side("left").where(slice_of("left") == i), "left")
+    links = staged_slices((pairs.where(slice_of("left", n) == i).join(side("left").where(slice_of("left", n) == i), "left")
                            .join(side("right"), "right").mapInArrow(_open(percent), "a long, b long")
                            for i in range(n)), "group-links")
     unstaged(pairs, bundles)
@@ -375,7 +374,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that share an id or have none are rows like any other; a repeated row is a near copy."""
     names = [f"c{i}" for i in range(len(df.columns))]
     text, name = (F.col(names[df.columns.index(c)]) for c in (text_col, id_col))
-    rows = staged(df.toDF(*names).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(df, names, "number")
     linked = link_components(rows.select("number", text.alias("text")), "number", "text", percent)
     linked = linked.select(F.col("doc_id").alias("number"), "component_id")
     named = staged(linked.join(rows.select("number", F.struct(name.isNull(), name, "number").alias("rank")), "number"), "near-members")
